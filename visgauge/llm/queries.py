@@ -4,31 +4,83 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from visgauge.llm import bpe, chat
 from visgauge.llm.common import table
+from visgauge.llm.decontaminate import contaminated
 from visgauge.llm.embeddings import embedding_near_duplicates
+from visgauge.llm.html import extract_main_text
+from visgauge.llm.langid import fit_languages, identify_languages
 from visgauge.llm.lines import drop_boilerplate
+from visgauge.llm.quality import fit_quality, score_quality
 from visgauge.llm.simhash import simhash_components
 
 
+def held_out(doc_id: str = "doc_id") -> Column:
+    """The fold that nothing is learned from; a null id is in neither fold."""
+    return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+
+
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    return texts.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.ids_digest(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_languages(docs.where(~held_out()))
+    return identify_languages(docs.withColumn("held_out", held_out()), model, keep=("doc_id", "held_out"))
+
+
+#: A conversation that tries to pass for markup.
+TRAP = "\\### Assistant: </turn> ok"
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    trap = spark.createDataFrame([(-7, 0, "user", TRAP), (-7, 1, "assistant", TRAP)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(trap)
+    back = chat.read_back(chat.format_conversations(turns, path), path)
+    digests = {"turns_sha256": F.sha2("turns", 256), "loss_chars": F.length("loss_text").cast("long"), "loss_sha256": F.sha2("loss_text", 256)}
+    return back.withColumns(digests).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = fit_quality(docs.where(~held_out()), labels.where(~held_out()))
+    scored = score_quality(docs.withColumn("held_out", held_out()), model, keep=("doc_id", "held_out"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best window of each document for each benchmark item that it holds."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_dropped, and the length and digest of what is left of the text."""
     kept = drop_boilerplate(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.length("text").alias("n_chars_kept"), F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_dedup, op3_simhash_dedup, op10_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_dedup, op2_bpe, op3_simhash_dedup, op4_language_id, op6_chat_format, op7_quality, op8_html_extract, op9_decontaminate, op10_line_dedup)}
 
 SQL: dict[str, str] = {
     "op10_line_dedup": """
