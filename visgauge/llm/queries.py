@@ -17,6 +17,7 @@ from visgauge.llm.langid import fit_languages, identify_languages
 from visgauge.llm.lines import drop_boilerplate
 from visgauge.llm.quality import fit_quality, score_quality
 from visgauge.llm.simhash import simhash_components
+from visgauge.llm.suffixes import remove_repeated_strings
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -45,6 +46,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(docs.withColumn("held_out", held_out()), model, keep=("doc_id", "held_out"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeated_strings(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 #: A conversation that tries to pass for markup.
 TRAP = "\\### Assistant: </turn> ok"
 
@@ -80,7 +86,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.length("text").alias("n_chars_kept"), F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_dedup, op2_bpe, op3_simhash_dedup, op4_language_id, op6_chat_format, op7_quality, op8_html_extract, op9_decontaminate, op10_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_dedup, op2_bpe, op3_simhash_dedup, op4_language_id, op5_suffix_dedup, op6_chat_format, op7_quality, op8_html_extract, op9_decontaminate, op10_line_dedup)}
 
 SQL: dict[str, str] = {
     "op10_line_dedup": """
