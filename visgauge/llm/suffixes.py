@@ -228,7 +228,7 @@ def _cut_pieces(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             buckets, counts, packs = [], [], []
-            for packed, size, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for packed, size, wanted in zip(b.column(2).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
                 text = np.frombuffer(pa.decompress(packed, size, codec="zstd", asbytes=True), np.uint8)
                 for w in wanted:
                     slots, places = np.frombuffer(w["slots"], np.uint32), np.frombuffer(w["places"], np.uint32).astype(np.int64)
@@ -322,12 +322,12 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("order"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 1 + 2 * total // (length - GRAM + 2) // anchors_in_bucket
-    packed = rows.select("row", "order", "text").mapInArrow(_find_anchors(length, buckets), "bucket int, n int, packed binary")
-    by_bucket = packed.repartition(buckets, "bucket")
-    texts = rows.select("row", "id", "text").mapInArrow(_compress, "row bigint, id bigint, size bigint, packed binary").repartition("row")
+    # both of these are read twice: the plan of each reader has the same exchange, so that it is made once
+    by_bucket = rows.select("row", "order", "text").mapInArrow(_find_anchors(length, buckets), "bucket int, n int, packed binary")
+    texts = rows.select("row", "id", "text").mapInArrow(_compress, "row bigint, id bigint, size bigint, packed binary").where("row is not null").repartition("row")
     wanted = by_bucket.groupBy("bucket").applyInArrow(_wanted, "row bigint, bucket int, n int, slots binary, places binary")
     wanted = wanted.groupBy("row").agg(F.collect_list(F.struct("bucket", "n", "slots", "places")).alias("wanted"))
-    cut = texts.join(wanted, "row").select("packed", "size", "wanted").mapInArrow(_cut_pieces(length), "bucket int, n int, pieces binary")
+    cut = texts.join(wanted, "row").select("id", "size", "packed", "wanted").mapInArrow(_cut_pieces(length), "bucket int, n int, pieces binary")
     judged = by_bucket.groupBy("bucket").cogroup(cut.groupBy("bucket")).applyInArrow(_judge(length), "row bigint, begins binary, sizes binary")
     spans = judged.groupBy("row").agg(F.collect_list(F.struct("begins", "sizes")).alias("spans"))
     out = texts.join(spans, "row", "left").select("id", "size", "packed", "spans")
