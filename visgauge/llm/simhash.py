@@ -11,10 +11,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visgauge.llm.common import checkpoint, close_pairs, in_blocks, whole_groups
+from visgauge.llm.common import broadcast_up_to, checkpoint, close_pairs, in_blocks, whole_groups
 from visgauge.llm.components import connected_components
 
 BITS = 64
+CELL = ["tbl", "pair", "cell", "bi", "bj"]
 #: Row i: the bits of byte value i, lowest first.
 BYTE_BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1
 
@@ -56,7 +57,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _forest(prints: np.ndarray, codes: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Links that join each component within radius of a block: a search that leaves out what it has reached."""
+    """Pairs of places that join each component within radius of a block, by a search that leaves out what it reached."""
     us, vs = [], []
     rest = np.arange(len(prints))
     while len(rest) > 1:
@@ -67,8 +68,8 @@ def _forest(prints: np.ndarray, codes: np.ndarray, radius: int) -> tuple[list[np
             near[near] = np.bitwise_count(prints[rest[near]] ^ prints[x]) <= radius
             found = rest[near]
             if len(found):
-                us.append(np.full(len(found), prints[x]))
-                vs.append(prints[found])
+                us.append(np.full(len(found), x))
+                vs.append(found)
                 front.extend(found.tolist())
                 rest = rest[~near]
     return us, vs
@@ -78,27 +79,28 @@ def _link_cells(radius: int, small: int = 48) -> Callable[[Iterator[pa.RecordBat
     """In each cell, first the Manhattan distance of the popcounts, then the exact Hamming distance."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, starts in whole_groups(batches, ["pair", "cell", "bi", "bj"]):
+        for t, starts in whole_groups(batches, CELL):
             prints, codes = (t.column(c).to_numpy().view(np.uint64) for c in ("fp", "code"))
             ends = np.append(starts[1:], len(prints))
+            few = ends - starts <= small
             us, vs = [], []
-            for i, j in zip(starts[ends - starts > small], ends[ends - starts > small], strict=True):
+            for i, j in zip(starts[~few].tolist(), ends[~few].tolist(), strict=True):
                 found = _forest(prints[i:j], codes[i:j], radius)
-                us += found[0]
-                vs += found[1]
-            few = np.repeat(ends - starts <= small, ends - starts)
-            kept = np.flatnonzero(few)
-            sizes = (ends - starts)[ends - starts <= small]
+                us += [x + i for x in found[0]]
+                vs += [x + i for x in found[1]]
+            kept = np.flatnonzero(np.repeat(few, ends - starts))
+            sizes = (ends - starts)[few]
             if len(kept):
                 for a, b in close_pairs(np.cumsum(sizes) - sizes, len(kept)):
                     a, b = kept[a], kept[b]
                     near = np.bitwise_count(codes[a] ^ codes[b]) <= radius
                     a, b = a[near], b[near]
                     near = np.bitwise_count(prints[a] ^ prints[b]) <= radius
-                    us.append(prints[a[near]])
-                    vs.append(prints[b[near]])
+                    us.append(a[near])
+                    vs.append(b[near])
             if us:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (us, vs)], ["u", "v"])
+                node = t.column("node").to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(node[np.concatenate(x)]) for x in (us, vs)], ["u", "v"])
 
     return run
 
@@ -108,24 +110,26 @@ def _signed(x: int) -> int:
 
 
 def link_fingerprints(prints: DataFrame, radius: int = 4, exact_groups: int = 2, block_rows: int = 4096) -> DataFrame:
-    """Links u, v that join all components of distinct fingerprints (column fp) with at most radius differing bits.
-
-    Each of 32 segments of two bits is mapped to its bit count, written in unary (0: 00, 1: 01, 2: 11), so that the
-    Manhattan distance of two vectors of counts is the number of differing bits of their codes. It is never above the
-    Hamming distance of the fingerprints. The segments form radius + exact_groups groups; two vectors within the radius
-    differ in at most radius groups, so they are equal in exact_groups of them at least and share the grid cell of
-    those coordinates. Cells are joined, candidates beyond the radius by Manhattan distance go, and the rest is
-    compared exactly. More exact_groups make smaller cells and more of them, for larger inputs.
+    """Links u, v between nodes that join all components of fingerprints with at most radius differing bits.
+
+    prints: node bigint, fp bigint and tbl int; fingerprints are compared within their tbl. Each of 32 segments of two
+    bits is mapped to its bit count, written in unary (0: 00, 1: 01, 2: 11), so that the Manhattan distance of two
+    vectors of counts is the number of differing bits of their codes. It is never above the Hamming distance of the
+    fingerprints. The segments form radius + exact_groups groups; two vectors within the radius differ in at most radius
+    groups, so they are equal in exact_groups of them at least and share the grid cell of those coordinates. Cells are
+    joined, candidates beyond the radius by Manhattan distance go, and the rest is compared exactly. More exact_groups
+    make smaller cells and more of them, for larger inputs. Cells of few rows give all their links, larger ones as many
+    as join their components.
     """
     groups = np.array_split(np.arange(BITS // 2), radius + exact_groups)
     masks = [_signed(sum(3 << (2 * int(s)) for g in some for s in g)) for some in combinations(groups, exact_groups)]
     low = F.lit(0x5555555555555555)
     a, b = F.col("fp").bitwiseAND(low), F.shiftrightunsigned("fp", 1).bitwiseAND(low)
-    coded = prints.select("fp", a.bitwiseOR(b).bitwiseOR(F.shiftleft(a.bitwiseAND(b), 1)).alias("code"))
-    cells = coded.select("fp", "code", F.posexplode(F.array(*[F.col("code").bitwiseAND(F.lit(m)) for m in masks])).alias("pair", "cell"))
-    blocks = in_blocks(cells, ["pair", "cell"], F.col("fp"), block_rows)
-    keys = ["pair", "cell", "bi", "bj"]
-    return blocks.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "fp", "code").mapInArrow(_link_cells(radius), "u bigint, v bigint")
+    coded = prints.select("tbl", "node", "fp", a.bitwiseOR(b).bitwiseOR(F.shiftleft(a.bitwiseAND(b), 1)).alias("code"))
+    cells = coded.select("tbl", "node", "fp", "code", F.posexplode(F.array(*[F.col("code").bitwiseAND(F.lit(m)) for m in masks])).alias("pair", "cell"))
+    blocks = in_blocks(cells, ["tbl", "pair", "cell"], F.col("node"), block_rows)
+    rows = blocks.repartition(*CELL).sortWithinPartitions(*CELL, "node").select(*CELL, "node", "fp", "code")
+    return rows.mapInArrow(_link_cells(radius), "u bigint, v bigint")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
@@ -137,15 +141,83 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     prints = checkpoint(fingerprints(docs, id_col, text_col, words, seed))
     distinct = checkpoint(prints.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = connected_components(link_fingerprints(distinct.select("fp"), radius))
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = checkpoint(named)
+    roots = connected_components(link_fingerprints(distinct.select(F.lit(0).alias("tbl"), F.col("fp").alias("node"), "fp"), radius))
+    named = checkpoint(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = named.where("root <> fp or least is null").select("fp", "root").unionByName(named.where("root = fp and least is not null").select("fp", "root"))
-    of = of.join(smallest, "root").select("fp", "component_id")
+    of = named.join(smallest, "root").select("fp", "component_id")
     return prints.join(of, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 4) -> DataFrame:
-    """The rows of docs that are the smallest of their near-duplicate component; equal ids: one row stays."""
-    raise NotImplementedError
+def _word_prints(tables: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For each text: two digests of its words in order, and a fingerprint of its set of words for each seed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, prints = [], []
+            for x in b.column(1):
+                words = (x.as_py() or "").encode().lower().split()
+                joined = b" ".join(words)
+                keys.append((xxhash.xxh3_64_intdigest(joined), xxhash.xxh64_intdigest(joined)))
+                h = np.fromiter(map(xxhash.xxh3_64_intdigest, set(words)), np.uint64)
+                for t in range(tables):
+                    mixed = (h ^ np.uint64(0x9E3779B97F4A7C15 * (t + 1) % (1 << 64))) * np.uint64(0xFF51AFD7ED558CCD)
+                    mixed = ((mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xC4CEB9FE1A85EC53)).view(np.uint8).reshape(-1, 8)
+                    ones = np.array([np.bincount(mixed[:, k], minlength=256) @ BYTE_BITS for k in range(8)]).ravel()
+                    prints.append(int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0]))
+            k = np.array(keys, np.uint64).reshape(-1, 2).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(prints) + 1, tables, dtype=np.int32)), pa.array(np.array(prints, np.uint64).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(k[:, 0]), pa.array(k[:, 1]), lists], ["row", "k1", "k2", "prints"])
+
+    return run
+
+
+def _shingle_sets(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = []
+            for x in b.column(1):
+                w = (x.as_py() or "").encode().lower().split()
+                sets.append(np.unique(np.array([xxhash.xxh3_64_intdigest(b" ".join(w[i : i + words])) for i in range(max(1, len(w) - words + 1))], np.uint64)).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["row", "shingles"])
+
+    return run
+
+
+def _similar(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                common = len(np.intersect1d(p, q, assume_unique=True))
+                good.append(common >= similarity * (len(p) + len(q) - common))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, tables: int = 6, radius: int = 4) -> DataFrame:
+    """The rows of docs less all but one row, that of the smallest id, of each group of near-duplicates.
+
+    Two texts are near-duplicates if the sets of their shingles of `words` words have a Jaccard similarity of at least
+    similarity; groups are connected components. At 0.8 about one word in fifty differs, so candidates are pairs whose
+    fingerprints of single words are within radius for one of several seeds; every candidate is compared exactly. Texts
+    with the same words in the same order form one class first and never form pairs. Null texts and texts without words
+    are copies of each other. Null ids count as greater than all others; equal ids: any one row stays.
+    """
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    texts = rows.select(F.col("_row").alias("row"), F.col(text_col).cast("string").alias("text"))
+    ids = rows.select(F.col("_row").alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id"))
+    hashed = texts.mapInArrow(_word_prints(tables), "row bigint, k1 bigint, k2 bigint, prints array<bigint>").join(ids, "row")
+    classes = checkpoint(hashed.groupBy("k1", "k2").agg(F.min(F.struct("id", "row")).alias("least"), F.first("prints").alias("prints")).select("least.*", "prints"))
+    prints = classes.select(F.col("row").alias("node"), F.posexplode("prints").alias("tbl", "fp"))
+    pairs = checkpoint(link_fingerprints(prints, radius).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    asked = checkpoint(pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct())
+    sets = texts.join(broadcast_up_to(asked, F.lit(16)), "row", "left_semi").mapInArrow(_shingle_sets(words), "row bigint, shingles binary")
+    left, right = (sets.select(F.col("row").alias(c), F.col("shingles").alias(f"of_{c}")) for c in ("u", "v"))
+    links = pairs.join(left, "u").join(right, "v").select("u", "v", "of_u", "of_v").mapInArrow(_similar(similarity), "u bigint, v bigint")
+    roots = connected_components(links)
+    named = classes.join(roots.withColumnRenamed("node", "row"), "row", "left").select("id", "row", F.coalesce("root", "row").alias("root"))
+    stays = checkpoint(named.groupBy("root").agg(F.min(F.struct("id", "row")).alias("least")).select(F.col("least.row").alias("row")))
+    gone = checkpoint(ids.join(stays, "row", "left_anti").select(F.col("row").alias("_row")))
+    return rows.join(broadcast_up_to(gone, F.lit(16)), "_row", "left_anti").drop("_row")
