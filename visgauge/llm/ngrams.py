@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from visgauge.llm.common import broadcast_up_to, checkpoint
+
 #: Odd multipliers of a multiplicative hash, one for each n-gram length.
 MULTIPLIERS = {1: 0x9E3779B1, 2: 0x85EBCA77, 3: 0xC2B2AE3D, 4: 0x27D4EB2F}
 
@@ -80,7 +82,7 @@ def tf_idf(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 def bounded_sample(rows: DataFrame, label_col: str, id_col: str, per_label: int) -> DataFrame:
     """About per_label rows of each label at most, chosen by a hash of the id: the same rows in every run."""
     share = rows.groupBy(label_col).agg((F.lit(float(per_label)) / F.count(F.lit(1))).alias("_share")).withColumnRenamed(label_col, "_label")
-    picked = rows.join(share, F.col(label_col) == F.col("_label"))
+    picked = rows.join(broadcast_up_to(checkpoint(share), F.lit(64)), F.col(label_col) == F.col("_label"))
     return picked.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1 << 30)) < F.col("_share") * F.lit(float(1 << 30))).drop("_share", "_label")
 
 
