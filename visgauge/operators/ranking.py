@@ -45,5 +45,6 @@ def stable_sample(df: DataFrame, key: str, salt: str, k: int, group: list[str] |
 def constrained_best(df: DataFrame, floor: Column, order: list[Column]) -> DataFrame:
     """The first row in an order among those that meet a floor; an error if none does."""
     best = df.where(floor).orderBy(*order).limit(1)
-    met = df.agg(F.count_if(floor).alias("_met")).withColumn("_met", F.when(F.col("_met") > 0, F.col("_met")).otherwise(F.raise_error(F.lit("no row meets the floor"))))
-    return best.join(F.broadcast(met)).drop("_met")
+    met = df.agg(F.count_if(floor).alias("_met"))
+    met = met.where(F.when(F.col("_met") > 0, F.lit(True)).otherwise(F.raise_error(F.lit("no row meets the floor"))))
+    return met.join(best, how="left").drop("_met")
