@@ -86,17 +86,18 @@ def matches(text: str | None, index: list[Sized], known: dict[int, np.ndarray],
     """
     words = words_of(text)
     hashes = {k: shingles_of(words, k) for k in known}
-    sums = {}
+    sums, total = {}, {}
     for k, h in hashes.items():
         at = np.minimum(np.searchsorted(known[k], h), len(known[k]) - 1)
         hits = known[k][at] == h if len(h) else np.zeros(0, bool)
         sums[k] = np.concatenate([[0], np.cumsum(hits)])
+        total[k] = int(sums[k][-1])
     best: dict[int, tuple[float, int, int]] = {}
     for sized in index:
         k = sized.shingle
         h, n = hashes[k], sized.words - sized.shingle + 1
         width = min(n, len(h))
-        if not width or width < similarity * n:
+        if not width or min(width, total[k]) < similarity * n:
             continue
         starts = np.arange(len(h) - width + 1)
         starts = starts[sums[k][starts + width] - sums[k][starts] >= similarity * n]
