@@ -157,5 +157,6 @@ def _search(items: list[tuple[int, str]], shingle: int, radius: int, similarity:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options: object) -> DataFrame:
     """The rows of docs in which no item was found. Rows with a null id stay only if their text holds no item."""
-    found = checkpoint(contaminated(docs, benchmark, id_col, **options).select(F.col(id_col).alias("_found")).distinct())
-    return docs.join(broadcast_up_to(found, F.lit(32)), F.col(id_col).cast("long").eqNullSafe(F.col("_found")), "left_anti")
+    found = checkpoint(contaminated(docs, benchmark, id_col, **options).select(F.col(id_col).alias("found")).distinct())
+    rows = docs.select(F.struct(*docs.columns).alias("doc"))
+    return rows.join(broadcast_up_to(found, F.lit(32)), F.col("doc")[id_col].cast("long").eqNullSafe(F.col("found")), "left_anti").select("doc.*")

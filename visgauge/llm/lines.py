@@ -38,16 +38,17 @@ def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str =
     """docs with text_col less its host's boilerplate lines, and n_lines and n_dropped.
 
     Every row stays, also one of which no line is left (its text is empty then) and one with a null text (unchanged,
-    0 lines). Other columns pass through. The lines to drop travel as one array a host, of 1 / ratio times the lines of
+    0 lines). Other columns pass through, but those that have the names of the counts. The lines to drop travel as one array a host, of 1 / ratio times the lines of
     a mean page at most; they are broadcast up to a checked size and joined on the host beyond it.
     """
     lines = boilerplate_lines(docs, host_col, text_col, ratio, min_pages)
-    drops = checkpoint(lines.groupBy("host").agg(F.collect_list("line").alias("_drop")).withColumnRenamed("host", "_host"))
-    size = F.aggregate("_drop", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x)) + 64
-    split = docs.join(broadcast_up_to(drops, size), F.col(host_col).cast("string").eqNullSafe(F.col("_host")), "left")
-    split = split.withColumn("_lines", _lines(F.col(text_col).cast("string")))
-    stays = F.filter("_lines", lambda x: ~F.array_contains(F.col("_drop"), F.btrim(x)))
-    split = split.withColumn("_kept", F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(stays))
-    n_lines, n_kept = (F.greatest(F.size(c), F.lit(0)) for c in ("_lines", "_kept"))
-    out = split.withColumns({text_col: F.when(n_lines == n_kept, F.col(text_col)).otherwise(F.array_join("_kept", "\n")), "n_lines": n_lines, "n_dropped": n_lines - n_kept})
-    return out.drop("_host", "_drop", "_lines", "_kept")
+    drops = checkpoint(lines.groupBy("host").agg(F.collect_list("line").alias("drop")))
+    size = F.aggregate("drop", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x)) + 64
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(host_col).cast("string").alias("of"), _lines(F.col(text_col).cast("string")).alias("lines"))
+    both = rows.join(broadcast_up_to(drops, size), F.col("of").eqNullSafe(F.col("host")), "left")
+    stays = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains(F.col("drop"), F.btrim(x))))
+    both = both.withColumn("kept", stays)
+    n_lines, n_kept = (F.greatest(F.size(c), F.lit(0)) for c in ("lines", "kept"))
+    text = F.when(n_lines == n_kept, F.col("doc")[text_col]).otherwise(F.array_join("kept", "\n"))
+    same = [text.alias(c) if c == text_col else F.col("doc")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return both.select(*same, n_lines.alias("n_lines"), (n_lines - n_kept).alias("n_dropped"))

@@ -205,9 +205,9 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     with the same words in the same order form one class first and never form pairs. Null texts and texts without words
     are copies of each other. Null ids count as greater than all others; equal ids: any one row stays.
     """
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    texts = rows.select(F.col("_row").alias("row"), F.col(text_col).cast("string").alias("text"))
-    ids = rows.select(F.col("_row").alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id"))
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row"))
+    texts = rows.select("row", F.col("doc")[text_col].cast("string").alias("text"))
+    ids = rows.select("row", F.coalesce(F.col("doc")[id_col].cast("long"), F.lit((1 << 63) - 1)).alias("id"))
     hashed = texts.mapInArrow(_word_prints(tables), "row bigint, k1 bigint, k2 bigint, prints array<bigint>").join(ids, "row")
     classes = checkpoint(hashed.groupBy("k1", "k2").agg(F.min(F.struct("id", "row")).alias("least"), F.first("prints").alias("prints")).select("least.*", "prints"))
     prints = classes.select(F.col("row").alias("node"), F.posexplode("prints").alias("tbl", "fp"))
@@ -219,5 +219,5 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     roots = connected_components(links)
     named = classes.join(roots.withColumnRenamed("node", "row"), "row", "left").select("id", "row", F.coalesce("root", "row").alias("root"))
     stays = checkpoint(named.groupBy("root").agg(F.min(F.struct("id", "row")).alias("least")).select(F.col("least.row").alias("row")))
-    gone = checkpoint(ids.join(stays, "row", "left_anti").select(F.col("row").alias("_row")))
-    return rows.join(broadcast_up_to(gone, F.lit(16)), "_row", "left_anti").drop("_row")
+    gone = checkpoint(ids.join(stays, "row", "left_anti").select("row"))
+    return rows.join(broadcast_up_to(gone, F.lit(16)), "row", "left_anti").select("doc.*")

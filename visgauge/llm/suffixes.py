@@ -146,6 +146,11 @@ def _runs(sorted_values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]])) if len(sorted_values) else np.zeros(0, np.int64)
 
 
+def _slices(begins: np.ndarray, n: int) -> list[slice]:
+    """The runs that begin at begins in n values."""
+    return [slice(i, j) for i, j in zip(begins.tolist(), [*begins[1:].tolist(), n], strict=True)] if len(begins) else []
+
+
 #: An anchor's columns: gram hash, context hash in two parts, id and row of its text, place in it.
 _ANCHOR = (np.uint32, np.uint32, np.uint16, np.int64, np.int64, np.uint32)
 
@@ -154,8 +159,7 @@ def _emit(bucket: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
     """A row for each bucket with the packed columns of its anchors."""
     order = np.argsort(bucket, kind="stable")
     begins = _runs(bucket[order])
-    stops = np.append(begins[1:], len(order))
-    rows = [order[i:j] for i, j in zip(begins, stops, strict=True)]
+    rows = [order[part] for part in _slices(begins, len(order))]
     packed = [_pack(*(c[r] for c in columns)) for r in rows]
     return pa.RecordBatch.from_arrays([pa.array(bucket[order[begins]].astype(np.int32)), pa.array([len(r) for r in rows], pa.int32()), pa.array(packed, pa.binary())], ["bucket", "n", "packed"])
 
@@ -213,11 +217,11 @@ def _wanted(group: pa.Table) -> pa.Table:
     row, place = columns[4][begins], columns[5][begins]
     order = np.argsort(row, kind="stable")
     runs = _runs(row[order])
-    parts = np.split(order, runs[1:]) if len(order) else []
+    parts = [np.sort(order[part]) for part in _slices(runs, len(order))]
     bucket = group.column("bucket")[0].as_py()
     return pa.table({
-        "row": pa.array(row[order[runs]] if len(order) else [], pa.int64()), "bucket": pa.array([bucket] * len(parts), pa.int32()), "n": pa.array(list(map(len, parts)), pa.int32()),
-        "slots": pa.array([np.sort(p).astype(np.uint32).tobytes() for p in parts], pa.binary()), "places": pa.array([place[np.sort(p)].tobytes() for p in parts], pa.binary()),
+        "row": pa.array(row[order[runs]], pa.int64()), "bucket": pa.array([bucket] * len(parts), pa.int32()), "n": pa.array(list(map(len, parts)), pa.int32()),
+        "slots": pa.array([p.astype(np.uint32).tobytes() for p in parts], pa.binary()), "places": pa.array([place[p].tobytes() for p in parts], pa.binary()),
     })
 
 
@@ -272,8 +276,8 @@ def _judge(length: int):
             order = np.lexsort((begin, rows[hit]))
             row, begin, end = rows[hit][order], begin[order], end[order]
             runs = _runs(row)
-            stops = np.append(runs[1:], len(row))
-            spans = (row[runs].tolist() if len(row) else [], [begin[i:j].astype(np.uint32).tobytes() for i, j in zip(runs, stops, strict=True)], [(end[i:j] - begin[i:j]).astype(np.uint8).tobytes() for i, j in zip(runs, stops, strict=True)])
+            parts = _slices(runs, len(row))
+            spans = (row[runs].tolist(), [begin[p].astype(np.uint32).tobytes() for p in parts], [(end[p] - begin[p]).astype(np.uint8).tobytes() for p in parts])
         return pa.table({"row": pa.array(spans[0], pa.int64()), "begins": pa.array(spans[1], pa.binary()), "sizes": pa.array(spans[2], pa.binary())})
 
     return run
