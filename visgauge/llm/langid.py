@@ -44,8 +44,11 @@ def _length_bin(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(n).astype(int), LENGTHS - 1)
 
 
-def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Spherical k-means; the first centre is the mean, each next one the row farthest from all before."""
+def _cluster(x: np.ndarray, k: int, rounds: int = 12, least_share: float = 0.02) -> np.ndarray:
+    """Spherical k-means; the first centre is the mean, each next one the row farthest from all before.
+
+    A cluster of less than least_share of the rows is of odd texts, which say nothing about the language: it goes.
+    """
     mean = x.mean(axis=0)
     centres = [mean / max(np.linalg.norm(mean), 1e-12)]
     while len(centres) < min(k, len(x)):
@@ -56,7 +59,8 @@ def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
         sums = np.array([x[nearest == i].sum(axis=0) for i in range(len(c))])
         norms = np.linalg.norm(sums, axis=1, keepdims=True)
         c = np.where(norms > 1e-12, sums / np.maximum(norms, 1e-12), c)
-    return c.astype(np.float32)
+    sizes = np.bincount(np.argmax(x @ c.T, axis=1), minlength=len(c))
+    return c[sizes >= min(least_share * len(x), sizes.max())].astype(np.float32)
 
 
 def fit_languages(
