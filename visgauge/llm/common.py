@@ -36,20 +36,24 @@ def broadcast_up_to(df: DataFrame, row_bytes: Column, limit: int = 32 << 20) ->
     return F.broadcast(df) if size <= limit else df
 
 
-def in_blocks(cells: DataFrame, keys: list[str], member: Column, block_rows: int) -> DataFrame:
+def in_blocks(cells: DataFrame, keys: list[str], member: Column, block_rows: int, drop_single: bool = False) -> DataFrame:
     """Add blk, bi and bj so that all pairs of rows of a cell meet in a group (keys, bi, bj) of about 2 * block_rows rows.
 
     Cells of up to block_rows rows stay whole (0, 0). Larger ones are cut into blocks by a hash of member, and every
     two blocks meet in a group of their own: a hot cell is spread over many tasks, and no pair is lost. Rows of the same
-    block blk meet in each group of that block; (0, max(blk, 1)) is one of them. Cells of one row are left out. The counts are aggregated on the map side before they are shuffled.
+    block blk meet in each group of that block; (0, max(blk, 1)) is one of them. The counts are aggregated on the map
+    side before they are shuffled; those of hot cells go on alone and are broadcast up to a checked size. With
+    drop_single all counts go on, and cells of one row, which have no pair, are left out: for rows that grow later.
     """
-    sizes = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    n_blocks = F.ceil(F.col("_n") / F.lit(block_rows)).cast("int")
-    out = cells.join(sizes, keys).withColumn("_k", n_blocks).withColumn("_b", F.pmod(F.xxhash64(member), F.col("_k")).cast("int"))
-    partners = F.when(F.col("_k") == 1, F.array(F.lit(0))).otherwise(
-        F.filter(F.sequence(F.lit(0), F.col("_k") - 1), lambda j: j != F.col("_b"))
-    )
-    out = out.withColumn("_j", F.explode(partners)).withColumnRenamed("_b", "blk")
+    sizes = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    if drop_single:
+        out = cells.join(sizes.where("_n > 1"), keys)
+    else:
+        hot = checkpoint(sizes.where(F.col("_n") > block_rows))
+        out = cells.join(broadcast_up_to(hot, F.lit(32)), keys, "left")
+    out = out.withColumn("_k", F.coalesce(F.ceil(F.col("_n") / F.lit(block_rows)), F.lit(1)).cast("int")).withColumn("blk", F.pmod(F.xxhash64(member), F.col("_k")).cast("int"))
+    partners = F.when(F.col("_k") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("_k") - 1), lambda j: j != F.col("blk")))
+    out = out.withColumn("_j", F.explode(partners))
     return out.withColumns({"bi": F.least("blk", "_j"), "bj": F.greatest("blk", "_j")}).drop("_n", "_k", "_j")
 
 

@@ -93,7 +93,7 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.98, tables: int = 2
     hashed = v.select("cid", "dim", "embedding").mapInArrow(_sign_buckets(tables, bits, seed), "cid bigint, buckets array<int>")
     hashed = checkpoint(hashed.join(v.select("cid", "dim", "label"), "cid"))
     cells = hashed.select("cid", "label", "dim", F.posexplode("buckets").alias("tbl", "bucket"))
-    blocks = in_blocks(cells, ["tbl", "label", "dim", "bucket"], F.col("cid"), block_rows)
+    blocks = in_blocks(cells, ["tbl", "label", "dim", "bucket"], F.col("cid"), block_rows, drop_single=True)
     full = blocks.join(hashed.select("cid", "buckets").join(v.select("cid", "embedding"), "cid"), "cid")
     keys = ["tbl", "label", "dim", "bucket", "bi", "bj"]
     rows = full.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "blk", "cid", "buckets", "embedding")

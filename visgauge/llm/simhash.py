@@ -15,7 +15,7 @@ from visgauge.llm.common import broadcast_up_to, checkpoint, close_pairs, in_blo
 from visgauge.llm.components import connected_components
 
 BITS = 64
-CELL = ["tbl", "pair", "cell", "bi", "bj"]
+LOW = 0x5555555555555555
 #: Row i: the bits of byte value i, lowest first.
 BYTE_BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1
 
@@ -75,12 +75,20 @@ def _forest(prints: np.ndarray, codes: np.ndarray, radius: int) -> tuple[list[np
     return us, vs
 
 
+def _unary(prints: np.ndarray) -> np.ndarray:
+    """The bit count of each segment of two bits, written in unary (0: 00, 1: 01, 2: 11)."""
+    low = np.uint64(LOW)
+    a, b = prints & low, (prints >> np.uint64(1)) & low
+    return a | b | ((a & b) << np.uint64(1))
+
+
 def _link_cells(radius: int, small: int = 48) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """In each cell, first the Manhattan distance of the popcounts, then the exact Hamming distance."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, starts in whole_groups(batches, CELL):
-            prints, codes = (t.column(c).to_numpy().view(np.uint64) for c in ("fp", "code"))
+        for t, starts in whole_groups(batches, ["cell"]):
+            prints = t.column("fp").to_numpy().view(np.uint64)
+            codes = _unary(prints)
             ends = np.append(starts[1:], len(prints))
             few = ends - starts <= small
             us, vs = [], []
@@ -116,19 +124,19 @@ def link_fingerprints(prints: DataFrame, radius: int = 4, exact_groups: int = 2,
     bits is mapped to its bit count, written in unary (0: 00, 1: 01, 2: 11), so that the Manhattan distance of two
     vectors of counts is the number of differing bits of their codes. It is never above the Hamming distance of the
     fingerprints. The segments form radius + exact_groups groups; two vectors within the radius differ in at most radius
-    groups, so they are equal in exact_groups of them at least and share the grid cell of those coordinates. Cells are
-    joined, candidates beyond the radius by Manhattan distance go, and the rest is compared exactly. More exact_groups
-    make smaller cells and more of them, for larger inputs. Cells of few rows give all their links, larger ones as many
-    as join their components.
+    groups, so they are equal in exact_groups of them at least and share the grid cell of those coordinates. A cell travels
+    as a hash of its coordinates; cells that share a hash add candidates, no links. Candidates beyond the radius by
+    Manhattan distance go, and the rest is compared exactly. More exact_groups make smaller cells and more of them, for
+    larger inputs. Cells of few rows give all their links, larger ones as many as join their components.
     """
     groups = np.array_split(np.arange(BITS // 2), radius + exact_groups)
     masks = [_signed(sum(3 << (2 * int(s)) for g in some for s in g)) for some in combinations(groups, exact_groups)]
-    low = F.lit(0x5555555555555555)
-    a, b = F.col("fp").bitwiseAND(low), F.shiftrightunsigned("fp", 1).bitwiseAND(low)
+    a, b = F.col("fp").bitwiseAND(F.lit(LOW)), F.shiftrightunsigned("fp", 1).bitwiseAND(F.lit(LOW))
     coded = prints.select("tbl", "node", "fp", a.bitwiseOR(b).bitwiseOR(F.shiftleft(a.bitwiseAND(b), 1)).alias("code"))
-    cells = coded.select("tbl", "node", "fp", "code", F.posexplode(F.array(*[F.col("code").bitwiseAND(F.lit(m)) for m in masks])).alias("pair", "cell"))
-    blocks = in_blocks(cells, ["tbl", "pair", "cell"], F.col("node"), block_rows)
-    rows = blocks.repartition(*CELL).sortWithinPartitions(*CELL, "node").select(*CELL, "node", "fp", "code")
+    coordinates = F.array(*[F.xxhash64("tbl", F.lit(k), F.col("code").bitwiseAND(F.lit(m))) for k, m in enumerate(masks)])
+    blocks = in_blocks(coded.select("node", "fp", F.explode(coordinates).alias("cell")), ["cell"], F.col("node"), block_rows)
+    group = F.when(F.col("bi") == F.col("bj"), F.col("cell")).otherwise(F.xxhash64("cell", "bi", "bj"))
+    rows = blocks.select(group.alias("cell"), "node", "fp").repartition("cell").sortWithinPartitions("cell")
     return rows.mapInArrow(_link_cells(radius), "u bigint, v bigint")
 
 
