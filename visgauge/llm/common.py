@@ -57,6 +57,13 @@ def in_blocks(cells: DataFrame, keys: list[str], member: Column, block_rows: int
     return out.withColumns({"bi": F.least("blk", "_j"), "bj": F.greatest("blk", "_j")}).drop("_n", "_k", "_j")
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows, so that what is made of the texts of a part stays small."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 16384) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """From batches sorted by integer keys, yield tables of whole groups with the row at which each group starts."""
     held: list[pa.RecordBatch] = []

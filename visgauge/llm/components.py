@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from visgauge.llm.common import checkpoint
 
 
-def _local_forest(batches: Iterator[pa.RecordBatch], links: int = 200_000) -> Iterator[pa.RecordBatch]:
+def _local_forest(batches: Iterator[pa.RecordBatch], links: int = 50_000) -> Iterator[pa.RecordBatch]:
     """Replace each run of links by as many stars as it has components: fewer links, the same components."""
     parent: dict[int, int] = {}
 

@@ -15,14 +15,14 @@ from visgauge.llm.common import broadcast_up_to, checkpoint
 MULTIPLIERS = {1: 0x9E3779B1, 2: 0x85EBCA77, 3: 0xC2B2AE3D, 4: 0x27D4EB2F}
 
 
-def hashed_counts(texts: Sequence[bytes], dims: int, orders: Sequence[int], piece: int = 1 << 20) -> np.ndarray:
+def hashed_counts(texts: Sequence[bytes], dims: int, orders: Sequence[int], piece: int = 1 << 18) -> np.ndarray:
     """A row for each text and a column for each of dims (a power of two) hash values: how often its n-grams occur."""
     out = np.zeros((len(texts), dims), np.float32)
     shift = np.uint32(32 - dims.bit_length() + 1)
     first = 0
     while first < len(texts):
         last, size = first, 0
-        while last < len(texts) and (last == first or (size + len(texts[last]) <= piece and last - first < 128)):
+        while last < len(texts) and (last == first or (size + len(texts[last]) <= piece and last - first < 32)):
             size += len(texts[last])
             last += 1
         lengths = np.fromiter((len(t) for t in texts[first:last]), np.int64, last - first)
@@ -45,7 +45,7 @@ def hashed_counts(texts: Sequence[bytes], dims: int, orders: Sequence[int], piec
     return out
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: int, rows: int = 256) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def blocks(batches: Iterator[pa.RecordBatch], column: int, rows: int = 64) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of few rows, with the texts of a column as bytes (null: empty)."""
     for b in batches:
         for i in range(0, b.num_rows, rows):

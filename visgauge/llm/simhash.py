@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visgauge.llm.common import broadcast_up_to, checkpoint, close_pairs, in_blocks, whole_groups
+from visgauge.llm.common import broadcast_up_to, checkpoint, close_pairs, in_blocks, slices, whole_groups
 from visgauge.llm.components import connected_components
 
 BITS = 64
@@ -160,7 +160,7 @@ def _word_prints(tables: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     """For each text: two digests of its words in order, and a fingerprint of its set of words for each seed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             keys, prints = [], []
             for x in b.column(1):
                 words = (x.as_py() or "").encode().lower().split()
@@ -181,7 +181,7 @@ def _word_prints(tables: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
 def _shingle_sets(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             sets = []
             for x in b.column(1):
                 w = (x.as_py() or "").encode().lower().split()
@@ -193,7 +193,7 @@ def _shingle_sets(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
 def _similar(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             good = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
