@@ -92,22 +92,24 @@ def collection_matches(pieces: np.ndarray, first: np.ndarray, last: np.ndarray,
     pieces: a row of bytes for each piece; only columns first to last of a row belong to its text. Column by column, from
     the last one, each piece inserts its symbol: the order of the suffixes that start there is the order of the round
     before, dealt stably by symbol, and two neighbours with the same symbol have one more byte in common than the least
-    common prefix between them in the round before. The Burrows-Wheeler symbols, orders and prefixes of each round are
-    appended to a file, of which only the round before is read again; strings of different columns are never compared,
-    as equal strings have their anchor at the same place, so each column keeps its own part of the transform.
+    common prefix between them in the round before. The orders, Burrows-Wheeler symbols and prefixes of each round are
+    written to a file that the next round reads from its begin to its end; two files take turns. Strings of different
+    columns are never compared, as equal strings have their anchor at the same place, so each column keeps its own part
+    of the transform.
     """
     n, columns = pieces.shape
     starts = columns - length + 1
-    order, common = np.arange(n, dtype=np.uint32), np.zeros(n + 1, np.uint8)
+
+    def symbols(j: int) -> np.ndarray:
+        return np.where((j >= first) & (j < last), pieces[:, j], OUTSIDE).astype(np.uint16)
+
+    order, common, symbol = np.arange(n, dtype=np.uint32), np.zeros(n + 1, np.uint8), symbols(columns - 1)
     out = np.full((n, starts), LAST)
-    with tempfile.TemporaryFile() as file:
+    with tempfile.TemporaryFile() as before, tempfile.TemporaryFile() as after:
         for j in range(columns - 1, -1, -1):
             if j < columns - 1:
-                file.seek(-(4 * n + n + 1), 2)
-                order = np.frombuffer(file.read(4 * n), np.uint32)
-                common = np.frombuffer(file.read(n + 1), np.uint8)
-            inside = (j >= first) & (j < last)
-            symbol = np.where(inside, pieces[:, j], OUTSIDE).astype(np.uint16)[order]
+                before.seek(0)
+                order, symbol, common = (np.frombuffer(before.read(size), kind) for size, kind in ((4 * n, np.uint32), (2 * n, np.uint16), (n + 1, np.uint8)))
             dealt = np.argsort(symbol, kind="stable")
             same = symbol[dealt[1:]] == symbol[dealt[:-1]]
             ranges = np.stack([dealt[:-1][same] + 1, dealt[1:][same] + 1], axis=1).ravel()
@@ -115,9 +117,11 @@ def collection_matches(pieces: np.ndarray, first: np.ndarray, last: np.ndarray,
             if len(ranges):
                 longer[1:n][same] = np.minimum(np.minimum.reduceat(common, ranges)[::2], length - 1) + 1
             order, common = order[dealt], longer
-            before = pieces[:, j - 1][order] if j else np.zeros(n, np.uint8)
-            for column in (before, order, common):
-                file.write(column.tobytes())
+            if j:
+                after.seek(0)
+                for column in (order, symbols(j - 1)[order], common):
+                    after.write(column.tobytes())
+                before, after = after, before
             if j < starts:
                 heads = np.flatnonzero(common[:n] < length)
                 least = np.minimum.reduceat(owner[order], heads)
