@@ -315,7 +315,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(counts, kinds, strict=True))], ["id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, anchors_in_bucket: int = 1_500_000) -> DataFrame:
+def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, anchors_in_bucket: int = 750_000) -> DataFrame:
     """id_col, n_bytes, n_removed, n_spans, kept (binary) for every row of docs.
 
     A byte of a text's UTF-8 goes if a string of `length` bytes that covers it also starts in a text with a smaller id.
