@@ -113,8 +113,8 @@ def _id_lists(rows: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32), pa.int32()))
 
 
-def _encode_whole(path: str, chars: int = 1 << 21) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The last column of each batch, encoded; batches are cut where their texts sum up to some million characters."""
+def _encode_whole(path: str, chars: int = 1 << 19) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The last column of each batch, encoded; batches are cut where their texts sum up to half a million characters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary(path)
@@ -175,8 +175,8 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary(path)
         for b in batches:
-            for i in range(0, b.num_rows, 512):
-                s = b.slice(i, 512)
+            for i in range(0, b.num_rows, 128):
+                s = b.slice(i, 128)
                 ids = (x.values.to_numpy().tolist() if x.is_valid else None for x in s.column(names.index(ids_col)))
                 texts = pa.array([None if x is None else voc.decode(x).decode(errors="replace") for x in ids], pa.string())
                 yield pa.RecordBatch.from_arrays([*s.columns, texts], [*names, "decoded"])
