@@ -211,7 +211,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     similarity; groups are connected components. Candidates are pairs whose fingerprints of single words are within
     radius for one of several seeds; every candidate is compared exactly. At 0.8, edits that are spread over a text
     change one word in fifty, and 5 bits catch such a pair with probability 0.9999 in six tables; where a block of new
-    words stands in one place and makes up a tenth of all, it is 0.95. Texts
+    words stands in one place and makes up a tenth of all different words, it is about 0.92, and 0.37 at a fifth. Texts
     with the same words in the same order form one class first and never form pairs. Null texts and texts without words
     are copies of each other. Null ids count as greater than all others; equal ids: any one row stays.
     """
