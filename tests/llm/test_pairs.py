@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import DOC, components, corpus, edited, groups, prose
-from visgauge.llm import simhash
+from visgauge.llm import shared, simhash
 from visgauge.llm.components import connected_components
 from visgauge.llm.embeddings import embedding_near_duplicates
 
@@ -86,6 +86,41 @@ def test_keep_one_of_each(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(of.values()))
 
 
+def kept_of(texts):
+    of = components(range(len(texts)), [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if jaccard(texts[a], texts[b]) >= 0.8])
+    return sorted(set(of.values()))
+
+
+def test_copies_of_one_original_that_are_unlike_each_other(spark):
+    """Each copy has one run of words that is its own: J with the original is above 0.8, and with the other copies below."""
+    rnd = random.Random(21)
+    words = prose(rnd, 230).split()
+    texts = [" ".join(words)]
+    for _ in range(250):
+        at = rnd.randrange(len(words) - 18)
+        texts.append(" ".join([*words[:at], *prose(rnd, 18).split(), *words[at + 18 :]]))
+    rnd.shuffle(texts)
+    expected = kept_of(texts)
+    alone = [jaccard(a, b) >= 0.8 for a, b in itertools.combinations(texts, 2)]
+    assert sum(alone) < 0.2 * len(alone) and len(expected) < 5
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one_of_each(docs).collect()) == expected
+
+
+@pytest.mark.parametrize("block", [6, 1024])
+def test_lists_cut_into_blocks_give_all_pairs(spark, block, monkeypatch):
+    """Without links made before, prefix filtering alone gives every pair of the similarity."""
+    rnd = random.Random(23)
+    base = [prose(rnd, k) for k in (3, 7, 12, 150, 300)]
+    texts = sorted({edited(rnd, t, k % 3) for t in base for k in range(20)})
+    pairs = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if jaccard(texts[a], texts[b]) >= 0.8}
+    frequent = shared._frequent
+    monkeypatch.setattr(shared, "_frequent", lambda texts, words: frequent(texts, words, one_of=1, least=2))
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    found = {tuple(r) for r in shared.sharing_pairs(rows, spark.createDataFrame([], "node long, root long"), 5, 0.8, block).collect()}
+    assert len(pairs) > 100 and pairs <= found
+
+
 def test_repeated_and_null_ids_keep_one_row(spark):
     docs = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "a b c"), (None, "d"), (2, "e")], "doc_id long, text string")
     assert sorted(map(str, simhash.keep_one_of_each(docs).collect())) == sorted(map(str, docs.where("text in ('d', 'e')").union(docs.where("doc_id = 1").limit(1)).collect()))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from visgauge.llm.common import broadcast_up_to, checkpoint, close_pairs, in_blocks, slices, whole_groups
 from visgauge.llm.components import connected_components
+from visgauge.llm.shared import sharing_pairs
 
 BITS = 64
 LOW = 0x5555555555555555
@@ -204,16 +205,23 @@ def _similar(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     return run
 
 
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs u, v whose texts reach the similarity, stored, so that one Python function at a time runs beside the sets."""
+    asked = checkpoint(pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct())
+    sets = texts.join(broadcast_up_to(asked, F.lit(16)), "row", "left_semi").mapInArrow(_shingle_sets(words), "row bigint, shingles binary")
+    left, right = (sets.select(F.col("row").alias(c), F.col("shingles").alias(f"of_{c}")) for c in ("u", "v"))
+    return checkpoint(pairs.join(left, "u").join(right, "v").select("u", "v", "of_u", "of_v").mapInArrow(_similar(similarity), "u bigint, v bigint"))
+
+
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, tables: int = 6, radius: int = 5) -> DataFrame:
     """The rows of docs less all but one row, that of the smallest id, of each group of near-duplicates.
 
     Two texts are near-duplicates if the sets of their shingles of `words` words have a Jaccard similarity of at least
-    similarity; groups are connected components. Candidates are pairs whose fingerprints of single words are within
-    radius for one of several seeds; every candidate is compared exactly. At 0.8, edits that are spread over a text
-    change one word in fifty, and 5 bits catch such a pair with probability 0.9999 in six tables; where a block of new
-    words stands in one place and makes up a tenth of all different words, it is about 0.92, and 0.37 at a fifth. Texts
-    with the same words in the same order form one class first and never form pairs. Null texts and texts without words
-    are copies of each other. Null ids count as greater than all others; equal ids: any one row stays.
+    similarity; groups are connected components. First candidates are pairs whose fingerprints of single words are
+    within radius for one of several seeds, which join most of a group at once. Prefix filtering then gives all other
+    pairs that can reach the similarity, less those of one group. Every candidate is compared exactly, so no pair is
+    missed. Texts with the same words in the same order form one class first and never form pairs. Null texts and texts
+    without words are copies of each other. Null ids count as greater than all others; equal ids: any one row stays.
     """
     rows = docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row"))
     texts = rows.select("row", F.col("doc")[text_col].cast("string").alias("text"))
@@ -222,10 +230,11 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     classes = checkpoint(hashed.groupBy("k1", "k2").agg(F.min(F.struct("id", "row")).alias("least"), F.first("prints").alias("prints")).select("least.*", "prints"))
     prints = classes.select(F.col("row").alias("node"), F.posexplode("prints").alias("tbl", "fp"))
     pairs = checkpoint(link_fingerprints(prints, radius).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    asked = checkpoint(pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct())
-    sets = texts.join(broadcast_up_to(asked, F.lit(16)), "row", "left_semi").mapInArrow(_shingle_sets(words), "row bigint, shingles binary")
-    left, right = (sets.select(F.col("row").alias(c), F.col("shingles").alias(f"of_{c}")) for c in ("u", "v"))
-    links = pairs.join(left, "u").join(right, "v").select("u", "v", "of_u", "of_v").mapInArrow(_similar(similarity), "u bigint, v bigint")
+    roots = checkpoint(connected_components(_verified(pairs, texts, words, similarity)))
+    copies = checkpoint(ids.join(classes.select("row"), "row", "left_anti").select("row"))
+    firsts = texts.join(broadcast_up_to(copies, F.lit(16)), "row", "left_anti")
+    more = checkpoint(sharing_pairs(firsts, roots, words, similarity))
+    links = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(_verified(more, texts, words, similarity))
     roots = connected_components(links)
     named = classes.join(roots.withColumnRenamed("node", "row"), "row", "left").select("id", "row", F.coalesce("root", "row").alias("root"))
     stays = checkpoint(named.groupBy("root").agg(F.min(F.struct("id", "row")).alias("least")).select(F.col("least.row").alias("row")))
