@@ -121,6 +121,21 @@ def test_lists_cut_into_blocks_give_all_pairs(spark, block, monkeypatch):
     assert len(pairs) > 100 and pairs <= found
 
 
+@pytest.mark.parametrize("how", ["appended", "prepended", "replaced"])
+def test_near_copies_with_a_block_of_new_words(spark, how):
+    rnd = random.Random(22)
+    texts = []
+    for k in range(40):
+        words, share = prose(rnd, 200).split(), rnd.uniform(0.05, 0.1 if how == "replaced" else 0.25)
+        new = prose(rnd, round(share * 200)).split()
+        at = rnd.randrange(len(words) - len(new))
+        texts += [" ".join(words), " ".join({"appended": words + new, "prepended": new + words, "replaced": words[:at] + new + words[at + len(new) :]}[how])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    expected = kept_of(texts)
+    assert len(expected) < 60
+    assert sorted(r.doc_id for r in simhash.keep_one_of_each(docs).collect()) == expected
+
+
 def test_repeated_and_null_ids_keep_one_row(spark):
     docs = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "a b c"), (None, "d"), (2, "e")], "doc_id long, text string")
     assert sorted(map(str, simhash.keep_one_of_each(docs).collect())) == sorted(map(str, docs.where("text in ('d', 'e')").union(docs.where("doc_id = 1").limit(1)).collect()))
