@@ -179,6 +179,18 @@ def test_contaminated(spark):
     assert decontaminate(docs.limit(0), benchmark).count() == 0
 
 
+@pytest.mark.parametrize("at_once", [1, 20_000])
+def test_clean_rows_stay_beside_rows_of_the_same_or_no_id(spark, at_once):
+    rnd = random.Random(31)
+    items = [prose(rnd, 30) for _ in range(3)]
+    leaks = [prose(rnd, 20) + " " + item for item in items]
+    rows = [(None, leaks[0]), (None, "clean one"), (None, None), (5, leaks[1]), (5, "clean two"), (6, leaks[2]), (7, "clean three")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    kept = decontaminate(docs, benchmark, items_at_once=at_once).collect()
+    assert sorted(map(str, map(tuple, kept))) == sorted(str(r) for r in rows if r[1] not in leaks)
+
+
 def test_lines(spark):
     rows = [(i, f" menu \nown {i}\nmenu\n\n", "en", "a", 1) for i in range(20)] + [(50 + i, f"menu\nother {i}", "en", "b", 1) for i in range(3)] + [(80 + i, "all of it", None, None, 1) for i in range(6)]
     rows += [(90, None, None, "a", None), (91, "", None, "a", 0), (92, "menu", None, "a", 4), (None, "x\r\ny", None, "c", 3)]

@@ -12,8 +12,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visgauge.llm.common import broadcast_up_to, checkpoint
-
 BLOCKS = 8
 #: All marks of ASCII become blanks; letters beyond ASCII stay as they are.
 _TO_BLANK = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
@@ -132,21 +130,31 @@ def contaminated(
     The items are sent to all tasks, items_at_once at a time: a larger benchmark takes more passes over docs.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).where("item is not null and text is not null")
-    slices = max(1, -(-items.count() // items_at_once))
     found = None
-    for k in range(slices):
-        own = [(r["item"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(slices)) == k).distinct().orderBy("item", "text").collect()]
+    for own in _item_slices(benchmark, item_col, item_text, items_at_once):
         part = rows.mapInArrow(_search(own, shingle, radius, similarity), "id bigint, item_id bigint, similarity double, first_word int, hamming int")
         found = part if found is None else found.unionByName(part)
     return found.withColumnRenamed("id", id_col)
 
 
+def _item_slices(benchmark: DataFrame, item_col: str, item_text: str, items_at_once: int) -> Iterator[list[tuple[int, str]]]:
+    """The items that are not null, each once, so many at a time."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).where("item is not null and text is not null")
+    slices = max(1, -(-items.count() // items_at_once))
+    for k in range(slices):
+        yield [(r["item"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(slices)) == k).distinct().orderBy("item", "text").collect()]
+
+
+def _sent(items: list[tuple[int, str]], shingle: int, radius: int) -> tuple[list[Sized], dict[int, np.ndarray]]:
+    """The index of the items and, for each shingle size, their sorted shingles."""
+    index = build_index(items, shingle, radius)
+    sizes = {s.shingle for s in index}
+    return index, {k: np.unique(np.array([x for s in index if s.shingle == k for c in s.counts for x in c], np.uint64)) for k in sizes}
+
+
 def _search(items: list[tuple[int, str]], shingle: int, radius: int, similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = build_index(items, shingle, radius)
-        sizes = {s.shingle for s in index}
-        known = {k: np.unique(np.array([x for s in index if s.shingle == k for c in s.counts for x in c], np.uint64)) for k in sizes}
+        index, known = _sent(items, shingle, radius)
         for b in batches:
             rows = [(doc, *m) for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True) for m in matches(text.as_py(), index, known, radius, similarity)]
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32())
@@ -155,8 +163,21 @@ def _search(items: list[tuple[int, str]], shingle: int, radius: int, similarity:
     return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options: object) -> DataFrame:
-    """The rows of docs in which no item was found. Rows with a null id stay only if their text holds no item."""
-    found = checkpoint(contaminated(docs, benchmark, id_col, **options).select(F.col(id_col).alias("found")).distinct())
-    rows = docs.select(F.struct(*docs.columns).alias("doc"))
-    return rows.join(broadcast_up_to(found, F.lit(32)), F.col("doc")[id_col].cast("long").eqNullSafe(F.col("found")), "left_anti").select("doc.*")
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
+    shingle: int = 5, similarity: float = 0.8, radius: int = 20, items_at_once: int = 20_000,
+) -> DataFrame:
+    """The rows of docs in which no item was found, by the text of each row alone: ids may be null or repeated."""
+    for own in _item_slices(benchmark, item_col, item_text, items_at_once):
+        rows = docs.select(F.col(text_col).cast("string").alias("text"), F.struct(*docs.columns).alias("doc"))
+        docs = rows.mapInArrow(_clean(own, shingle, radius, similarity), rows.schema).select("doc.*")
+    return docs
+
+
+def _clean(items: list[tuple[int, str]], shingle: int, radius: int, similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, known = _sent(items, shingle, radius)
+        for b in batches:
+            yield b.filter(pa.array([not matches(text.as_py(), index, known, radius, similarity) for text in b.column(0)], pa.bool_()))
+
+    return run
