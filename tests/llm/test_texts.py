@@ -140,6 +140,17 @@ def test_templates_of_a_host_go(spark):
     assert extract_main_text(pages.limit(0)).count() == 0
 
 
+def test_templates_inside_articles_go(spark):
+    """Unlabelled blocks that recur inside articles go; the article, its inline words and headings, and copies stay."""
+    rnd = random.Random(4)
+    own = [prose(rnd, 40).replace("\n", " ") for _ in range(20)]
+    inside = "<div><p>Read more of us</p><ul><li>one</li><li>two</li></ul></div>"
+    rows = [(i, "http://a.example/x", f"<main><article class='post share'><h2>Summary</h2><p>{t} <b>the</b> end</p>{inside}<article class='comment'>Me first</article></article></main>") for i, t in enumerate(own)]
+    rows += [(100 + i, "http://b.example/x", f"<article><p>{own[0]}</p><p>{own[1]}</p></article><p>{i}</p>") for i in range(8)]
+    found = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {i: f"Summary {t} the end" for i, t in enumerate(own)} | {100 + i: f"{own[0]} {own[1]}" for i in range(8)}
+
+
 def plain_similarity(words, item, size=5):
     size = min(size, len(item))
     own = Counter(tuple(item[i : i + size]) for i in range(len(item) - size + 1))

@@ -34,6 +34,9 @@ DROPPED_WORDS = frozenset(
     " recommended respond sidebar share sharing social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
 MAIN = frozenset(("article", "main"))
+#: Blocks that are parts of a list, a table or a section: inside an article they go only with all of it.
+PARTS = frozenset("caption dd dt figcaption h1 h2 h3 h4 h5 h6 hgroup legend li option tbody td tfoot th thead title tr".split())
+WHOLE = BLOCK - PARTS
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|<[!?/][^>]*>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORD = re.compile(r"[a-z]+")
@@ -42,15 +45,18 @@ _WORD = re.compile(r"[a-z]+")
 class _Element:
     """An open element: what of its subtree has been seen so far."""
 
-    __slots__ = ("begin", "drop", "inner", "main", "name", "size")
+    __slots__ = ("begin", "drop", "holds", "inner", "main", "name", "size")
 
     def __init__(self, name: str, begin: int, drop: bool, main: bool) -> None:
         self.name, self.begin, self.drop, self.main = name, begin, drop, main
         self.inner: list[bytes] = []
         self.size = 0
+        #: Whether it is an article or main element or holds one.
+        self.holds = name in MAIN
 
 
-def _is_dropped(name: str, attributes: str, in_main: bool) -> bool:
+def _is_dropped(name: str, attributes: str, in_main: bool, nested: bool = False) -> bool:
+    """nested: whether the element is an article inside of another, such as a comment."""
     if name in DROPPED or (name == "header" and not in_main):
         return True
     if not attributes or "=" not in attributes and "hidden" not in attributes:
@@ -58,7 +64,7 @@ def _is_dropped(name: str, attributes: str, in_main: bool) -> bool:
     for key, *values in _ATTRIBUTE.findall(attributes):
         value = "".join(values).lower()
         key = key.lower()
-        if key in ("class", "id") and name not in MAIN and name not in ("html", "body"):
+        if key in ("class", "id") and (nested or name not in MAIN) and name not in ("html", "body"):
             words = _WORD.findall(value)
             if not DROPPED_WORDS.isdisjoint(words) and not (in_main and "header" in words):
                 return True
@@ -72,14 +78,16 @@ def _is_dropped(name: str, attributes: str, in_main: bool) -> bool:
 Piece = tuple[str, bool, bool]
 
 
-def segments(page: str) -> tuple[list[Piece], list[tuple[int, int, int, int]]]:
+def segments(page: str) -> tuple[list[Piece], list[tuple[int, int, int, int, bool]]]:
     """A page as pieces of text and subtrees.
 
     pieces: (text, whether it is in a dropped element, whether it is in an article or main element); an empty text ends
-    a block. subtrees: (hash of names and texts, first piece, end piece, number of characters) of each element.
+    a block. subtrees: (hash of names and texts, first piece, end piece, number of characters, whether it is in an article
+    or main element) of each element that can be a template: none that is or holds an article or main element, and inside
+    of these only blocks that are no part of a larger one.
     """
     pieces: list[Piece] = []
-    subtrees: list[tuple[int, int, int, int]] = []
+    subtrees: list[tuple[int, int, int, int, bool]] = []
     stack = [_Element("", 0, False, False)]
 
     def close() -> None:
@@ -88,8 +96,9 @@ def segments(page: str) -> tuple[list[Piece], list[tuple[int, int, int, int]]]:
         top = stack[-1]
         top.inner.append(digest)
         top.size += e.size
-        if e.size and e.name not in ("html", "body"):
-            subtrees.append((int.from_bytes(digest, "big", signed=True), e.begin, len(pieces), e.size))
+        top.holds = top.holds or e.holds
+        if e.size and e.name not in ("html", "body") and not e.holds and (not e.main or e.name in WHOLE):
+            subtrees.append((int.from_bytes(digest, "big", signed=True), e.begin, len(pieces), e.size, e.main))
         if e.name in BLOCK:
             pieces.append(("", False, False))
 
@@ -133,7 +142,8 @@ def segments(page: str) -> tuple[list[Piece], list[tuple[int, int, int, int]]]:
                 pieces.append((" ", top.drop, top.main))
             continue
         main = top.main or name in MAIN
-        stack.append(_Element(name, len(pieces), top.drop or _is_dropped(name, m[3], main), main))
+        nested = name == "article" and any(e.name == "article" for e in stack)
+        stack.append(_Element(name, len(pieces), top.drop or _is_dropped(name, m[3], main, nested), main))
         if name in RAW and not m[3].endswith("/"):
             end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
             text(page[at : end.start() if end else len(page)])
@@ -159,17 +169,22 @@ def _blocks(pieces: list[Piece]) -> str:
 def main_text(page: str | None, templates: set[int] | frozenset[int] = frozenset()) -> str:
     """The text of a page less its template subtrees and what is never part of an article.
 
-    A page with article or main elements has its text in them. Templates hold menus and the like, so a subtree counts
-    as one only outside these elements, and where it holds less than half of the text of a page without them.
+    A page with article or main elements has its text in them, and a template goes there as it does outside, but never
+    the element itself. A subtree outside is a template only where it holds less than half of the text of the page, and
+    those inside go only if all of them hold less than half of the text inside, as the page is a copy otherwise.
     """
     pieces, subtrees = segments(page or "")
     has_main = any(m and f.strip() for f, d, m in pieces if not d)
     if templates:
         total = sum(len(f) for f, d, _ in pieces if not d)
         gone = [False] * len(pieces)
-        for h, begin, end, size in subtrees:
-            if h in templates and 2 * size < total and not any(p[2] for p in pieces[begin:end]):
-                gone[begin:end] = [True] * (end - begin)
+        inner = [False] * len(pieces)
+        for h, begin, end, size, inside in subtrees:
+            if h in templates and (inside or 2 * size < total):
+                (inner if inside else gone)[begin:end] = [True] * (end - begin)
+        lost, all_inside = (sum(len(f) for (f, d, m), g in zip(pieces, which, strict=True) if g and m and not d) for which in (inner, [True] * len(pieces)))
+        if 2 * lost < all_inside:
+            gone = [g or i for g, i in zip(gone, inner, strict=True)]
         pieces = [(f, d or g, m) if f else (f, d, m) for (f, d, m), g in zip(pieces, gone, strict=True)]
     return _blocks([p for p in pieces if not p[0] or (not p[1] and (p[2] or not has_main))])
 
@@ -183,15 +198,14 @@ def host_of(url: str) -> Column:
 def template_subtrees(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = 5, min_share: float = 0.2) -> DataFrame:
     """host, subtree of the element subtrees on min_pages and min_share of their host's pages, or more.
 
-    Each page counts a subtree once, and outside of article and main elements; hashes are summed on the map side.
+    Each page counts a subtree once, inside of article and main elements as well; hashes are summed on the map side.
     """
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             hosts, found = [], []
             for host, page in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                pieces, subtrees = segments(page.as_py() or "")
-                own = {h for h, begin, end, _ in subtrees if not any(p[2] for p in pieces[begin:end])}
+                own = {s[0] for s in segments(page.as_py() or "")[1]}
                 hosts += [host] * len(own)
                 found += own
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64())], ["host", "subtree"])
