@@ -13,6 +13,8 @@ import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from visgauge.llm.common import in_arrow
+
 #: The split pattern of the byte-level pre-tokenizer; a fixed value.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A place where a new pre-token starts whatever stands around: one blank between a visible byte and a letter or digit.
@@ -160,10 +162,10 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     all tasks, and those of one text meet again as ids. Repeated and null ids are rows of their own.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    short = rows.where(F.length("text") <= leaf_chars).mapInArrow(_encode_whole(path), "id bigint, ids array<int>")
+    short = rows.where(F.length("text") <= leaf_chars).transform(in_arrow, _encode_whole(path), "id bigint, ids array<int>")
     long = rows.select(F.monotonically_increasing_id().alias("row"), "id", "text").where(F.length("text") > leaf_chars)
-    cut = long.mapInArrow(_cut_leaves(leaf_chars), "row bigint, id bigint, leaf int, text string").repartition("row", "leaf")
-    encoded = cut.mapInArrow(_encode_whole(path), "row bigint, id bigint, leaf int, ids array<int>")
+    cut = long.transform(in_arrow, _cut_leaves(leaf_chars), "row bigint, id bigint, leaf int, text string").repartition("row", "leaf")
+    encoded = cut.transform(in_arrow, _encode_whole(path), "row bigint, id bigint, leaf int, ids array<int>")
     joined = encoded.groupBy("row").applyInArrow(_join_leaves(path), "id bigint, ids array<int>")
     return short.unionByName(joined).withColumnRenamed("id", id_col)
 
@@ -182,7 +184,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*s.columns, texts], [*names, "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
-    return encoded.mapInArrow(run, f"{fields}, decoded string")
+    return encoded.transform(in_arrow, run, f"{fields}, decoded string")
 
 
 def ids_digest(ids: Column) -> Column:

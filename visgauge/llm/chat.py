@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from visgauge.llm.common import in_arrow
 from visgauge.llm.bpe import Vocabulary, vocabulary
 
 #: Stands before each role, before each text and at the end. As a special token of the vocabulary it never shares a
@@ -85,7 +86,7 @@ def format_conversations(
                 kinds = (pa.string(), pa.list_(pa.int32()), pa.list_(pa.bool_()))
                 yield pa.RecordBatch.from_arrays([s.column(0), *(pa.array([d[k] for d in done], kind) for k, kind in enumerate(kinds))], ["id", "formatted", "ids", "loss"])
 
-    return whole.mapInArrow(run, "id bigint, formatted string, ids array<int>, loss array<boolean>").withColumnRenamed("id", id_col)
+    return whole.transform(in_arrow, run, "id bigint, formatted string, ids array<int>, loss array<boolean>").withColumnRenamed("id", id_col)
 
 
 def read_back(formatted: DataFrame, path: str, id_col: str = "conv_id") -> DataFrame:
@@ -104,6 +105,6 @@ def read_back(formatted: DataFrame, path: str, id_col: str = "conv_id") -> DataF
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], ["id", "n_turns", "turns", "loss_text", "formatted_chars"])
 
     rows = formatted.select(F.col(id_col).alias("id"), "formatted", "ids", "loss")
-    return rows.mapInArrow(run, "id bigint, n_turns bigint, turns string, loss_text string, formatted_chars bigint").withColumnRenamed("id", id_col)
+    return rows.transform(in_arrow, run, "id bigint, n_turns bigint, turns string, loss_text string, formatted_chars bigint").withColumnRenamed("id", id_col)
 
 

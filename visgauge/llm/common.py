@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +31,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def in_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str, batch_bytes: int = 4 << 20) -> DataFrame:
+    """df.mapInArrow, with batches of at most about batch_bytes, as rows with long texts or lists would fill the default
+    of 64 MB in the executor and again in its Python workers. The session keeps the smaller limit."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf = df.sparkSession.conf
+    if int(conf.get(limit, str(64 << 20)).removesuffix("b")) > batch_bytes:
+        conf.set(limit, str(batch_bytes))
+    return df.mapInArrow(function, schema)
+
+
 def broadcast_up_to(df: DataFrame, row_bytes: Column, limit: int = 32 << 20) -> DataFrame:
     """df with a broadcast hint if its rows, by row_bytes, sum up to limit bytes at most; as it is otherwise."""
     size = df.agg(F.sum(row_bytes)).first()[0] or 0

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visgauge.llm.common import checkpoint
+from visgauge.llm.common import checkpoint, in_arrow
 
 
 def _local_forest(batches: Iterator[pa.RecordBatch], links: int = 50_000) -> Iterator[pa.RecordBatch]:
@@ -54,7 +54,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     """
     u, v = links.columns[:2]
     e = links.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u is not null and v is not null and u <> v")
-    e = checkpoint(e.mapInArrow(_local_forest, "u bigint, v bigint").distinct())
+    e = checkpoint(e.transform(in_arrow, _local_forest, "u bigint, v bigint").distinct())
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visgauge.llm.common import checkpoint, close_pairs, in_blocks, whole_groups
+from visgauge.llm.common import checkpoint, close_pairs, in_arrow, in_blocks, whole_groups
 from visgauge.llm.components import connected_components
 
 
@@ -90,14 +90,14 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.98, tables: int = 2
     14 signs with probability 0.999994; more bits make smaller buckets for larger inputs, more tables win back recall.
     """
     v = vectors.select("cid", F.size("embedding").alias("dim"), "label", "embedding")
-    hashed = v.select("cid", "dim", "embedding").mapInArrow(_sign_buckets(tables, bits, seed), "cid bigint, buckets array<int>")
+    hashed = v.select("cid", "dim", "embedding").transform(in_arrow, _sign_buckets(tables, bits, seed), "cid bigint, buckets array<int>")
     hashed = checkpoint(hashed.join(v.select("cid", "dim", "label"), "cid"))
     cells = hashed.select("cid", "label", "dim", F.posexplode("buckets").alias("tbl", "bucket"))
     blocks = in_blocks(cells, ["tbl", "label", "dim", "bucket"], F.col("cid"), block_rows, drop_single=True)
     full = blocks.join(hashed.select("cid", "buckets").join(v.select("cid", "embedding"), "cid"), "cid")
     keys = ["tbl", "label", "dim", "bucket", "bi", "bj"]
     rows = full.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "blk", "cid", "buckets", "embedding")
-    return rows.mapInArrow(_verify(threshold), "u bigint, v bigint")
+    return rows.transform(in_arrow, _verify(threshold), "u bigint, v bigint")
 
 
 def embedding_near_duplicates(

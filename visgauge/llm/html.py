@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from visgauge.llm.common import broadcast_up_to, checkpoint
+from visgauge.llm.common import broadcast_up_to, checkpoint, in_arrow
 
 #: Fixed values of the HTML standard: elements without an end tag, with raw text, and that begin a new block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -212,7 +212,7 @@ def template_subtrees(pages: DataFrame, url_col: str = "url", html_col: str = "h
 
     rows = pages.select(host_of(url_col).alias("host"), F.col(html_col).cast("string").alias("html"))
     totals = rows.groupBy(F.col("host").alias("of")).agg(F.count(F.lit(1)).alias("host_pages"))
-    counts = rows.mapInArrow(hashes, "host string, subtree bigint").groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+    counts = rows.transform(in_arrow, hashes, "host string, subtree bigint").groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
     return counts.join(totals, F.col("host").eqNullSafe(F.col("of"))).where(F.col("n") >= F.lit(min_share) * F.col("host_pages")).select("host", "subtree")
 
 
@@ -232,4 +232,4 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], [*b.schema.names[:2], "text"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:2])
-    return rows.mapInArrow(run, f"{fields}, text string")
+    return rows.transform(in_arrow, run, f"{fields}, text string")

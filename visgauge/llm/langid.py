@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from visgauge.llm.common import in_arrow
 from visgauge.llm.ngrams import blocks, bounded_sample, collect_features, document_frequencies, hashed_counts, tf_idf
 
 UNDETERMINED = "und"
@@ -126,4 +127,4 @@ def identify_languages(docs: DataFrame, model: LanguageModel, text_col: str = "t
     """
     rows = docs.select(F.col(text_col).cast("string").alias("_text"), *keep)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(_predict(model), f"{fields}, lang_pred string, score double, rejected boolean")
+    return rows.transform(in_arrow, _predict(model), f"{fields}, lang_pred string, score double, rejected boolean")

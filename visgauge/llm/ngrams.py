@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visgauge.llm.common import broadcast_up_to, checkpoint
+from visgauge.llm.common import broadcast_up_to, checkpoint, in_arrow
 
 #: Odd multipliers of a multiplicative hash, one for each n-gram length.
 MULTIPLIERS = {1: 0x9E3779B1, 2: 0x85EBCA77, 3: 0xC2B2AE3D, 4: 0x27D4EB2F}
@@ -66,7 +66,7 @@ def document_frequencies(docs: DataFrame, text_col: str, dims: int, orders: Sequ
             total[dims] += s.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(dims + 1)), pa.array(total)], ["slot", "n"])
 
-    rows = docs.select(F.col(text_col).cast("string")).mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(F.col(text_col).cast("string")).transform(in_arrow, count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).collect()
     found = np.zeros(dims + 1, np.int64)
     for r in rows:
         found[r["slot"]] = r["n"]
@@ -99,7 +99,7 @@ def collect_features(sample: DataFrame, features: Callable[[list[bytes]], np.nda
             values = [row[i] for row, i in zip(x, slots, strict=True)]
             yield pa.RecordBatch.from_arrays([s.column(0), s.column(1), pa.array(slots, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], ["label", "id", "slot", "x"])
 
-    rows = sample.select(F.col("label").cast("string"), F.col("id").cast("string"), "text").mapInArrow(sparse, "label string, id string, slot array<int>, x array<float>")
+    rows = sample.select(F.col("label").cast("string"), F.col("id").cast("string"), "text").transform(in_arrow, sparse, "label string, id string, slot array<int>, x array<float>")
     found = rows.toPandas().sort_values(["label", "id"])
     out = np.zeros((len(found), width), np.float32)
     for i, (slot, x) in enumerate(zip(found["slot"], found["x"], strict=True)):

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from visgauge.llm.common import in_arrow
 from visgauge.llm.ngrams import blocks, bounded_sample, collect_features, document_frequencies, hashed_counts, tf_idf
 
 DIMS = 4096
@@ -108,4 +109,4 @@ def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text",
     learned, get the share of label 1 over all labels."""
     rows = docs.select(F.col(text_col).cast("string").alias("_text"), *keep)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(_score(model, neighbours, sharpness), f"{fields}, score double")
+    return rows.transform(in_arrow, _score(model, neighbours, sharpness), f"{fields}, score double")

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visgauge.llm.common import broadcast_up_to, close_pairs, slices, whole_groups
+from visgauge.llm.common import broadcast_up_to, close_pairs, in_arrow, slices, whole_groups
 
 #: So many common shingles of two prefixes are asked for, where the texts have as many.
 COMMON = 4
@@ -48,7 +48,7 @@ def _frequent(texts: DataFrame, words: int, one_of: int = 16, least: int = 4, mo
             h = np.concatenate([_distinct_shingles(x.as_py(), words) for x in b.column(0)])
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
 
-    counts = texts.where(F.pmod(F.xxhash64("row"), F.lit(one_of)) == 0).select("text").mapInArrow(run, "h bigint").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    counts = texts.where(F.pmod(F.xxhash64("row"), F.lit(one_of)) == 0).select("text").transform(in_arrow, run, "h bigint").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     rows = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "h").limit(most).collect()
     keys = np.array([r["h"] for r in rows], np.int64).view(np.uint64)
     order = np.argsort(keys)
@@ -135,9 +135,9 @@ def sharing_pairs(texts: DataFrame, roots: DataFrame, words: int, similarity: fl
     are cut into blocks that meet in pairs.
     """
     keys, counts = _frequent(texts, words)
-    rows = texts.select("row", "text").mapInArrow(_prefixes(words, similarity, keys, counts, block_rows), "row bigint, n int, cells array<bigint>, sides array<tinyint>")
+    rows = texts.select("row", "text").transform(in_arrow, _prefixes(words, similarity, keys, counts, block_rows), "row bigint, n int, cells array<bigint>, sides array<tinyint>")
     linked = roots.where("node <> root").select(F.col("node").alias("row"), "root")
     rows = rows.join(broadcast_up_to(linked, F.lit(32)), "row", "left").select("row", "n", F.coalesce("root", "row").alias("root"), F.explode(F.arrays_zip("cells", "sides")).alias("at"))
     lists = rows.select(F.col("at.cells").alias("cell"), F.col("at.sides").alias("side"), "row", "n", "root").repartition("cell").sortWithinPartitions("cell")
-    shared = lists.mapInArrow(_share_lists(similarity), "u bigint, v bigint, needed int").groupBy("u", "v").agg(F.count(F.lit(1)).alias("n"), F.max("needed").alias("needed"))
+    shared = lists.transform(in_arrow, _share_lists(similarity), "u bigint, v bigint, needed int").groupBy("u", "v").agg(F.count(F.lit(1)).alias("n"), F.max("needed").alias("needed"))
     return shared.where("n >= needed").select("u", "v")

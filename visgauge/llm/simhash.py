@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visgauge.llm.common import broadcast_up_to, checkpoint, close_pairs, in_blocks, slices, whole_groups
+from visgauge.llm.common import broadcast_up_to, checkpoint, close_pairs, in_arrow, in_blocks, slices, whole_groups
 from visgauge.llm.components import connected_components
 from visgauge.llm.shared import sharing_pairs
 
@@ -54,7 +54,7 @@ def _fingerprints(words: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]],
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42) -> DataFrame:
     """id, fp (the 64 bits as bigint) for every row of docs."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprints(words, seed), "id bigint, fp bigint")
+    return rows.transform(in_arrow, _fingerprints(words, seed), "id bigint, fp bigint")
 
 
 def _forest(prints: np.ndarray, codes: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -138,7 +138,7 @@ def link_fingerprints(prints: DataFrame, radius: int = 4, exact_groups: int = 2,
     blocks = in_blocks(coded.select("node", "fp", F.explode(coordinates).alias("cell")), ["cell"], F.col("node"), block_rows)
     group = F.when(F.col("bi") == F.col("bj"), F.col("cell")).otherwise(F.xxhash64("cell", "bi", "bj"))
     rows = blocks.select(group.alias("cell"), "node", "fp").repartition("cell").sortWithinPartitions("cell")
-    return rows.mapInArrow(_link_cells(radius), "u bigint, v bigint")
+    return rows.transform(in_arrow, _link_cells(radius), "u bigint, v bigint")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
@@ -208,9 +208,9 @@ def _similar(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs u, v whose texts reach the similarity, stored, so that one Python function at a time runs beside the sets."""
     asked = checkpoint(pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct())
-    sets = texts.join(broadcast_up_to(asked, F.lit(16)), "row", "left_semi").mapInArrow(_shingle_sets(words), "row bigint, shingles binary")
+    sets = texts.join(broadcast_up_to(asked, F.lit(16)), "row", "left_semi").transform(in_arrow, _shingle_sets(words), "row bigint, shingles binary")
     left, right = (sets.select(F.col("row").alias(c), F.col("shingles").alias(f"of_{c}")) for c in ("u", "v"))
-    return checkpoint(pairs.join(left, "u").join(right, "v").select("u", "v", "of_u", "of_v").mapInArrow(_similar(similarity), "u bigint, v bigint"))
+    return checkpoint(pairs.join(left, "u").join(right, "v").select("u", "v", "of_u", "of_v").transform(in_arrow, _similar(similarity), "u bigint, v bigint"))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, tables: int = 6, radius: int = 5) -> DataFrame:
@@ -226,7 +226,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row"))
     texts = rows.select("row", F.col("doc")[text_col].cast("string").alias("text"))
     ids = rows.select("row", F.coalesce(F.col("doc")[id_col].cast("long"), F.lit((1 << 63) - 1)).alias("id"))
-    hashed = texts.mapInArrow(_word_prints(tables), "row bigint, k1 bigint, k2 bigint, prints array<bigint>").join(ids, "row")
+    hashed = texts.transform(in_arrow, _word_prints(tables), "row bigint, k1 bigint, k2 bigint, prints array<bigint>").join(ids, "row")
     classes = checkpoint(hashed.groupBy("k1", "k2").agg(F.min(F.struct("id", "row")).alias("least"), F.first("prints").alias("prints")).select("least.*", "prints"))
     prints = classes.select(F.col("row").alias("node"), F.posexplode("prints").alias("tbl", "fp"))
     pairs = checkpoint(link_fingerprints(prints, radius).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from visgauge.llm.common import in_arrow
+
 #: Bytes of the gram that is an anchor.
 GRAM = 20
 #: Symbol of the places before a text's begin and behind its end.
@@ -331,12 +333,12 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 1 + 2 * total // (length - GRAM + 2) // anchors_in_bucket
     # both of these are read twice: the plan of each reader has the same exchange, so that it is made once
-    by_bucket = rows.select("row", "order", "text").mapInArrow(_find_anchors(length, buckets), "bucket int, n int, packed binary")
-    texts = rows.select("row", "id", "text").mapInArrow(_compress, "row bigint, id bigint, size bigint, packed binary").where("row is not null").repartition("row")
+    by_bucket = rows.select("row", "order", "text").transform(in_arrow, _find_anchors(length, buckets), "bucket int, n int, packed binary")
+    texts = rows.select("row", "id", "text").transform(in_arrow, _compress, "row bigint, id bigint, size bigint, packed binary").where("row is not null").repartition("row")
     wanted = by_bucket.groupBy("bucket").applyInArrow(_wanted, "row bigint, bucket int, n int, slots binary, places binary")
     wanted = wanted.groupBy("row").agg(F.collect_list(F.struct("bucket", "n", "slots", "places")).alias("wanted"))
-    cut = texts.join(wanted, "row").select("id", "size", "packed", "wanted").mapInArrow(_cut_pieces(length), "bucket int, n int, pieces binary")
+    cut = texts.join(wanted, "row").select("id", "size", "packed", "wanted").transform(in_arrow, _cut_pieces(length), "bucket int, n int, pieces binary")
     judged = by_bucket.groupBy("bucket").cogroup(cut.groupBy("bucket")).applyInArrow(_judge(length), "row bigint, begins binary, sizes binary")
     spans = judged.groupBy("row").agg(F.collect_list(F.struct("begins", "sizes")).alias("spans"))
     out = texts.join(spans, "row", "left").select("id", "size", "packed", "spans")
-    return out.mapInArrow(_remove, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary").withColumnRenamed("id", id_col)
+    return out.transform(in_arrow, _remove, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary").withColumnRenamed("id", id_col)
