@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 
 from tests.llm.helpers import DOC, corpus, edited, prose
 from visgauge.llm import bpe, chat, suffixes
+from visgauge.llm import decontaminate as decontaminate_module
 from visgauge.llm.decontaminate import contaminated, decontaminate, words_of
 from visgauge.llm.html import extract_main_text, main_text
 from visgauge.llm.langid import fit_languages, identify_languages
@@ -258,3 +259,71 @@ def test_quality(spark):
     nothing = fit_quality(docs.limit(0), labels.limit(0))
     assert {r.score for r in score_quality(asked, nothing).collect()} == {0.5}
     assert score_quality(asked.limit(0), model).count() == 0
+
+
+def test_scripts_without_blanks(spark):
+    """An item in Chinese is found inside of a paragraph, whatever marks stand around it."""
+    rnd = random.Random(41)
+    signs = [chr(0x4E00 + k) for k in range(300)]
+    item = "".join(rnd.choices(signs, k=40))
+    around = ["".join(rnd.choices(signs, k=60)) for _ in range(2)]
+    one_less = item[:20] + item[21:]
+    rows = [(0, around[0] + item + around[1]), (1, f"{around[0]}。{item}、{around[1]}"), (2, around[0] + around[1]), (3, item[:15]), (4, around[0] + item[1:] + around[1]), (5, around[0] + one_less)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = contaminated(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    expected = {d for d, t in rows if plain_similarity(words_of(t), words_of(item)) >= 0.8}
+    assert {r.doc_id for r in found} == expected == {0, 1, 4}
+    assert {r.similarity for r in found if r.doc_id < 4} == {1.0}
+
+
+def test_long_and_repeated_texts_hold_items(spark):
+    rnd = random.Random(42)
+    items = [prose(rnd, k) for k in (7, 25, 61, 400)]
+    long = " ".join([prose(rnd, 9000), items[2], prose(rnd, 4090), items[3], prose(rnd, 20), items[1]])
+    rows = [(0, long), (1, long), (2, items[0]), (3, " ".join([items[0]] * 300)), (4, prose(rnd, 6000))]
+    found = contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.similarity) for r in found) == sorted([(d, i, 1.0) for d in (0, 1) for i in (1, 2, 3)] + [(2, 0, 1.0), (3, 0, 1.0)])
+    assert {(r.doc_id, r.item_id): r.first_word for r in found}[3, 0] == 0
+
+
+def test_fingerprints_within_the_radius_are_all_found():
+    """The blocks point out every pair within the radius, by brute force over fingerprints with changed bits."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    t = decontaminate_module._tables(base, list(range(40)), [0] * 40, 11)
+    for changed in range(15):
+        prints = base.copy()
+        for k in range(40):
+            for bit in rng.choice(64, changed, replace=False).tolist():
+                prints[k] ^= np.uint64(1 << bit)
+        found = {(row, k): d for row, k, d in decontaminate_module._near(prints, decontaminate_module._blocks(prints), t, 11)}
+        apart = np.bitwise_count(prints[:, None] ^ base)
+        assert found == {(i, j): int(apart[i, j]) for i, j in zip(*np.nonzero(apart <= 11), strict=True)}
+
+
+def test_windows_have_the_fingerprint_of_their_own_features():
+    rng = np.random.default_rng(9)
+    features = rng.integers(0, 1 << 63, 700, dtype=np.uint64)
+    for width, prints in decontaminate_module.fingerprints(features, [1, 2, 13, 50, 255, 256, 300, 800]):
+        for at in (0, 5, len(features) - width):
+            ones = ((features[at : at + width, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).sum(axis=0)
+            assert int(prints[at]) == sum(1 << k for k in np.flatnonzero(2 * ones > width).tolist())
+
+
+def test_edited_items_are_found():
+    """Recall of windows with edits at either edge or inside, of those that reach the similarity."""
+    rnd = random.Random(43)
+    items = tuple((i, prose(rnd, rnd.randrange(14, 60))) for i in range(60))
+    index = decontaminate_module.build_index(items, 5, 11)
+    wanted = found = 0
+    for i, item in items:
+        for kind in range(6):
+            words, k = item.split(), rnd.randrange(1, 6)
+            new = prose(rnd, k).split()
+            words = [words, [*words[:-k], *new], [*new, *words[k:]], [*words[: len(words) // 2], "x", *words[len(words) // 2 :]], words[k:], words[:-1]][kind]
+            text = " ".join([prose(rnd, 30), *words, prose(rnd, 30)])
+            s = plain_similarity(words_of(text), words_of(item))
+            if s >= 0.8:
+                wanted += 1
+                found += any(m[0] == i and m[1] == pytest.approx(s) for m in next(decontaminate_module.matches([text], index, 5, 11, 0.8)))
+    assert wanted > 200 and found >= 0.99 * wanted
