@@ -95,7 +95,17 @@ def test_texts(spark):
     assert one(spark, text.portable_path(F.lit("C:\\p\\run\\a.json"), "C:\\p")) == "run/a.json"
     assert one(spark, text.question_entities(F.lit("Where is the dog relative to the red cup?"), F.lit("spatial_relation"))) == ["dog", "red cup"]
     assert [one(spark, text.pluralize(F.lit(w))) for w in ("bus", "berry", "key", "dish", "cup")] == ["buses", "berries", "keys", "dishes", "cups"]
-    assert one(spark, text.threshold_slug(F.lit(0.3))) == "0p30"
+    assert [one(spark, text.pluralize(F.lit(w))) for w in ("", "  ", "y", "traffic  light", "hay", "x y")] == ["", "  ", "ys", "traffic lights", "hays", "x ys"]
+    assert [one(spark, text.threshold_slug(F.lit(x))) for x in (0.3, 1234.0)] == ["0p30", "1234p00"]
+    assert one(spark, text.portable_path(F.lit("/home/other/p/run/a.json"), "C:\\q\\p")) == "run/a.json"
+    assert one(spark, text.portable_path(F.lit("/elsewhere\\a.json"), "/q/p")) == "/elsewhere/a.json"
+    assert one(spark, hashing.key(F.lit(None), F.lit("a"))) != one(spark, hashing.key(F.lit("a"), F.lit(None)))
+
+
+def test_overlapping_names(spark):
+    names = ["hot", "hot dog", "dog house big", "cat"]
+    said = {"a hot dog house big": ["dog house big", "hot"], "hot dogs and cats": ["cat", "hot dog"], "scat hotel": [], "hot": ["hot"]}
+    assert {t: one(spark, text.extract_categories(F.lit(t), names, {})) for t in said} == said
     assert one(spark, text.safe_label(F.lit(" !! "))) == "object"
     with pytest.raises(Exception, match="needs a phrase"):
         one(spark, text.normalize_prompt(F.lit(" . ; ")))

@@ -69,10 +69,29 @@ def test_suppress(spark, seed):
 def test_average_precision(spark):
     hits = spark.createDataFrame([("a", 0.9, 1, True), ("a", 0.8, 2, False), ("a", 0.7, 3, True), ("b", 0.5, 4, False)], "g string, score double, id long, hit boolean")
     truths = spark.createDataFrame([("a", 2), ("b", 1), ("c", 1), ("d", 0)], "g string, gt long")
-    found = detection.average_precision(hits, "g", [F.desc("score"), F.col("id")], F.col("hit"), truths).collect()
+    found = detection.average_precision(hits, "g", F.col("score"), [F.col("id")], F.col("hit"), truths).collect()
     assert {r.g: r.ap for r in found} == {"a": round((1 + 2 / 3) / 2, 6), "b": 0.0, "c": 0.0, "d": None}
 
 
+def test_average_precision_in_ranges(spark):
+    rnd = random.Random(6)
+    rows = [(None if i % 4 == 3 else f"g{i % 4}", None if i % 97 == 0 else round(rnd.random(), 2), i, rnd.random() < 0.3) for i in range(4000)]
+    truths = spark.createDataFrame([("g0", 400), ("g1", 300), ("g2", 350), (None, 320)], "g string, gt long")
+    frame = spark.createDataFrame(rows, "g string, score double, id long, hit boolean")
+    found = {r.g: r.ap for r in detection.average_precision(frame, "g", F.col("score"), [F.col("id")], F.col("hit"), truths, ranges=8).collect()}
+    for g, gt in (("g0", 400), ("g1", 300), ("g2", 350), (None, 320)):
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (-(r[1] if r[1] is not None else -1), r[2]))
+        hits, curve = 0, []
+        for n, r in enumerate(own, 1):
+            hits += r[3]
+            curve.append((hits / n, r[3]))
+        best, area = 0.0, 0.0
+        for p, hit in reversed(curve):
+            best = max(best, p)
+            area += best * hit
+        assert found[g] == pytest.approx(area / gt, abs=2e-6)
+
+
 def test_largest_relation(spark):
     rows = [(1, 0, "dog", [0.6, 0.4, 0.9, 0.7], 0.09), (1, 1, "cat", [0.1, 0.4, 0.3, 0.6], 0.04), (1, 2, "cat", [0.0, 0.0, 0.1, 0.1], 0.01), (2, 0, "a", [0.1, 0.1, 0.2, 0.2], 0.01), (2, 1, "b", [0.15, 0.15, 0.2, 0.2], 0.0025)]
     found = detection.largest_relation(spark.createDataFrame(rows, "image long, idx int, category string, box array<double>, area double"), "image").collect()
@@ -167,3 +186,29 @@ def test_failures(spark):
     rows = spark.createDataFrame([(1, True, False), (2, True, True), (3, None, False)], "id long, a boolean, b boolean")
     f = failures.flagged(rows, {"a": F.col("a"), "b": F.col("b")}, {"a": 2, "b": 3})
     assert [(r.id, r.severity, r.flags) for r in failures.worst(f, "id", 5).collect()] == [(2, 5.0, ["a", "b"]), (1, 2.0, ["a"])]
+
+
+def test_thresholds_swept_by_cells_and_row_by_row(spark):
+    rnd = random.Random(11)
+    rows = spark.createDataFrame([(rnd.choice([None, 0.1, 0.5, 0.7]), rnd.random(), rnd.choice([True, False, None])) for _ in range(300)], "a double, b double, hit boolean")
+    axes = {"x": [0.1, 0.5, 0.9], "y": [0.0, 0.5]}
+    candidates = policy.grid(spark, **axes)
+    one = policy.sweep_thresholds(rows, candidates, {"x": F.col("a"), "y": F.col("b")}, axes, F.col("hit"))
+    two = policy.sweep(rows, candidates, F.expr("coalesce(a >= x and b >= y, false)"), F.expr("coalesce(hit, false)"))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.select(one.columns).collect()))
+
+
+@pytest.mark.parametrize(("within", "equal"), [(3, 1), (4, 2), (2, 3)])
+def test_near_pairs_of_repeated_signatures(spark, within, equal):
+    rnd = random.Random(12)
+    base = [rnd.getrandbits(64) - (1 << 63) for _ in range(12)]
+    rows = [(i, base[i % 12] ^ sum(1 << b for b in rnd.sample(range(63), rnd.randrange(5)))) for i in range(80)] + [(100, base[0]), (101, base[0]), (102, None)]
+    found = sorted(tuple(r) for r in dedup.near_pairs(spark.createDataFrame(rows, "id long, s long"), "id", "s", within, equal).collect())
+    apart = {(a, b): ((s ^ t) & ((1 << 64) - 1)).bit_count() for (a, s), (b, t) in itertools.combinations(rows, 2) if s is not None and t is not None}
+    assert found == sorted((*p, d) for p, d in apart.items() if d <= within)
+
+
+def test_null_strata_are_kept(spark):
+    rows = spark.createDataFrame([(i, None if i % 2 else "a") for i in range(20)], "id long, lang string")
+    split = datasets.stratified_split(rows, "id", ["lang"], 0.3, "s")
+    assert {(r.lang, r.split): r["count"] for r in split.groupBy("lang", "split").count().collect()} == {("a", "dev"): 3, ("a", "test"): 7, (None, "dev"): 3, (None, "test"): 7}

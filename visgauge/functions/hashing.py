@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def key(*parts: Column, digits: int = 24) -> Column:
-    """The first hex digits of the SHA-256 of parts joined by line feeds."""
-    return F.substring(F.sha2(F.concat_ws("\n", *[p.cast("string") for p in parts]), 256), 1, digits)
+    """The first hex digits of the SHA-256 of parts joined by line feeds; a null part is written as a NUL character, so
+    that it keeps its place."""
+    return F.substring(F.sha2(F.concat_ws("\n", *[F.coalesce(p.cast("string"), F.char(F.lit(0))) for p in parts]), 256), 1, digits)
 
 
 def salted_order(value: Column, salt: str) -> Column:

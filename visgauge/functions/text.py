@@ -111,7 +111,7 @@ def safe_label(c: Column) -> Column:
 
 def threshold_slug(x: Column) -> Column:
     """0.3 as 0p30."""
-    return F.replace(F.format_number(x, 2), F.lit("."), F.lit("p"))
+    return F.translate(F.format_string("%.2f", x.cast("double")), ".", "p")
 
 
 def with_article(c: Column) -> Column:
@@ -119,11 +119,14 @@ def with_article(c: Column) -> Column:
 
 
 def pluralize(c: Column) -> Column:
-    """The plural of the last word of a phrase by the rules -es, -ies and -s."""
+    """A phrase with its last word in the plural, by the rules -es, -ies and -s; words stand one blank apart. A phrase
+    without words stays as it is."""
+    words = _squeezed(c)
     return (
-        F.when(c.rlike(r"(s|x|z|ch|sh)$"), F.concat(c, F.lit("es")))
-        .when(c.rlike(r"[^aeiou]y$"), F.regexp_replace(c, "y$", "ies"))
-        .otherwise(F.concat(c, F.lit("s")))
+        F.when(words == "", c)
+        .when(words.rlike(r"(s|x|z|ch|sh)$"), F.concat(words, F.lit("es")))
+        .when(words.rlike(r"[^aeiou ]y$"), F.regexp_replace(words, "y$", "ies"))
+        .otherwise(F.concat(words, F.lit("s")))
     )
 
 
@@ -132,30 +135,38 @@ def candidate_key(query_key: Column, index: Column) -> Column:
 
 
 def portable_path(path: Column, root: str) -> Column:
-    """A path of either system, relative to root where it lies below it."""
+    """A path of either system, relative to the folder of root's name wherever that stands in it, so that paths that were
+    written on another machine become relative as well; other paths stay as they are, with slashes."""
     posix = F.translate(path, "\\", "/")
-    prefix = root.replace("\\", "/").rstrip("/") + "/"
-    inside = F.locate(prefix, posix)
-    return F.when(inside > 0, F.substr(posix, inside + len(prefix))).otherwise(posix)
+    marker = "/" + root.replace("\\", "/").rstrip("/").rsplit("/", 1)[-1] + "/"
+    inside = F.locate(marker, posix)
+    return F.when(inside > 0, F.regexp_replace(F.substr(posix, inside + len(marker)), "^/+", "")).otherwise(posix)
 
 
-def category_patterns(vocabulary: Sequence[str], aliases: dict[str, list[str]]) -> list[tuple[re.Pattern[str], str]]:
-    found = []
+def category_pattern(vocabulary: Sequence[str], aliases: dict[str, list[str]]) -> tuple[re.Pattern[str], dict[str, str]]:
+    """One pattern of all names, longest first, and the category of each name; a name may have a plural s."""
+    of: dict[str, str] = {}
     for category in dict.fromkeys(vocabulary):
         for name in aliases.get(category, [category]):
             plain = re.sub(r"\s+", " ", re.sub(r"[^a-z0-9\s-]", " ", name.lower().replace("_", "-"))).strip()
-            found.append((re.compile(rf"\b{re.escape(plain)}{'' if plain.endswith('s') else 's?'}\b"), category))
-    return found
+            for form in (plain, "" if plain.endswith("s") else f"{plain}s"):
+                if form:
+                    of.setdefault(form, category)
+    names = sorted(of, key=lambda n: (-len(n), n))
+    return re.compile(rf"\b(?=({'|'.join(map(re.escape, names)) or '(?!)'})\b)"), of
 
 
 def extract_categories(c: Column, vocabulary: Sequence[str] = COCO_CATEGORIES, aliases: dict[str, list[str]] | None = None) -> Column:
     """The categories named in a text, sorted: of overlapping names the longest counts, then the first."""
-    patterns = category_patterns(vocabulary, CATEGORY_ALIASES if aliases is None else aliases)
+    pattern, of = category_pattern(vocabulary, CATEGORY_ALIASES if aliases is None else aliases)
 
     def longest(text: str | None) -> list[str] | None:
         if text is None:
             return None
-        spans = sorted(((m.start(), m.end(), category) for p, category in patterns for m in p.finditer(text)), key=lambda s: (s[0] - s[1], s[0]))
+        spans = []
+        for m in pattern.finditer(text):  # the longest name that begins here, and the shorter ones that begin it
+            spans += [(m.start(), m.start() + e.end(), of[m[1][: e.end()]]) for e in re.finditer(r"\b", m[1]) if m[1][: e.end()] in of]
+        spans.sort(key=lambda s: (s[0] - s[1], s[0]))
         taken: list[tuple[int, int, str]] = []
         for span in spans:
             if all(span[1] <= t[0] or span[0] >= t[1] for t in taken):

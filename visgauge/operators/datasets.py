@@ -33,15 +33,28 @@ def difficulty(df: DataFrame) -> DataFrame:
 
 def stratified_split(df: DataFrame, key: str, strata: list[str], share: float, salt: str, one: str = "dev", other: str = "test") -> DataFrame:
     """df with split: in each stratum, the share of rows (rounded, but 1 of 2 rows or more) that come first in a salted
-    order of their keys is in `one`. A stratum's rows are ordered by Spark's sort, and its size is aggregated first."""
-    sizes = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"))
+    order of their keys is in `one`. Null strata are strata of their own.
+
+    The order is cut by its first two hex digits: a stratum of any size is sorted in 256 parts, whose ranks go on from
+    the aggregated sizes of the parts before them.
+    """
+    rows = df.select("*", salted_order(F.col(key), salt).alias("_o")).withColumn("_b", F.substring("_o", 1, 2))
+    parts = rows.groupBy(*[F.col(c).alias(f"_of{i}") for i, c in enumerate(strata)], F.col("_b").alias("_at")).agg(F.count(F.lit(1)).alias("_c"))
+    of = [F.col(f"_of{i}") for i in range(len(strata))]
+    whole = W.partitionBy(*of)
+    parts = parts.withColumns({"_n": F.sum("_c").over(whole), "_before": F.coalesce(F.sum("_c").over(whole.orderBy("_at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))}).drop("_c")
     quota = F.when(F.col("_n") == 1, F.lit(0)).otherwise(F.greatest(F.lit(1), F.least(F.col("_n") - 1, F.round(F.col("_n") * share))))
-    ranked = df.withColumn("_r", F.row_number().over(W.partitionBy(*strata).orderBy(salted_order(F.col(key), salt), key)))
-    return ranked.join(F.broadcast(sizes), strata).withColumn("split", F.when(F.col("_r") <= quota, one).otherwise(other)).drop("_r", "_n")
+    ranked = rows.withColumn("_r", F.row_number().over(W.partitionBy(*strata, "_b").orderBy("_o", key)))
+    same = F.col("_b") == F.col("_at")
+    for i, c in enumerate(strata):
+        same = same & F.col(c).eqNullSafe(F.col(f"_of{i}"))
+    split = F.when(F.col("_r") + F.col("_before") <= quota, one).otherwise(other)
+    return ranked.join(parts, same).select(*df.columns, split.alias("split"))
 
 
 def quota_selection(df: DataFrame, key: str, group: str, score: Column, quota: int, salt: str) -> DataFrame:
-    """The quota rows of each group with the greatest score; equal ones in a salted order of their keys."""
+    """The quota rows of each group with the greatest score; equal ones in a salted order of their keys. Spark limits
+    each group to its quota before the shuffle as well, so that a large group sends quota rows a task."""
     w = W.partitionBy(group).orderBy(F.desc("_score"), salted_order(F.col(key), salt), key)
     return df.withColumn("_score", score).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= quota).drop("_score")
 
@@ -49,15 +62,19 @@ def quota_selection(df: DataFrame, key: str, group: str, score: Column, quota: i
 def negatives(present_: DataFrame, vocabulary: DataFrame, sample: str, category: str, group: str, salt: str) -> DataFrame:
     """For each sample and category of it, an absent one of the same group: sample, category, negative.
 
-    present_: sample, category; vocabulary: category, group, a small table. Of the absent ones, the first in a salted
-    order of sample, category and negative is taken, so that uses are even without a running count over all samples.
-    Rows whose group has no absent category are left out.
+    present_: sample, category; vocabulary: category, group. Of the absent ones, the first in a salted order of sample,
+    category and negative is taken, so that uses are even without a running count over all samples. Rows whose group has
+    no absent category are left out. A sample's categories meet once; its options are then made in the row.
     """
-    v = F.broadcast(vocabulary.select(F.col(category).alias("negative"), F.col(group).alias("_g")))
-    options = present_.join(F.broadcast(vocabulary), category).join(v, F.col(group) == F.col("_g"))
-    absent = options.join(present_.select(sample, F.col(category).alias("negative")).distinct(), [sample, "negative"], "left_anti")
-    order = F.sha2(F.concat_ws(":", F.lit(salt), F.col(sample).cast("string"), category, "negative"), 256)
-    return absent.groupBy(sample, category).agg(F.min_by("negative", F.struct(order.alias("o"), F.col("negative").alias("n"))).alias("negative"))
+    names = vocabulary.groupBy(F.col(group).alias("_g")).agg(F.collect_set(category).alias("_names"))
+    kinds = vocabulary.select(F.col(category).alias("_c"), F.col(group).alias("_of")).distinct().join(names, F.col("_of") == F.col("_g")).select("_c", "_names")
+    here = present_.groupBy(sample).agg(F.collect_set(category).alias("_here")).select(sample, "_here", F.explode("_here").alias(category))
+    options = here.join(kinds, F.col(category) == F.col("_c")).withColumn("_absent", F.array_except("_names", "_here")).where("size(_absent) > 0")
+
+    def ranked(name: Column) -> Column:
+        return F.struct(F.sha2(F.concat_ws(":", F.lit(salt), F.col(sample).cast("string"), category, name), 256).alias("o"), name.alias("n"))
+
+    return options.select(sample, category, F.array_min(F.transform("_absent", ranked))["n"].alias("negative"))
 
 
 def split_check(whole: DataFrame, parts: list[DataFrame], key: str) -> DataFrame:

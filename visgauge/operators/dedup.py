@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,28 +26,35 @@ def exact_groups(df: DataFrame, digest: Column, key: str) -> DataFrame:
     return df.groupBy(digest.alias("digest")).agg(F.min(key).alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def near_pairs(df: DataFrame, key: str, signature: str, within: int, bands: int | None = None) -> DataFrame:
+def near_pairs(df: DataFrame, key: str, signature: str, within: int, equal: int = 2) -> DataFrame:
     """left, right and distance of the pairs of 64-bit signatures that differ in at most `within` bits.
 
-    The signatures are cut into within + 1 bands, one of which must be equal; pairs that share several bands count in the
-    first one. So candidates are joined by equal bands, never all with all.
+    The signatures are cut into within + equal parts, of which two such signatures have at least `equal` in common, so
+    they meet in the cell of these parts; pairs that share several cells count in the first one. Candidates are joined by
+    equal cells, never all with all. Two equal parts of 10 bits make some million cells; more make smaller cells and
+    more rows for each signature. Equal signatures are one row of the join, and their pairs are made of its result.
     """
-    n = bands or within + 1
+    n = within + equal
     cuts = [round(i * 64 / n) for i in range(n + 1)]
+    cells = list(combinations(range(n), equal))
 
-    def band(k: int) -> Column:
-        width = cuts[k + 1] - cuts[k]
-        return F.shiftrightunsigned(signature, cuts[k]).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
+    def mask(parts: tuple[int, ...]) -> int:
+        bits = sum(((1 << (cuts[k + 1] - cuts[k])) - 1) << cuts[k] for k in parts)
+        return bits - (1 << 64) if bits >> 63 else bits
 
-    rows = df.select(F.col(key).alias("id"), F.col(signature).alias("s"), F.posexplode(F.array(*[band(k) for k in range(n)])).alias("band", "bits"))
+    keyed = df.select(F.col(key).alias("id"), F.col(signature).alias("s"))
+    distinct = keyed.select("s").where("s is not null").distinct()
+    rows = distinct.select("s", F.posexplode(F.array(*[F.col("s").bitwiseAND(F.lit(mask(c))) for c in cells])).alias("cell", "bits"))
     a, b = rows.alias("a"), rows.alias("b")
     xor = F.col("a.s").bitwiseXOR(F.col("b.s"))
-    same = [F.shiftrightunsigned(xor, cuts[k]).bitwiseAND(F.lit((1 << (cuts[k + 1] - cuts[k])) - 1 if n > 1 else -1)) == 0 for k in range(n)]
-    first = F.lit(n)
-    for k in reversed(range(n)):
-        first = F.when(same[k], k).otherwise(first)
-    pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.bits") == F.col("b.bits")) & (F.col("a.id") < F.col("b.id")))
-    return pairs.where((F.bit_count(xor) <= within) & (F.col("a.band") == first)).select(F.col("a.id").alias("left"), F.col("b.id").alias("right"), F.bit_count(xor).alias("distance"))
+    first = F.lit(len(cells))
+    for k in reversed(range(len(cells))):
+        first = F.when(xor.bitwiseAND(F.lit(mask(cells[k]))) == 0, k).otherwise(first)
+    near = a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.bits") == F.col("b.bits")) & (F.col("a.s") < F.col("b.s")))
+    near = near.where((F.bit_count(xor) <= within) & (F.col("a.cell") == first)).select(F.col("a.s").alias("s"), F.col("b.s").alias("t"), F.bit_count(xor).alias("distance"))
+    near = near.unionByName(distinct.select("s", F.col("s").alias("t"), F.lit(0).alias("distance")))
+    pairs = near.join(keyed, "s").join(keyed.select(F.col("id").alias("other"), F.col("s").alias("t")), "t").where((F.col("s") != F.col("t")) | (F.col("id") < F.col("other")))
+    return pairs.select(F.least("id", "other").alias("left"), F.greatest("id", "other").alias("right"), "distance")
 
 
 def duplicate_status(df: DataFrame, key: str, digest: str, reference: DataFrame, reference_digest: str, near: DataFrame, invalid: Column) -> DataFrame:

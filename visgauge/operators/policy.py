@@ -84,16 +84,42 @@ def grid(spark: SparkSession, **axes: list[float]) -> DataFrame:
     return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], ", ".join(["candidate int", *(f"{a} double" for a in axes)]))
 
 
-def sweep(df: DataFrame, candidates: DataFrame, predicted: Column, target: Column) -> DataFrame:
-    """Binary metrics of every candidate of a grid over all rows, in one pass and one aggregation."""
-    names = candidates.columns
-    rows = df.withColumn("_t", target).crossJoin(F.broadcast(candidates)).withColumn("_p", predicted)
-    sums = rows.groupBy(*names).agg(*[F.count_if(F.expr(e)).alias(n) for n, e in {"tp": "_p and _t", "fp": "_p and not _t", "tn": "not _p and not _t", "fn": "not _p and _t"}.items()])
+def _rates(sums: DataFrame) -> DataFrame:
     tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
     precision, recall = ratio(tp, tp + fp, None), ratio(tp, tp + fn, None)
     return sums.withColumns({"accuracy": ratio(tp + tn, tp + fp + tn + fn), "precision": F.round(precision, 6), "recall": F.round(recall, 6), "f1": f1(precision, recall)})
 
 
+def sweep(df: DataFrame, candidates: DataFrame, predicted: Column, target: Column) -> DataFrame:
+    """Binary metrics of every candidate of a grid over all rows, for any rule: each row is tried with each candidate.
+    sweep_thresholds does the same for rules that are thresholds, at a cost that does not grow with the candidates."""
+    rows = df.withColumn("_t", target).crossJoin(candidates).withColumn("_p", predicted)
+    sums = rows.groupBy(*candidates.columns).agg(*[F.count_if(F.expr(e)).alias(n) for n, e in {"tp": "_p and _t", "fp": "_p and not _t", "tn": "not _p and not _t", "fn": "not _p and _t"}.items()])
+    return _rates(sums)
+
+
+def sweep_thresholds(df: DataFrame, candidates: DataFrame, values: dict[str, Column], axes: dict[str, list[float]], target: Column) -> DataFrame:
+    """Binary metrics of every candidate of a grid, where a row is predicted if each of its values reaches the threshold
+    of its axis; a null value reaches none, a null target counts as false.
+
+    Each row is counted once, in the cell of the number of thresholds that its values reach on each axis. Candidates are
+    then sums over the cells, which are as many as the grid has, whatever the number of rows.
+    """
+    steps = {a: sorted({float(x) for x in found}) for a, found in axes.items()}
+
+    def reached_by(value: Column, found: list[float]) -> Column:
+        return F.size(F.filter(F.array(*[F.lit(x) for x in found]), lambda x: F.coalesce(value >= x, F.lit(False))))
+
+    cells = [reached_by(values[a], found).alias(f"_{a}") for a, found in steps.items()]
+    counted = df.select(*cells, F.coalesce(target, F.lit(False)).alias("_t")).groupBy(*[f"_{a}" for a in steps]).agg(F.count_if("_t").alias("_yes"), F.count_if(~F.col("_t")).alias("_no"))
+    reached = F.lit(True)
+    for a, found in steps.items():
+        reached = reached & (F.col(f"_{a}") >= F.array_position(F.array(*[F.lit(x) for x in found]), F.col(a)))
+    tried = candidates.crossJoin(counted).withColumn("_p", reached)
+    sums = tried.groupBy(*candidates.columns).agg(*[F.sum(F.when(F.col("_p") == p, F.col(c)).otherwise(F.lit(0))).alias(n) for n, p, c in (("tp", True, "_yes"), ("fp", True, "_no"), ("tn", False, "_no"), ("fn", False, "_yes"))])
+    return _rates(sums)
+
+
 def judge(policies: DataFrame, baseline: Column) -> DataFrame:
     """policies (policy_id, accuracy, f1, precision, helped, harmed) with reasons against each, eligible and chosen.
 

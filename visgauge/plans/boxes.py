@@ -42,6 +42,21 @@ def box_iou_pairs(t: Tables) -> DataFrame:
     return pairs.select("image", "one", "two", F.round("iou", 6).alias("iou"))
 
 
+_IOU = """greatest(least({p}[3], {q}[3]) - greatest({p}[1], {q}[1]), 0) * greatest(least({p}[4], {q}[4]) - greatest({p}[2], {q}[2]), 0)
+    / (({p}[3] - {p}[1]) * ({p}[4] - {p}[2]) + ({q}[3] - {q}[1]) * ({q}[4] - {q}[2]) - greatest(least({p}[3], {q}[3]) - greatest({p}[1], {q}[1]), 0) * greatest(least({p}[4], {q}[4]) - greatest({p}[2], {q}[2]), 0))"""
+#: One detection a round: the free truth of the greatest IoU, the first of several, is taken if that reaches 0.3.
+_GREEDY = f"""{_BOXES.replace("WITH l", "WITH RECURSIVE l")},
+    t AS (SELECT image, category, list({{'idx': idx, 'box': box}} ORDER BY idx) AS ts FROM b WHERE side = 'F' GROUP BY 1, 2),
+    p AS (SELECT image, category, list({{'score': score, 'idx': idx, 'box': box}} ORDER BY score DESC, idx) AS ps FROM b WHERE side = 'O' GROUP BY 1, 2),
+    g AS (SELECT image, category, coalesce(ts, []) AS ts, coalesce(ps, []) AS ps FROM t FULL JOIN p USING (image, category)),
+    r AS (SELECT image, category, ts, ps, 1 AS n, []::BIGINT[] AS used, []::DOUBLE[] AS ious FROM g
+          UNION ALL
+          SELECT image, category, ts, ps, n + 1, CASE WHEN top.iou >= 0.3 THEN list_append(used, top.k) ELSE used END, CASE WHEN top.iou >= 0.3 THEN list_append(ious, top.iou) ELSE ious END
+          FROM (SELECT *, list_aggregate(list_append(list_transform(list_filter(range(1, len(ts) + 1), lambda k: NOT list_contains(used, k)),
+                       lambda k: {{'iou': {_IOU.format(p="ps[n].box", q="ts[k].box")}, 'back': -k, 'k': k}}), {{'iou': -1.0::DOUBLE, 'back': 0::BIGINT, 'k': 0::BIGINT}}), 'max') AS top FROM r WHERE n <= len(ps))),
+    m AS (SELECT image, category, len(ts) AS gt, len(ps) AS predicted, len(ious) AS tp, coalesce(list_sum(ious), 0) AS total FROM r WHERE n = len(ps) + 1)"""
+
+
 def _matches(t: Tables) -> DataFrame:
     rows = lines(t)
     truth = rows.where("side = 'F'").select("image", "category", "idx", "box")
@@ -49,17 +64,24 @@ def _matches(t: Tables) -> DataFrame:
     return detection.match_boxes(truth, found, ["image", "category"], 0.3)
 
 
-@query()
+@query(f"{_GREEDY} SELECT image, category, gt::INTEGER AS gt, predicted::INTEGER AS predicted, tp::INTEGER AS tp, (predicted - tp)::INTEGER AS fp, (gt - tp)::INTEGER AS fn, round(coalesce(total / nullif(tp, 0), 0), 6) AS mean_iou FROM m")
 def greedy_match(t: Tables) -> DataFrame:
     return _matches(t)
 
 
-@query()
+@query(f"""{_GREEDY}, s AS (SELECT category, sum(gt)::BIGINT AS gt, sum(predicted)::BIGINT AS predicted, sum(tp)::BIGINT AS tp FROM m GROUP BY 1)
+    SELECT category, gt, predicted, tp, predicted - tp AS fp, gt - tp AS fn, round(coalesce(tp / nullif(predicted, 0), 0), 6) AS "precision", round(coalesce(tp / nullif(gt, 0), 0), 6) AS recall,
+           round(coalesce(2 * tp / nullif(predicted + gt, 0), 0), 6) AS f1 FROM s""")
 def match_summary(t: Tables) -> DataFrame:
     return detection.match_summary(_matches(t), ["category"])
 
 
-@query()
+@query(f"""{_BOXES.replace("WITH l", "WITH RECURSIVE l")},
+    g AS (SELECT image, list({{'score': score, 'idx': idx, 'label': lower(category), 'box': box}} ORDER BY score DESC, idx) AS ps FROM b GROUP BY 1),
+    r AS (SELECT image, ps, 1 AS n, []::BIGINT[] AS kept FROM g
+          UNION ALL
+          SELECT image, ps, n + 1, CASE WHEN len(list_filter(kept, lambda k: ps[k].label = ps[n].label AND {_IOU.format(p="ps[k].box", q="ps[n].box")} > 0.4)) = 0 THEN list_append(kept, n) ELSE kept END FROM r WHERE n <= len(ps))
+    SELECT image, ps[k].idx AS idx FROM (SELECT image, ps, unnest(kept) AS k FROM r WHERE n = len(ps) + 1)""")
 def suppressed_boxes(t: Tables) -> DataFrame:
     return detection.suppress(lines(t).withColumnRenamed("category", "label"), "image", 0.4)
 
@@ -73,7 +95,7 @@ def suppressed_boxes(t: Tables) -> DataFrame:
 def average_precision(t: Tables) -> DataFrame:
     hit = F.col("event_id") % 3 == 0
     truths = t.events.groupBy("event_type").agg(F.count_if(hit).alias("gt"))
-    return detection.average_precision(t.events.select("event_type", "value", "event_id"), "event_type", [F.desc("value"), F.col("event_id")], hit, truths)
+    return detection.average_precision(t.events, "event_type", F.col("value"), [F.col("event_id")], hit, truths)
 
 
 @query(f"""{_BOXES}, o AS (SELECT image, idx, category || side AS category, [x / 100, y / 100, x / 100 + w / 100, y / 100 + h / 100] AS box, (w / 100) * (h / 100) AS a FROM b),

@@ -119,7 +119,8 @@ _SWEEP = """
 
 def _swept(t: Tables) -> DataFrame:
     candidates = policy.grid(t.spark, least=_GRID[0], most=_GRID[1])
-    return policy.sweep(t.events, candidates, F.expr("value >= least and user_id >= most"), F.col("event_type").isin("purchase", "signup"))
+    values = {"least": F.col("value"), "most": F.col("user_id")}
+    return policy.sweep_thresholds(t.events, candidates, values, {"least": _GRID[0], "most": _GRID[1]}, F.col("event_type").isin("purchase", "signup"))
 
 
 @query(f"{_SWEEP} SELECT * FROM m")
@@ -216,10 +217,15 @@ def split_statistics(t: Tables) -> DataFrame:
     return _split(t).groupBy("split", "lang").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source").alias("sources"))
 
 
-@query(f"{_SPLIT} SELECT count(*) AS whole, count(*) AS parts, 0::BIGINT AS overlap, 0::BIGINT AS missing, 0::BIGINT AS \"unknown\" FROM s")
+@query(f"""{_SPLIT}, one AS (SELECT doc_id FROM s WHERE split = 'dev'), two AS (SELECT doc_id FROM s WHERE split = 'test' AND doc_id % 10 > 0), three AS (SELECT o_orderkey AS doc_id FROM orders WHERE o_orderkey % 9 = 0),
+    p AS (SELECT doc_id, count(*) AS n FROM (SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three) GROUP BY 1)
+    SELECT (SELECT count(*) FROM (SELECT DISTINCT doc_id FROM documents)) AS whole, (SELECT count(*) FROM p) AS parts, (SELECT count(*) FROM p WHERE n > 1) AS overlap,
+           (SELECT count(DISTINCT doc_id) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM p)) AS missing, (SELECT count(*) FROM p WHERE doc_id NOT IN (SELECT doc_id FROM documents)) AS "unknown\"""")
 def split_algebra(t: Tables) -> DataFrame:
+    """Two parts of the split, of which one lacks rows, and keys of another table, some of which the documents don't have."""
     parts = _split(t)
-    return datasets.split_check(t.documents, [parts.where("split = 'dev'"), parts.where("split = 'test'")], "doc_id")
+    other = t.orders.where("o_orderkey % 9 = 0").select(F.col("o_orderkey").alias("doc_id"))
+    return datasets.split_check(t.documents, [parts.where("split = 'dev'"), parts.where("split = 'test' and doc_id % 10 > 0"), other], "doc_id")
 
 
 _NEGATIVES = """

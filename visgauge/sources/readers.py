@@ -80,7 +80,7 @@ def read_graph(spark: SparkSession, relationships: str, images: str, excluded: D
     sizes = spark.read.schema("image_id bigint, coco_id bigint, width double, height double").option("multiLine", True).json(images)
     known = F.create_map(*[F.lit(x) for kv in predicates.items() for x in kv])
     rows = graph.select("image_id", F.explode("relationships").alias("r")).withColumn("predicate", F.element_at(known, F.lower(F.trim("r.predicate"))))
-    kept = sizes.join(F.broadcast(excluded.select("coco_id").where("coco_id is not null")), "coco_id", "left_anti")
+    kept = sizes.join(excluded.select("coco_id").where("coco_id is not null"), "coco_id", "left_anti")
     return rows.where("predicate is not null").join(kept, "image_id").select("image_id", "width", "height", "predicate", "r.subject", "r.object").dropDuplicates(["image_id", "predicate", "subject", "object"])
 
 
