@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from tests.llm.helpers import DOC, components, corpus, edited, groups, prose
 from visgauge.llm import shared, simhash
 from visgauge.llm.components import connected_components
-from visgauge.llm.embeddings import embedding_near_duplicates
+from visgauge.llm.embeddings import embedding_links, embedding_near_duplicates
 
 
 def plain_fingerprint(text, words=4):
@@ -175,16 +176,30 @@ def test_embedding_near_duplicates(spark):
     assert embedding_near_duplicates(frame.limit(0)).count() == 0
 
 
-def test_embedding_links_of_a_hot_bucket_count_once(spark):
+@pytest.mark.parametrize("block", [16, 1024])
+def test_embedding_links_of_a_hot_bucket_count_once(spark, block):
     rng = np.random.default_rng(4)
     base = rng.standard_normal(16)
-    rows = [(i, (base + rng.standard_normal(16) * 0.05).tolist(), 1) for i in range(90)]
-    from visgauge.llm.embeddings import embedding_links
-
-    frame = spark.createDataFrame(rows, "cid long, embedding array<double>, label long")
-    x = np.array([r[1] for r in rows])
+    rows = [(i, 1 + i % 3, (base + rng.standard_normal(16) * 0.05).tolist(), 1) for i in range(90)]
+    frame = spark.createDataFrame(rows, "cid long, m long, embedding array<double>, label long")
+    x = np.array([r[2] for r in rows])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     expected = {(a, b) for a, b in itertools.combinations(range(90), 2) if x[a] @ x[b] >= 0.98}
-    found = [tuple(sorted((r.u, r.v))) for r in embedding_links(frame, block_rows=16).collect()]
-    assert len(found) == len(set(found))
-    assert set(found) == expected
+    found = embedding_links(frame, block_rows=block).collect()
+    counts = Counter()
+    for r in found:
+        counts[r.u] += r.n
+    assert {k: n for k, n in counts.items() if n} == {i: n for i in range(90) if (n := sum(rows[b if a == i else a][1] for a, b in expected if i in (a, b)))}
+    joined = [(r.u, r.v) for r in found if r.v is not None]
+    assert components(range(90), joined) == components(range(90), expected)
+    assert len(joined) < 40 * 90
+
+
+def test_labels_of_any_type_ties_and_copies(spark):
+    """Text labels, a cosine of exactly the threshold, -0.0 beside 0.0, and a vector with many copies."""
+    rows = [(i, [1.0, 0.0], "a") for i in range(40)] + [(40, [1.0, -0.0], "a"), (41, [0.6, 0.8], "a"), (42, [0.6, 0.8], "b"), (43, [2.0, 0.0], "b")]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")
+    found = {r.vec_id: (r.n_links, r.component_id) for r in embedding_near_duplicates(frame, hot_copies=5).collect()}
+    assert found == {i: (40, 0) for i in range(41)} | {41: (0, 41), 42: (0, 42), 43: (0, 43)}
+    tied = spark.createDataFrame([(1, [3.0, 4.0], 1), (2, [1.0, 0.0], 1), (3, [0.0, 1.0], 1)], "vec_id long, embedding array<double>, label int")
+    assert {r.vec_id: r.n_links for r in embedding_near_duplicates(tied, threshold=0.6, bits=1).collect()} == {1: 2, 2: 1, 3: 1}

@@ -18,10 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder, which the driver and all executors see: the one that the cluster names in
-    spark.checkpoint.dir. Only where that is unset, as in tests on one machine, a temporary folder is made."""
+    spark.checkpoint.dir. Only on one machine (master local[...]), as in tests, a temporary folder is made instead."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local["):
+            raise ValueError("name a folder that the driver and all executors see in spark.checkpoint.dir")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return context.getCheckpointDir()
 
 
@@ -54,14 +57,16 @@ def in_blocks(cells: DataFrame, keys: list[str], member: Column, block_rows: int
     two blocks meet in a group of their own: a hot cell is spread over many tasks, and no pair is lost. Rows of the same
     block blk meet in each group of that block; (0, max(blk, 1)) is one of them. The counts are aggregated on the map
     side before they are shuffled; those of hot cells go on alone and are broadcast up to a checked size. With
-    drop_single all counts go on, and cells of one row, which have no pair, are left out: for rows that grow later.
+    drop_single cells of one row, which have no pair, are left out as well: hot cells have gone to their blocks by then,
+    so that no key of that join has more than block_rows rows.
     """
     sizes = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = broadcast_up_to(checkpoint(sizes.where(F.col("_n") > block_rows)), F.lit(8 * len(keys) + 16))
     if drop_single:
-        out = cells.join(sizes.where("_n > 1"), keys)
+        few = cells.join(hot, keys, "left_anti").join(sizes.where(F.col("_n").between(2, block_rows)), keys).select(*cells.columns, "_n")
+        out = few.unionByName(cells.join(hot, keys).select(*cells.columns, "_n"))
     else:
-        hot = checkpoint(sizes.where(F.col("_n") > block_rows))
-        out = cells.join(broadcast_up_to(hot, F.lit(32)), keys, "left")
+        out = cells.join(hot, keys, "left").select(*cells.columns, "_n")
     out = out.withColumn("_k", F.coalesce(F.ceil(F.col("_n") / F.lit(block_rows)), F.lit(1)).cast("int")).withColumn("blk", F.pmod(F.xxhash64(member), F.col("_k")).cast("int"))
     partners = F.when(F.col("_k") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("_k") - 1), lambda j: j != F.col("blk")))
     out = out.withColumn("_j", F.explode(partners))
@@ -118,3 +123,18 @@ def close_pairs(starts: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.nda
             return
         yield left, left + shift
         shift += 1
+
+
+def stars(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of links a-b between n rows, as many as join the same components: each row and the first row of its component."""
+    first = np.arange(n)
+    while True:
+        least = np.minimum(first[a], first[b])
+        found = first.copy()
+        np.minimum.at(found, a, least)
+        np.minimum.at(found, b, least)
+        found = found[found]
+        if np.array_equal(found, first):
+            rows = np.flatnonzero(first != np.arange(n))
+            return rows, first[rows]
+        first = found
