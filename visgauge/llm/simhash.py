@@ -127,7 +127,9 @@ def link_fingerprints(prints: DataFrame, radius: int = 4, exact_groups: int = 2,
     fingerprints. The segments form radius + exact_groups groups; two vectors within the radius differ in at most radius
     groups, so they are equal in exact_groups of them at least and share the grid cell of those coordinates. A cell travels
     as a hash of its coordinates; cells that share a hash add candidates, no links. Candidates beyond the radius by
-    Manhattan distance go, and the rest is compared exactly. More exact_groups make smaller cells and more of them, for
+    Manhattan distance go, and the rest is compared exactly. The range of a cell is one value of each coordinate: wider
+    ranges would need the cells around as well, for a radius of 4 in five groups 20 cells to stand in and 220 to look at
+    for each fingerprint, of 19 bits, where these are 15 of 16 bits. More exact_groups make smaller cells and more of them, for
     larger inputs. Cells of few rows give all their links, larger ones as many as join their components.
     """
     groups = np.array_split(np.arange(BITS // 2), radius + exact_groups)
@@ -149,11 +151,12 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     the smallest; a component of null ids only has a null component_id. Repeated ids are rows of their own.
     """
     prints = checkpoint(fingerprints(docs, id_col, text_col, words, seed))
-    distinct = checkpoint(prints.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = connected_components(link_fingerprints(distinct.select(F.lit(0).alias("tbl"), F.col("fp").alias("node"), "fp"), radius))
-    named = checkpoint(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = named.join(smallest, "root").select("fp", "component_id")
+    # numbered in the order of their smallest ids, so that the smallest node of a component is that of the smallest id
+    distinct = prints.groupBy("fp").agg(F.min("id").alias("least")).orderBy(F.asc_nulls_last("least"), "fp")
+    distinct = checkpoint(distinct.select("fp", "least", F.monotonically_increasing_id().alias("node")))
+    roots = connected_components(link_fingerprints(distinct.select(F.lit(0).alias("tbl"), "node", "fp"), radius))
+    named = distinct.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
+    of = named.join(distinct.select(F.col("node").alias("root"), F.col("least").alias("component_id")), "root").select("fp", "component_id")
     return prints.join(of, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
