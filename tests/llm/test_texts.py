@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -327,3 +328,62 @@ def test_edited_items_are_found():
                 wanted += 1
                 found += any(m[0] == i and m[1] == pytest.approx(s) for m in next(decontaminate_module.matches([text], index, 5, 11, 0.8)))
     assert wanted > 200 and found >= 0.99 * wanted
+
+
+def test_templates_by_brute_force(spark):
+    """Generated pages: blocks drawn from a pool of the host, inside and outside of an article, against counts by hand."""
+    rnd = random.Random(51)
+    rows, plain = [], []
+    for host in range(3):
+        pool = [prose(rnd, 6).replace("\n", " ") for _ in range(5)]
+        for k in range(30):
+            inside = [(prose(rnd, 40).replace("\n", " "), "p") for _ in range(3)] + [(t, "section") for t in rnd.sample(pool, 2)]
+            outside = [(t, "div") for t in rnd.sample(pool, 1)]
+            rnd.shuffle(inside)
+            html = "".join(f"<div>{t}</div>" for t, _ in outside) + "<article>" + "".join(f"<{e}>{t}</{e}>" for t, e in inside) + "</article>"
+            rows.append((len(rows), f"https://h{host}.example/{k}", html))
+            plain.append((host, [(e, t) for t, e in inside]))
+    pages = Counter((host, block) for host, blocks in plain for block in set(blocks))
+    often = {key for key, n in pages.items() if n >= 5 and n >= 0.2 * 30}
+    assert len(often) > 10
+    found = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {i: " ".join(t for e, t in blocks if (host, (e, t)) not in often) for i, (host, blocks) in enumerate(plain)}
+    assert sum(found[i] != main_text(r[2]) for i, r in enumerate(rows)) == len(rows)
+
+
+BROKEN = {
+    '<p>a</p><a href="foo>link y more</a><p>x</p>': "a link y more x",
+    '<p>one</p><a href="foo>two</a> three <b class="x">four</b><p>five</p>': "one two three four five",
+    'x <a href="foo>link y more': "x link y more",
+    "<p title='it's'>don't</p> a < b and c > d <3 x": "don't a < b and c > d <3 x",
+    '<img alt="a > b">t<i data-x="<b>y</b>">u</i>': "tu",
+    "<form><p>the body of this page stands in one form</p><input name=q><button>Go</button></form>": "the body of this page stands in one form",
+    "<article><h1>Title of it</h1><p>body text here</p><form><textarea></textarea>Leave a reply</form></article>": "Title of it body text here",
+    "<p>a<!-- x --> b<!-- never ended <p>c": "a b",
+    f'<main><section class="related-work"><p>{"Prior work. " * 30}</p></section><div class="related-posts">Read on</div></main>': ("Prior work. " * 30).strip(),
+    f'<main><div class="social-history"><p>{"Chapter one. " * 30}</p></div><div class="share-buttons">Share</div></main>': ("Chapter one. " * 30).strip(),
+    f'<main><p>body</p><div class="related-items-x">{"".join(f"<a href=/{k}>Some other page {k}</a>" for k in range(30))}</div></main>': "body",
+}
+
+
+@pytest.mark.parametrize("page", BROKEN)
+def test_broken_markup_loses_no_text(page):
+    assert main_text(page) == BROKEN[page]
+
+
+@pytest.mark.parametrize("unit", ['<a "', '<a "x>y ', "<div>", "<div></span>", "<", "<!--", "< a", "<ul><li>a", "<p><b>x"])
+def test_hostile_pages_take_time_in_proportion(unit):
+    def seconds(n):
+        start = time.process_time()
+        main_text(unit * n)
+        return time.process_time() - start
+
+    seconds(1000)
+    assert seconds(40_000) < 0.05 + 12 * max(seconds(10_000), 0.01)
+
+
+def test_repeated_pages_and_many_of_one_host(spark):
+    page = "<nav>menu</nav><article><p>the same page</p></article>"
+    rows = [(1, "http://a.example/1", page)] * 7 + [(2, None, page), (3, "", None), (None, "http://a.example/2", "")]
+    found = extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id or 0, r.text) for r in found) == sorted([(1, "the same page")] * 7 + [(2, "the same page"), (3, ""), (0, "")])

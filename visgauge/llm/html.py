@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -26,7 +28,7 @@ ENDS_AT |= {"p": BLOCK - {"td", "th", "tr", "tbody", "tfoot", "thead", "caption"
 #: An end tag doesn't reach beyond these.
 SCOPE = frozenset("table td th caption html body".split())
 #: Never part of an article: by element, by role, and by words of a class or id.
-DROPPED = frozenset("head nav footer aside form button select option textarea script style noscript template iframe object svg math canvas audio video dialog menu search title input label fieldset datalist xmp noembed noframes".split())
+DROPPED = frozenset("head nav footer aside button select option textarea script style noscript template iframe object svg math canvas audio video dialog menu search title input label fieldset datalist xmp noembed noframes".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 DROPPED_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adbox adslot banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disqus"
@@ -37,7 +39,13 @@ MAIN = frozenset(("article", "main"))
 #: Blocks that are parts of a list, a table or a section: inside an article they go only with all of it.
 PARTS = frozenset("caption dd dt figcaption h1 h2 h3 h4 h5 h6 hgroup legend li option tbody td tfoot th thead title tr".split())
 WHOLE = BLOCK - PARTS
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|<[!?/][^>]*>""", re.S)
+#: Words that say nothing of an element: a class of words of either list is one of the page's furniture.
+NEUTRAL = frozenset(
+    "area bar block bottom box btn button buttons col column container content for form global group icons inner item items js left link links list main outer page panel post posts row"
+    " section signup site sticky the top right wrap wrapper article articles user reader readers thread id block".split()
+)
+_OPEN = re.compile(r"<(?:([A-Za-z][^\s/>]*)|/([A-Za-z][^\s/>]*)|(!--)|[!?/])")
+_IN_TAG = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORD = re.compile(r"[a-z]+")
 
@@ -45,64 +53,108 @@ _WORD = re.compile(r"[a-z]+")
 class _Element:
     """An open element: what of its subtree has been seen so far."""
 
-    __slots__ = ("begin", "drop", "holds", "inner", "main", "name", "size")
+    __slots__ = ("begin", "doubt", "drop", "holds", "inner", "inside", "linked", "main", "name", "size")
 
-    def __init__(self, name: str, begin: int, drop: bool, main: bool) -> None:
-        self.name, self.begin, self.drop, self.main = name, begin, drop, main
+    def __init__(self, name: str, begin: int, drop: bool, main: bool, doubt: str) -> None:
+        self.name, self.begin, self.drop, self.main, self.doubt = name, begin, drop, main, doubt
         self.inner: list[bytes] = []
-        self.size = 0
+        #: Characters of its text, of that in links, and of that in article and main elements.
+        self.size = self.linked = self.inside = 0
         #: Whether it is an article or main element or holds one.
         self.holds = name in MAIN
 
 
-def _is_dropped(name: str, attributes: str, in_main: bool, nested: bool = False) -> bool:
-    """nested: whether the element is an article inside of another, such as a comment."""
+def _tag_end(page: str, at: int, last: dict[str, int]) -> int:
+    """The place of the `>` that ends a tag whose name ends at `at`, or -1. A quote without a partner, or whose partner
+    can't end a value, is a character like others. last: the last place of each quote and of `>`; no part of a page is
+    looked through more than a few times."""
+    while True:
+        m = _IN_TAG.search(page, at) if at <= last[">"] else None
+        if m is None or m[0] == ">":
+            return m.start() if m else -1
+        at = m.end()
+        if at <= last[m[0]]:
+            end = page.find(m[0], at)
+            through = page.find(">", at, end) >= 0
+            if not through or (page[end - 1] != "=" and page[end + 1 : end + 2] in (" ", "\n", "\t", "\r", "/", ">", "")):
+                at = end + 1
+
+
+def _judge(name: str, attributes: str, in_main: bool, nested: bool) -> str:
+    """`drop` for an element that is never part of an article, `doubt` for one that depends on what it holds, or nothing.
+    nested: whether it is an article inside of another, such as a comment."""
+    if name == "form":
+        return "form"
     if name in DROPPED or (name == "header" and not in_main):
-        return True
+        return "drop"
     if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return False
+        return ""
+    out = ""
     for key, *values in _ATTRIBUTE.findall(attributes):
         value = "".join(values).lower()
         key = key.lower()
         if key in ("class", "id") and (nested or name not in MAIN) and name not in ("html", "body"):
-            words = _WORD.findall(value)
-            if not DROPPED_WORDS.isdisjoint(words) and not (in_main and "header" in words):
-                return True
+            for token in value.split():
+                words = set(_WORD.findall(token)) - ({"header"} if in_main else set())
+                if not DROPPED_WORDS.isdisjoint(words):
+                    if words <= DROPPED_WORDS | NEUTRAL:
+                        return "drop"
+                    out = "doubt"
         elif key == "role" and value in DROPPED_ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
+            return "drop"
         elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return "drop"
+    return out
 
 
 Piece = tuple[str, bool, bool]
 
 
-def segments(page: str) -> tuple[list[Piece], list[tuple[int, int, int, int, bool]]]:
+def segments(page: str, linked: float = 1 / 3, short: int = 200) -> tuple[list[Piece], list[tuple[int, int, int, int, bool]]]:
     """A page as pieces of text and subtrees.
 
     pieces: (text, whether it is in a dropped element, whether it is in an article or main element); an empty text ends
     a block. subtrees: (hash of names and texts, first piece, end piece, number of characters, whether it is in an article
     or main element) of each element that can be a template: none that is or holds an article or main element, and inside
     of these only blocks that are no part of a larger one.
+
+    An element with a class of which only a part names furniture (`related-work`) is dropped if its text is short or for
+    a third in links; a form, unless it holds an article or four fifths of the page's text. Time grows with the page's length
+    only, however its quotes and elements are nested.
     """
     pieces: list[Piece] = []
     subtrees: list[tuple[int, int, int, int, bool]] = []
-    stack = [_Element("", 0, False, False)]
+    doubtful: list[tuple[int, int, int, bool]] = []
+    stack = [_Element("", 0, False, False, "")]
+    places: dict[str, list[int]] = defaultdict(list)  # of open elements, by name
+    barriers = [0]  # places of open elements that an end tag doesn't reach beyond
+    total = links = 0
+    last = {c: page.rfind(c) for c in "\"'>"}
 
     def close() -> None:
+        nonlocal links
         e = stack.pop()
+        places[e.name].pop()
+        if e.name in SCOPE:
+            barriers.pop()
+        if e.name == "a":
+            links -= 1
         digest = xxhash.xxh3_64_digest(b"\0".join([e.name.encode(), *e.inner]))
         top = stack[-1]
         top.inner.append(digest)
         top.size += e.size
+        top.linked += e.linked
+        top.inside += e.inside
         top.holds = top.holds or e.holds
         if e.size and e.name not in ("html", "body") and not e.holds and (not e.main or e.name in WHOLE):
             subtrees.append((int.from_bytes(digest, "big", signed=True), e.begin, len(pieces), e.size, e.main))
+        if e.doubt == "form" or e.doubt == "doubt" and (e.main or not e.holds) and (e.size < short or e.linked > linked * e.size):
+            doubtful.append((e.begin, len(pieces), e.size if e.doubt == "form" else 0, e.holds and e.doubt == "form"))
         if e.name in BLOCK:
             pieces.append(("", False, False))
 
     def text(raw: str) -> None:
+        nonlocal total
         if raw:
             top = stack[-1]
             found = entities.unescape(raw) if "&" in raw else raw
@@ -111,26 +163,40 @@ def segments(page: str) -> tuple[list[Piece], list[tuple[int, int, int, int, boo
             if words:
                 top.inner.append(words.encode(errors="replace"))
                 top.size += len(words)
+                top.linked += len(words) * (links > 0)
+                top.inside += len(words) * top.main
+                total += 0 if top.drop else len(words)
 
     at = 0
-    while m := _TOKEN.search(page, at):
-        text(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            continue
-        name = m[2].lower()
-        if m[1]:
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].name == name or (stack[k].name in SCOPE and name not in SCOPE and name not in MAIN)), 0)
-            if depth and stack[depth].name == name:
+    while m := _OPEN.search(page, at):
+        begin, name, ended = m.start(), m[1], m[2]
+        if m[3]:
+            end = page.find("-->", m.end())
+            after = end + 3 if end >= 0 else len(page)
+        else:
+            end = _tag_end(page, m.end(), last) if name else page.find(">", m.end()) if m.end() <= last[">"] else -1
+            after = end + 1 if end >= 0 else len(page)
+            if end < 0 and not name and not ended:  # a `<` of the text
+                text(page[at : m.end()])
+                at = m.end()
+                continue
+        text(page[at:begin])
+        at = after
+        if ended:
+            ended = ended.lower()
+            depth = places[ended][-1] if places.get(ended) else 0
+            if depth and (depth >= barriers[-1] or ended in SCOPE or ended in MAIN):
                 while len(stack) > depth:
                     close()
-            elif name == "p":
+            elif ended == "p":
                 pieces.append(("", False, False))
+        if not name:
             continue
+        name, attributes = name.lower(), page[m.end() : max(end, m.end())]
         while len(stack) > 1 and name in ENDS_AT.get(stack[-1].name, ()):
             close()
-        if name in BLOCK and any(e.name == "p" for e in stack[-4:]) and name in ENDS_AT["p"]:  # <p><b>text<p>
-            depth = max(k for k in range(len(stack)) if stack[k].name == "p")
+        if name in BLOCK and name in ENDS_AT["p"] and any(e.name == "p" for e in stack[-4:]):  # <p><b>text<p>
+            depth = places["p"][-1]
             if not any(e.name in BLOCK for e in stack[depth + 1 :]):
                 while len(stack) > depth:
                     close()
@@ -142,19 +208,37 @@ def segments(page: str) -> tuple[list[Piece], list[tuple[int, int, int, int, boo
                 pieces.append((" ", top.drop, top.main))
             continue
         main = top.main or name in MAIN
-        nested = name == "article" and any(e.name == "article" for e in stack)
-        stack.append(_Element(name, len(pieces), top.drop or _is_dropped(name, m[3], main, nested), main))
-        if name in RAW and not m[3].endswith("/"):
-            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-            text(page[at : end.start() if end else len(page)])
-            at = end.end() if end else len(page)
+        verdict = _judge(name, attributes, main, name == "article" and bool(places.get("article")))
+        places[name].append(len(stack))
+        if name in SCOPE:
+            barriers.append(len(stack))
+        links += name == "a"
+        stack.append(_Element(name, len(pieces), top.drop or verdict == "drop", main, verdict))
+        if name in RAW and not attributes.endswith("/"):
+            closing = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+            text(page[at : closing.start() if closing else len(page)])
+            at = closing.end() if closing else len(page)
             close()
     text(page[at:])
     while len(stack) > 1:
         close()
+    gone = _covered([(i, j) for i, j, size, holds in doubtful if not holds and 5 * size <= 4 * total], len(pieces))
+    if gone is not None:
+        pieces = [(f, d or g, m) if f else (f, d, m) for (f, d, m), g in zip(pieces, gone, strict=True)]
     return pieces, subtrees
 
 
+def _covered(spans: list[tuple[int, int]], n: int) -> list[bool] | None:
+    """Whether each of n places is in a span; None if there is no span."""
+    if not spans:
+        return None
+    steps = [0] * (n + 1)
+    for i, j in spans:
+        steps[i] += 1
+        steps[j] -= 1
+    return [depth > 0 for depth in accumulate(steps[:-1])]
+
+
 def _blocks(pieces: list[Piece]) -> str:
     out, block = [], []
     for found, _, _ in [*pieces, ("", False, False)]:
@@ -177,15 +261,16 @@ def main_text(page: str | None, templates: set[int] | frozenset[int] = frozenset
     has_main = any(m and f.strip() for f, d, m in pieces if not d)
     if templates:
         total = sum(len(f) for f, d, _ in pieces if not d)
-        gone = [False] * len(pieces)
-        inner = [False] * len(pieces)
-        for h, begin, end, size, inside in subtrees:
-            if h in templates and (inside or 2 * size < total):
-                (inner if inside else gone)[begin:end] = [True] * (end - begin)
-        lost, all_inside = (sum(len(f) for (f, d, m), g in zip(pieces, which, strict=True) if g and m and not d) for which in (inner, [True] * len(pieces)))
-        if 2 * lost < all_inside:
-            gone = [g or i for g, i in zip(gone, inner, strict=True)]
-        pieces = [(f, d or g, m) if f else (f, d, m) for (f, d, m), g in zip(pieces, gone, strict=True)]
+        found = [(begin, end, inside) for h, begin, end, size, inside in subtrees if h in templates and (inside or 2 * size < total)]
+        gone = _covered([(i, j) for i, j, inside in found if not inside], len(pieces))
+        inner = _covered([(i, j) for i, j, inside in found if inside], len(pieces))
+        if inner is not None:
+            lost = sum(len(f) for (f, d, m), g in zip(pieces, inner, strict=True) if g and m and not d)
+            if 2 * lost >= sum(len(f) for f, d, m in pieces if m and not d):
+                inner = None
+        for which in (gone, inner):
+            if which is not None:
+                pieces = [(f, d or g, m) if f else (f, d, m) for (f, d, m), g in zip(pieces, which, strict=True)]
     return _blocks([p for p in pieces if not p[0] or (not p[1] and (p[2] or not has_main))])
 
 
