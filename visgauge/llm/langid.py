@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,8 +99,9 @@ def fit_languages(
     return LanguageModel(idf, languages, np.concatenate(centroids) if centroids else np.zeros((0, DIMS), np.float32), np.array(owner, int), least)
 
 
-def _predict(model: LanguageModel, sharpness: float = 20.0) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _predict(sent: Broadcast[LanguageModel], sharpness: float = 20.0) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
         for s, texts in blocks(batches, 0):
             letters = np.fromiter((any(map(str.isalpha, t.decode())) for t in texts), bool, len(texts))
             names, scores, far = [UNDETERMINED] * len(texts), np.zeros(len(texts)), ~letters
@@ -123,8 +125,9 @@ def identify_languages(docs: DataFrame, model: LanguageModel, text_col: str = "t
     """The columns keep of every row of docs, and lang_pred, score (0 to 1) and rejected, from the whole text alone.
 
     Texts that are null or have no letter are `und`, with score 0, and are rejected. All others get a learned language,
-    whether rejected for their distance or not; a model learned from no row gives `und` to all.
+    whether rejected for their distance or not; a model learned from no row gives `und` to all. Of equally near languages
+    the first by name counts.
     """
     rows = docs.select(F.col(text_col).cast("string").alias("_text"), *keep)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.transform(in_arrow, _predict(model), f"{fields}, lang_pred string, score double, rejected boolean")
+    return rows.transform(in_arrow, _predict(docs.sparkSession.sparkContext.broadcast(model)), f"{fields}, lang_pred string, score double, rejected boolean")

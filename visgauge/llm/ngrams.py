@@ -80,10 +80,13 @@ def tf_idf(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def bounded_sample(rows: DataFrame, label_col: str, id_col: str, per_label: int) -> DataFrame:
-    """About per_label rows of each label at most, chosen by a hash of the id: the same rows in every run."""
+    """About per_label ids of each label at most, chosen by a hash of the id: the same in every run. Of the rows of one
+    id with one label, that of the least text counts, so that a repeated id is one row of the sample."""
+    rest = [c for c in rows.columns if c not in (label_col, id_col)]
     share = rows.groupBy(label_col).agg((F.lit(float(per_label)) / F.count(F.lit(1))).alias("_share")).withColumnRenamed(label_col, "_label")
     picked = rows.join(broadcast_up_to(checkpoint(share), F.lit(64)), F.col(label_col) == F.col("_label"))
-    return picked.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1 << 30)) < F.col("_share") * F.lit(float(1 << 30))).drop("_share", "_label")
+    picked = picked.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1 << 30)) < F.col("_share") * F.lit(float(1 << 30)))
+    return picked.groupBy(label_col, id_col).agg(*[F.min(c).alias(c) for c in rest]) if rest else picked.select(label_col, id_col).distinct()
 
 
 def collect_features(sample: DataFrame, features: Callable[[list[bytes]], np.ndarray], width: int) -> tuple[list[str], np.ndarray]:

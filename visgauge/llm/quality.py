@@ -9,10 +9,11 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visgauge.llm.common import in_arrow
+from visgauge.llm.common import broadcast_up_to, checkpoint, in_arrow
 from visgauge.llm.ngrams import blocks, bounded_sample, collect_features, document_frequencies, hashed_counts, tf_idf
 
 DIMS = 4096
@@ -63,7 +64,8 @@ def fit_quality(
 
     Document frequencies cover all rows of docs. The labelled vectors are those of about per_label rows of each label,
     a bound that is also the bound of what is broadcast; the latent axes are the leading singular vectors of them.
-    Labels that are null, and ids without a text, are left out; an id with several labels votes with their mean.
+    Labels that are null, and ids without a text, are left out; an id with several labels votes with their mean, and
+    one with several texts is learned from the least of them.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     marked = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("label")).where("_id is not null and label is not null")
@@ -72,7 +74,8 @@ def fit_quality(
     idf = np.log((1 + n) / (1 + df)).astype(np.float32) + 0.1
     prior = marked.agg(F.avg("label")).first()[0]
     chosen = bounded_sample(marked.withColumn("side", F.col("label") >= 0.5), "side", "_id", per_label)
-    sample = rows.join(F.broadcast(chosen), F.col("id") == F.col("_id")).select("label", "id", "text")
+    sent = broadcast_up_to(checkpoint(chosen.select("_id", "label")), F.lit(32))
+    sample = rows.join(sent, F.col("id") == F.col("_id")).groupBy("label", "id").agg(F.min("text").alias("text"))
     y, raw = collect_features(sample, _raw, WIDTH)
     x = _features(raw, idf)
     # singular vectors from the smaller Gram matrix, rows by rows: the sample bounds its size
@@ -83,16 +86,24 @@ def fit_quality(
     return QualityModel(idf, axes, _unit(x @ axes), np.array(y, float), 0.5 if prior is None else float(prior))
 
 
-def _score(model: QualityModel, neighbours: int, sharpness: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def nearest(cosine: np.ndarray, k: int) -> np.ndarray:
+    """For each row, which k columns are the greatest; of equal ones at the border, those of the lowest numbers."""
+    border = -np.partition(-cosine, k - 1, axis=1)[:, k - 1 : k]
+    above, equal = cosine > border, cosine == border
+    chosen = above | (equal & (np.cumsum(equal, axis=1) <= k - above.sum(axis=1, keepdims=True)))
+    return np.nonzero(chosen)[1].reshape(-1, k)
+
+
+def _score(sent: Broadcast[QualityModel], neighbours: int, sharpness: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
         k = min(neighbours, len(model.labels))
         for s, texts in blocks(batches, 0):
             scores = np.full(len(texts), model.prior)
             if k:
                 z = _features(_raw(texts), model.idf) @ model.axes
-                cosine = _unit(z) @ model.vectors.T
-                near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-                near.sort(axis=1)
+                cosine = np.round(_unit(z) @ model.vectors.T, 5)  # the last digits depend on the rows beside
+                near = nearest(cosine, k)
                 weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0).astype(np.float64) ** sharpness
                 total = weight.sum(axis=1)
                 voted = (weight * model.labels[near]).sum(axis=1) / np.maximum(total, 1e-300)
@@ -103,10 +114,12 @@ def _score(model: QualityModel, neighbours: int, sharpness: float) -> Callable[[
     return run
 
 
-def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), neighbours: int = 15, sharpness: float = 8.0) -> DataFrame:
+def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), neighbours: int = 31, sharpness: float = 8.0) -> DataFrame:
     """The columns keep of every row of docs, and score: the similarity-weighted share of label 1 among the nearest
-    labelled vectors to the whole text, from cosines with all of them. Null and blank texts, and any text if nothing was
+    labelled vectors to the whole text, from cosines with all of them, rounded to five places; of equally near vectors
+    those count that come first in the order of label and id. The model is broadcast; its size is bounded by per_label.
+    The four surface shares of a text stand beside its n-grams as they tell noise and repetition that no n-gram does. Null and blank texts, and any text if nothing was
     learned, get the share of label 1 over all labels."""
     rows = docs.select(F.col(text_col).cast("string").alias("_text"), *keep)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.transform(in_arrow, _score(model, neighbours, sharpness), f"{fields}, score double")
+    return rows.transform(in_arrow, _score(docs.sparkSession.sparkContext.broadcast(model), neighbours, sharpness), f"{fields}, score double")
