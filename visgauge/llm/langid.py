@@ -66,7 +66,7 @@ def _cluster(x: np.ndarray, k: int, rounds: int = 12, least_share: float = 0.02)
 
 
 def fit_languages(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 500, clusters: int = 4, slack: float = 0.5
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 500, clusters: int = 4, slack: float = 0.3
 ) -> LanguageModel:
     """Learn from the rows of docs with a text and a language.
 
