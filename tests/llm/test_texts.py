@@ -74,9 +74,10 @@ def plain_removal(rows, length=50):
 def test_repeated_strings(spark, seed):
     rnd = random.Random(seed)
     passage, run = prose(rnd, 30), "é" * 400
+    texts_of_one = prose(rnd, 50)
     rows = [(i, t) for i, t, *_ in corpus(seed, 40)]
     rows += [(100 + k, prose(rnd, 20) + passage[k : k + rnd.randrange(40, 120)] + prose(rnd, 20)) for k in range(12)]
-    rows += [(200, run), (201, run + "x"), (202, "=" * 49), (203, "=" * 49), (204, "=" * 50), (205, "=" * 51), (206, "ab" * 300), (207, "ba" * 300), (None, passage), (None, passage), (5, passage), (5, passage)]
+    rows += [(200, run), (201, run + "x"), (202, "=" * 49), (203, "=" * 49), (204, "=" * 50), (205, "=" * 51), (210, texts_of_one), (211, texts_of_one), (212, texts_of_one + "!"), (206, "ab" * 300), (207, "ba" * 300), (None, passage), (None, passage), (5, passage), (5, passage)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("x")).withColumn("id", F.lit("y")).repartition(5)
     for size in (1_500_000, 40):
         found = suffixes.remove_repeated_strings(docs, anchors_in_bucket=size).collect()

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visgauge.llm.common import in_arrow
+from visgauge.llm.common import broadcast_up_to, checkpoint, in_arrow
 
 #: Bytes of the gram that is an anchor.
 GRAM = 20
@@ -25,7 +25,7 @@ GRAM = 20
 OUTSIDE = 256
 LAST = np.iinfo(np.int64).max
 _BASE, _BASE_INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_SYMBOLS = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
+_SYMBOLS, _OTHER_SYMBOLS = np.random.default_rng(11).integers(1, 1 << 63, (2, 256), dtype=np.uint64)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -51,14 +51,14 @@ def _windowed(f: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
     return f(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def anchors(data: np.ndarray, ends: np.ndarray, length: int, piece: int = 1 << 19) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places, gram hashes and context hashes of the anchors of texts that stand one behind the other in data.
+def anchors(data: np.ndarray, ends: np.ndarray, length: int, piece: int = 1 << 19) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places, gram hashes and two context hashes of the anchors of texts that stand one behind the other in data.
 
     Of each string of `length` bytes, the least gram by hash is an anchor, so equal strings have an anchor at the same
     place in them. The context is what all strings of that length around the gram cover, as far as the text goes.
     """
     width = length - GRAM + 1
-    places, grams, contexts = [], [], []
+    places, grams, contexts, others = [], [], [], []
     begins = np.concatenate([[0], ends[:-1]])
     for at in range(0, len(data), piece):
         low, high = max(0, at - 2 * length), min(len(data), at + piece + 2 * length)
@@ -77,15 +77,17 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int, piece: int = 1 << 1
         padded = np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)])
         chosen = np.flatnonzero(_windowed(np.maximum, padded, width)[:n] == h)
         chosen = chosen[(chosen + low >= at) & (chosen + low < at + piece)]
-        first = np.maximum(chosen - (width - 1), begins[owner[chosen]] - low)
+        first = np.maximum(np.maximum(chosen - (width - 1), begins[owner[chosen]] - low), 0)
         last = np.minimum(chosen + length, stop[chosen])
         shape = ((chosen - first) * 1024 + (last - first)).astype(np.uint64)
         places.append(chosen + low)
         grams.append(h[chosen])
-        contexts.append(_mix(_mix((sums[last] - sums[np.maximum(first, 0)]) * down[np.maximum(first, 0)]) + shape))
+        contexts.append(_mix(_mix((sums[last] - sums[first]) * down[first]) + shape))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_OTHER_SYMBOLS[part] * up[: len(part)], dtype=np.uint64)])
+        others.append(_mix(_mix((sums[last] - sums[first]) * down[first]) + shape) >> np.uint64(32))
     if not places:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    return np.concatenate(places), np.concatenate(grams), np.concatenate(contexts)
+        return np.zeros(0, np.int64), *(np.zeros(0, np.uint64) for _ in range(3))
+    return np.concatenate(places), np.concatenate(grams), np.concatenate(contexts), np.concatenate(others)
 
 
 def collection_matches(pieces: np.ndarray, first: np.ndarray, last: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
@@ -157,8 +159,8 @@ def _slices(begins: np.ndarray, n: int) -> list[slice]:
     return [slice(i, j) for i, j in zip(begins.tolist(), [*begins[1:].tolist(), n], strict=True)] if len(begins) else []
 
 
-#: An anchor's columns: gram hash, context hash in two parts, id and row of its text, place in it.
-_ANCHOR = (np.uint32, np.uint32, np.uint16, np.int64, np.int64, np.uint32)
+#: An anchor's columns: gram hash, context hash, a second one of other symbols, id and row of its text, place in it.
+_ANCHOR = (np.uint32, np.uint64, np.uint32, np.int64, np.int64, np.uint32)
 
 
 def _emit(bucket: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
@@ -185,11 +187,11 @@ def _find_anchors(length: int, buckets: int, chunk: int = 1 << 24):
             while low < len(ends):  # texts of some millions of bytes at a time, one text at least
                 base = ends[low - 1] if low else 0
                 high = max(low + 1, int(np.searchsorted(ends, base + chunk, "right")))
-                place, gram, context = anchors(data[base : ends[high - 1]], ends[low:high] - base, length)
+                place, gram, context, other = anchors(data[base : ends[high - 1]], ends[low:high] - base, length)
                 if len(place):
                     owner = np.searchsorted(ends[low:high] - base, place, "right")
                     start = np.concatenate([[0], ends[low : high - 1] - base])[owner] if high - low > 1 else np.zeros(len(place), np.int64)
-                    columns = [gram >> np.uint64(32), context & np.uint64(0xFFFFFFFF), (context >> np.uint64(32)) & np.uint64(0xFFFF), ids[low:high][owner], rows[low:high][owner], place - start]
+                    columns = [gram >> np.uint64(32), context, other, ids[low:high][owner], rows[low:high][owner], place - start]
                     yield _emit((gram % np.uint64(buckets)).astype(np.int64), [c.astype(k) for c, k in zip(columns, _ANCHOR, strict=True)])
                 low = high
 
@@ -212,8 +214,7 @@ def _repeated(group: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
     columns = [c[order] for c in columns]
     order = np.lexsort((columns[4], columns[3], columns[2], columns[1], columns[0]))
     columns = [c[order] for c in columns]
-    key = (columns[1].astype(np.uint64) << np.uint64(16)) | columns[2]
-    changed = np.concatenate([[True], (columns[0][1:] != columns[0][:-1]) | (key[1:] != key[:-1])]) if len(order) else np.zeros(0, bool)
+    changed = np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns[:3]], axis=0)]) if len(order) else np.zeros(0, bool)
     return columns, np.flatnonzero(changed)
 
 
@@ -324,12 +325,19 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
     Strings are judged on the input. A null text is empty; a null id counts as greater than all others; texts with the
     same id don't count against each other. Shorter texts stay whole.
 
-    Texts that share such a string share an anchor in it, a gram at the same place. Anchors are packed by bucket of
-    their gram, and those in one text only go. One piece of text for each different context of an anchor is fetched, and
-    the pieces of a bucket form a collection whose suffix order and common prefixes are built column by column; strings
-    with the whole length in common stand side by side. The spans found go back to their texts.
+    A text of which a copy has a smaller id goes whole and takes no part in what follows, as each of its strings starts
+    in that copy. All other texts that share such a string share an anchor in it, a gram at the same place. Anchors are
+    packed by bucket of their gram, and those in one text only go. Anchors with the same 20 bytes and the same 80 bytes
+    around them, by hashes of 32 and 96 bits beside the bucket, have one piece of text fetched for all of them; the pieces
+    of a bucket form a collection whose suffix order and common prefixes are built column by column, from their bytes;
+    strings with the whole length in common stand side by side. The spans found go back to their texts.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("order"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    copied = rows.where(F.octet_length("text") >= length).groupBy(F.md5(F.col("text").cast("binary")).alias("digest")).agg(F.min("order").alias("first"), F.max("order").alias("last"))
+    copied = broadcast_up_to(checkpoint(copied.where("first < last").select("digest", "first")), F.lit(64))
+    rows = rows.join(copied, F.md5(F.col("text").cast("binary")) == F.col("digest"), "left").withColumn("copy", F.coalesce((F.col("order") > F.col("first")) & (F.octet_length("text") >= length), F.lit(False)))
+    whole, rows = rows.where("copy"), rows.where("not copy")
+    gone = whole.select("id", F.octet_length("text").cast("long").alias("n_bytes"), F.octet_length("text").cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit("").cast("binary").alias("kept"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 1 + 2 * total // (length - GRAM + 2) // anchors_in_bucket
     # both of these are read twice: the plan of each reader has the same exchange, so that it is made once
@@ -341,4 +349,5 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
     judged = by_bucket.groupBy("bucket").cogroup(cut.groupBy("bucket")).applyInArrow(_judge(length), "row bigint, begins binary, sizes binary")
     spans = judged.groupBy("row").agg(F.collect_list(F.struct("begins", "sizes")).alias("spans"))
     out = texts.join(spans, "row", "left").select("id", "size", "packed", "spans")
-    return out.transform(in_arrow, _remove, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary").withColumnRenamed("id", id_col)
+    out = out.transform(in_arrow, _remove, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    return out.unionByName(gone).withColumnRenamed("id", id_col)
