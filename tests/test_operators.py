@@ -1,12 +1,14 @@
 from __future__ import annotations
 
+import hashlib
 import itertools
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from visgauge.operators import datasets, dedup, detection, failures, metrics, paired, policy, ranking
+from visgauge.operators import datasets, dedup, detection, failures, live, metrics, paired, policy, ranking, review, selection
 
 
 def box_iou(a, b):
@@ -212,3 +214,109 @@ def test_null_strata_are_kept(spark):
     rows = spark.createDataFrame([(i, None if i % 2 else "a") for i in range(20)], "id long, lang string")
     split = datasets.stratified_split(rows, "id", ["lang"], 0.3, "s")
     assert {(r.lang, r.split): r["count"] for r in split.groupBy("lang", "split").count().collect()} == {("a", "dev"): 3, ("a", "test"): 7, (None, "dev"): 3, (None, "test"): 7}
+
+
+def greedy_split(features, dev_size, salt, protect):
+    """The same choice, row by row."""
+    order = {k: hashlib.sha256(f"{salt}\0{k}".encode()).hexdigest() for k in features}
+    total = Counter(f for fs in features.values() for f in fs)
+    category = {f for f in total if f.startswith("category:")}
+    target = {f: max(1, c * dev_size / len(features)) if f in category and c > 1 else c * dev_size / len(features) for f, c in total.items()}
+    open_, single = {f for f in category if total[f] > 1}, {f for f in category if total[f] == 1}
+    picked, seen = [], Counter()
+    for slot in range(1, dev_size + 1):
+
+        def score(k, slot=slot):
+            own = features[k]
+            error = sum((seen[f] + (f in own) - target[f] * slot / dev_size) ** 2 / total[f] for f in total)
+            return len(own & single) if protect else 0, round(-sum(1 / total[f] for f in own & open_), 9), round(error, 7), order[k]
+
+        best = min((k for k in features if k not in picked), key=score)
+        picked.append(best)
+        seen.update(features[best])
+        open_ -= features[best]
+    return set(picked)
+
+
+@pytest.mark.parametrize("protect", [True, False])
+def test_multilabel_split(spark, protect):
+    rnd = random.Random(31)
+    features = {k: {f"category:{rnd.choice('abcdefgh')}" for _ in range(rnd.randrange(1, 4))} | {f"size:{rnd.choice('sml')}"} for k in range(60)}
+    features |= {100: {"category:only", "size:s"}, 101: {"category:rare", "size:l"}, 102: {"category:rare", "size:m"}}
+    df = spark.createDataFrame([(k, sorted(fs)) for k, fs in features.items()], "id long, f array<string>")
+    found = selection.multilabel_split(df, "id", "f", 12, "s", protect_singletons=protect).collect()
+    assert len(found) == len(features)
+    assert {r.id for r in found if r.split == "dev"} == greedy_split(features, 12, "s", protect)
+    if protect:
+        assert 100 not in {r.id for r in found if r.split == "dev"}
+    with pytest.raises(ValueError, match="dev_size"):
+        selection.multilabel_split(df, "id", "f", 63, "s")
+
+
+def test_diverse_selection(spark):
+    rnd = random.Random(32)
+    rows = [(k, rnd.choice("xy"), float(rnd.randrange(4)), sorted(rnd.sample(["t1", "t2", "t3"], rnd.randrange(3))), sorted(rnd.sample("abcde", rnd.randrange(1, 4)))) for k in range(50)]
+    df = spark.createDataFrame(rows, "id long, g string, score double, tags array<string>, cats array<string>")
+    quotas = {"x": 7, "y": 4, "z": 0}
+    expected = {}
+    for g, quota in quotas.items():
+        left, tags, cats = [r for r in rows if r[1] == g], Counter(), Counter()
+        for rank in range(1, quota + 1):
+            worth = lambda r: round(r[2] + sum(1 / (1 + tags[t]) for t in r[3]) + 0.2 * sum(1 / (1 + cats[c]) for c in r[4]), 9)  # noqa: B023, E731
+            best = min(left, key=lambda r: (-worth(r), hashlib.sha256(f"s\0{r[0]}".encode()).hexdigest()))
+            left.remove(best)
+            tags.update(best[3])
+            cats.update(best[4])
+            expected[best[0]] = rank
+    found = selection.diverse_selection(df, "id", "g", "score", "tags", "cats", quotas, "s").collect()
+    assert {r.id: r["rank"] for r in found} == expected
+    with pytest.raises(ValueError, match="rows of the"):
+        selection.diverse_selection(df, "id", "g", "score", "tags", "cats", {"x": 60}, "s")
+
+
+def test_contrastive_cascade_refuses_what_is_incomplete(spark):
+    baseline = spark.createDataFrame([(1, "no", "yes"), (2, "Yes", "no")], "id long, prediction string, gt_answer string")
+    jobs = spark.createDataFrame([(1, "k", "dog", ["cat", "dog", "none"])], "id long, v3_key string, object string, options array<string>")
+    reviews = spark.createDataFrame([("k", " Dog ")], "v3_key string, answer string")
+    found = {r.id: (r.final_answer, r.status, r.correction) for r in review.contrastive_cascade(baseline, jobs, reviews).collect()}
+    assert found == {1: ("yes", "promoted_by_contrastive_target_match", "beneficial"), 2: ("yes", "positive_preserved_without_negative_recheck", "unchanged")}
+    with pytest.raises(Exception, match="no review"):
+        review.contrastive_cascade(baseline, jobs, reviews.limit(0)).collect()
+    with pytest.raises(Exception, match="repeated"):
+        review.contrastive_cascade(baseline, jobs.union(jobs), reviews).collect()
+
+
+def test_ontology_faults(spark):
+    groups = spark.createDataFrame([("animal", "Cat"), ("animal", "dog"), ("pet", "cat"), ("animal", "dog"), ("food", "pie")], "g string, c string")
+    expected = spark.createDataFrame([("cat",), ("dog",), ("cow",)], "category string")
+    assert sorted(map(tuple, review.ontology_faults(groups, "g", "c", expected).collect())) == [("missing", "cow"), ("repeated", "dog"), ("several_groups", "cat"), ("unknown", "pie")]
+
+
+def test_evidence_is_judged_by_what_is_expected(spark):
+    box = [0.0, 0.0, 10.0, 10.0]
+    samples = spark.createDataFrame([(1, True), (2, True), (3, True), (4, False), (5, True)], "id long, is_correct boolean")
+    truth = spark.createDataFrame([(1, "cat", 0, box), (1, "dog", 1, box), (2, "cat", 0, box), (4, "cat", 0, box)], "id long, category string, idx long, box array<double>")
+    found = spark.createDataFrame([(1, "cat", 0, box, 0.9), (2, "dog", 0, box, 0.9), (3, "cat", 0, box, 0.9), (4, "cat", 0, box, 0.9)], "id long, category string, idx long, box array<double>, score double")
+    scored = {r.id: (r.evidence_required, r.evidence_supported, r.evidence_complete, r.success, r.complete_success) for r in live.evidence_success(samples, truth, found).collect()}
+    assert scored == {1: (True, True, False, True, False), 2: (True, False, False, False, False), 3: (False, False, False, False, False), 4: (True, True, True, False, False), 5: (False, True, True, True, True)}
+
+
+def test_coco_exchange(spark):
+    categories = spark.createDataFrame([(7, "cat"), (8, "dog")], "id int, name string")
+    annotations = spark.createDataFrame([(1, 7), (1, 8), (2, 7), (3, 8)], "image_id long, category_id long")
+    questions = spark.createDataFrame([(1, "object_listing", ["cat"]), (2, "object_existence", ["cat"]), (3, "object_listing", ["cat", "dog"])], "image_id long, task_type string, categories array<string>")
+    kept = live.oracle_annotations(annotations, categories, questions)
+    assert sorted((r.image_id, r.category_id) for r in kept.collect()) == [(1, 7), (3, 8)]
+    assert tuple(live.filtered_report(annotations, kept).first()) == (4, 2, 2, 0.5)
+    with pytest.raises(Exception, match="no category"):
+        live.oracle_annotations(annotations, categories, questions.union(spark.createDataFrame([(1, "object_listing", ["cow"])], questions.schema))).collect()
+    found = spark.createDataFrame([(1, "Cat", [1.0, 2.0, 4.00004, 8.0], 0.5), (1, "cow", [1.0, 2.0, 3.0, 4.0], 0.5), (1, "dog", [5.0, 2.0, 3.0, 4.0], 0.5), (1, "dog", [5.0, 2.0], 0.5), (1, "dog", None, 0.5)], "image_id long, class_name string, box array<double>, score double")
+    results = live.coco_results(found, categories).collect()
+    assert Counter(r.skipped for r in results) == {None: 1, "unmapped_label": 1, "invalid_bbox": 3}
+    assert [(r.category_id, r.bbox) for r in results if r.skipped is None] == [(7, [1.0, 2.0, 3.0, 6.0])]
+
+
+def test_canonical_targets(spark):
+    df = spark.createDataFrame([(1, ["Cats", "the cat", "red  Car", " ", "cat and dog"]), (2, [])], "id long, targets array<string>")
+    found = {r.id: r.canonical for r in live.canonical_targets(df, "id", "targets").collect()}
+    assert found == {1: ["car", "cat", "cat and dog"], 2: []}

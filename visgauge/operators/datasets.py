@@ -92,3 +92,11 @@ def split_check(whole: DataFrame, parts: list[DataFrame], key: str) -> DataFrame
 def frozen_digest(df: DataFrame, row: Column, by: str) -> DataFrame:
     """by, rows and digest of each group: a sum over rows that any two equal sets of rows share, in whatever order."""
     return df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sum(row_digest(row)).cast("string").alias("digest"))
+
+
+def ids_digest(df: DataFrame, key: str, by: str, separator: str, end: str = "") -> DataFrame:
+    """by, n and digest: the SHA-256 of the sorted keys of each group joined by separator, with end behind the last. The
+    keys of one group meet in one row: for benchmark sets, whose lists of ids are published with their digest. frozen_digest
+    is a digest for tables of any size."""
+    ids = F.array_join(F.transform(F.sort_array(F.collect_list(key)), lambda x: x.cast("string")), separator)
+    return df.where(F.col(key).isNotNull()).groupBy(by).agg(F.count(key).alias("n"), F.sha2(F.concat(ids, F.lit(end)), 256).alias("digest"))
