@@ -27,7 +27,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, less the lines that are boilerplate of their source."""
-    return drop_boilerplate(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    rest = F.struct(*[c for c in docs.columns if c not in ("text", "n_chars")])  # out of the way of the counts' names
+    left = drop_boilerplate(docs.select(F.col("source"), F.col("text"), rest.alias("doc")))
+    changed = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return left.select(*[changed[c].alias(c) if c in changed else F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,11 +63,16 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table documents. Each stage's rows are written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the table documents. Each stage's rows are written to the shared folder and read again; those of
+    the stage before go when the next ones are complete."""
+    docs, before = table(spark, sf_dir, "documents"), None
     folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         out = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if before is not None:
+            path = spark._jvm.org.apache.hadoop.fs.Path(before)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        before = out
     return docs
