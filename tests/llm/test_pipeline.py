@@ -55,10 +55,10 @@ def test_run(spark, folder):
 def test_stages_keep_extra_columns_and_empty_tables(spark, folder):
     path, _, _ = folder
     docs = spark.read.parquet(f"{path}/documents.parquet")
-    odd = docs.selectExpr("*", "1 as rejected", "2 as _row", "3 as doc", "4 as found", "5 as host", "6 as lang_pred")
+    odd = docs.selectExpr("*", "1 as rejected", "2 as _row", "3 as doc", "4 as found", "5 as host", "6 as lang_pred", "-7 as n_lines", "8 as n_dropped")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, odd, path).columns == odd.columns, name
-        assert stage(spark, odd, path).count() > 200, name
+        assert stage(spark, odd, path).where("rejected = 1 and n_lines = -7 and n_dropped = 8").count() > 200, name
         assert stage(spark, odd.limit(0), path).count() == 0, name
 
 
