@@ -29,28 +29,24 @@ def run_status(samples: DataFrame, answers: DataFrame, key: str) -> DataFrame:
 
 
 def follow(
-    spark: SparkSession, source: str, schema: str, out: str, checkpoint: str, key: str, metrics: Callable[[DataFrame], DataFrame], metrics_out: str, valid: str = "true"
+    spark: SparkSession, source: str, schema: str, out: str, checkpoint: str, key: str, metrics: Callable[[DataFrame], DataFrame], metrics_out: str, valid: str = "true", metrics_every: int = 1
 ) -> StreamingQuery:
     """Append JSON answers that arrive in source to the Parquet table out, each key once, and rewrite metrics_out.
 
-    Rows that are not valid go to `<out>_errors`. Each batch is written to a part of its own, so a batch that is run
-    again after a failure replaces what it had written.
+    Rows that are not valid go to `<out>_errors`. The keys seen are kept in the stream's state, so that a batch costs what
+    it holds, however many came before. The metrics are made of all answers, in every metrics_every-th batch. Each batch
+    is written to a part of its own, so a batch that is run again after a failure replaces what it had written.
     """
 
     def step(batch: DataFrame, number: int) -> None:
-        good = batch.where(valid).dropDuplicates([key])
-        part = f"{out}/batch={number}"
-        seen = spark.read.option("basePath", out).parquet(f"{out}/*").where(F.col("batch") != number) if number and _exists(spark, out) else None
-        if seen is not None:
-            good = good.join(seen.select(key), key, "left_anti")
-        good.write.mode("overwrite").parquet(part)
-        batch.where(f"not coalesce({valid}, false)").write.mode("overwrite").json(f"{out}_errors/batch={number}")
-        metrics(spark.read.parquet(out)).write.mode("overwrite").json(metrics_out)
-
-    stream = spark.readStream.schema(schema).json(source)
+        batch = batch.persist()
+        batch.where("_ok").drop("_ok", "_once").write.mode("overwrite").parquet(f"{out}/batch={number}")
+        batch.where("not _ok").drop("_ok", "_once").write.mode("overwrite").json(f"{out}_errors/batch={number}")
+        batch.unpersist()
+        if number % metrics_every == 0:
+            metrics(spark.read.parquet(out)).write.mode("overwrite").json(metrics_out)
+
+    good = F.coalesce(F.expr(valid), F.lit(False))
+    once = F.when(F.col("_ok"), F.concat(F.lit("key "), F.col(key).cast("string"))).otherwise(F.concat(F.lit("row "), F.uuid()))  # all errors are kept
+    stream = spark.readStream.schema(schema).json(source).withColumn("_ok", good).withColumn("_once", once).dropDuplicates(["_once"])
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
