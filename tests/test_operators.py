@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from visgauge.operators import datasets, dedup, detection, failures, live, metrics, paired, policy, ranking, review, selection
+from visgauge.operators import candidates, datasets, dedup, detection, failures, live, metrics, paired, policy, ranking, review, selection
 
 
 def box_iou(a, b):
@@ -320,3 +320,29 @@ def test_canonical_targets(spark):
     df = spark.createDataFrame([(1, ["Cats", "the cat", "red  Car", " ", "cat and dog"]), (2, [])], "id long, targets array<string>")
     found = {r.id: r.canonical for r in live.canonical_targets(df, "id", "targets").collect()}
     assert found == {1: ["car", "cat", "cat and dog"], 2: []}
+
+
+def test_names_of_entities(spark):
+    rows = [(["dog.n.01"], ["Puppy"], "x", "dog"), ([], ["Traffic_Light", "y"], None, "traffic light"), (None, None, "Man's", "man"), (None, [], None, "")]
+    df = spark.createDataFrame(rows, "synsets array<string>, names array<string>, name string, expected string")
+    found = df.select(candidates.entity_name(F.col("synsets"), F.col("names"), F.col("name")).alias("n"), "expected").collect()
+    assert [r.n for r in found] == [r.expected for r in found]
+    box = spark.range(1).select(candidates.unit_box(*[F.lit(v) for v in (-5, 10, 20, 200, 100, 100)]).alias("b"), candidates.unit_box(*[F.lit(v) for v in (0, 0, 0, 5, 100, 100)]).alias("none")).first()
+    assert (box.b, box.none) == ([0.0, 0.1, 0.15, 1.0], None)
+
+
+def test_relations_beyond_doubt(spark):
+    entities = [(1, "a", "dog", 0.5), (1, "b", "dog", 0.2), (1, "c", "cat", 0.1), (1, "d", "cat", 0.1), (1, "e", "cow", 0.3), (2, "a", "dog", 0.1), (1, "a", "dog", 0.5)]
+    relations = [(1, "a", "above", "e"), (1, "a", "above", "e"), (1, "b", "above", "e"), (1, "c", "above", "e"), (1, "e", "below", "a"), (1, "a", "above", "b"), (1, "a", None, "e"), (2, "a", "above", "e")]
+    found = candidates.safe_relations(spark.createDataFrame(entities, "image long, entity string, category string, area double"), spark.createDataFrame(relations, "image long, subject string, predicate string, object string"))
+    assert sorted((r.image, r.subject, r.predicate, r.object, r.subject_rule, r.object_rule) for r in found.collect()) == [
+        (1, "a", "above", "e", "largest_instance", "unique_category"), (1, "e", "below", "a", "unique_category", "largest_instance"),
+    ]
+
+
+def test_box_candidates(spark):
+    rows = [(1, 0, "dog", [0.6, 0.4, 0.9, 0.7], 0.09, False), (1, 1, "cat", [0.1, 0.4, 0.3, 0.6], 0.04, False), (1, 2, "crowd", [0.0, 0.0, 1.0, 1.0], 1.0, True), (2, 0, "cow", [0.1, 0.1, 0.2, 0.2], 0.001, False)]
+    objects = spark.createDataFrame(rows, "image long, idx int, category string, box array<double>, area double, group_of boolean").withColumns({"occluded": F.lit(True), "truncated": F.lit(None).cast("boolean")})
+    found = candidates.box_candidates(objects).collect()
+    assert [(r.image, r.categories, r.subject, r.predicate, r.object, r.n_objects, r.n_relations) for r in found] == [(1, ["cat", "crowd", "dog"], "dog", "to the right of", "cat", 3, 1)]
+    assert set(found[0].tags) >= {"occluded", "group_of", "spatial_relation"} and "truncated" not in found[0].tags

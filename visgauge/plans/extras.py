@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visgauge.operators import datasets, live, review, selection
+from visgauge.operators import candidates, datasets, live, review, selection
 from visgauge.plans.boxes import _GREEDY, lines
 from visgauge.plans.choices import _difficulty
 from visgauge.plans.registry import Tables, query
@@ -145,3 +145,38 @@ def diverse_selection(t: Tables) -> DataFrame:
     rows = _difficulty(t).select("l_orderkey", "tags", "score").join(kind, "l_orderkey").join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority"), "l_orderkey")
     priorities = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
     return selection.diverse_selection(rows, "l_orderkey", "o_orderpriority", "score", "tags", "categories", dict.fromkeys(priorities, 5), "hard").select("l_orderkey", "o_orderpriority", "rank")
+
+
+@query("""
+    WITH e AS (SELECT l_orderkey AS image, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS entity, l_returnflag AS category, l_quantity AS area FROM lineitem),
+    k AS (SELECT *, count(*) OVER (PARTITION BY image, category) AS n, row_number() OVER w AS r, lead(area) OVER w AS nxt FROM e WINDOW w AS (PARTITION BY image, category ORDER BY area DESC, entity)),
+    u AS (SELECT image, entity, category, CASE WHEN n = 1 THEN 'unique_category' WHEN r = 1 AND area > nxt + 1e-8 THEN 'largest_instance' END AS rule FROM k)
+    SELECT s.image, s.entity AS subject, 'to the left of' AS predicate, o.entity AS object, s.rule AS subject_rule, o.rule AS object_rule FROM u s JOIN u o ON s.image = o.image AND o.entity = s.entity + 1 AND s.category <> o.category
+    WHERE s.rule IS NOT NULL AND o.rule IS NOT NULL""")
+def safe_relations(t: Tables) -> DataFrame:
+    """Each line of an order is left of the next one."""
+    quantity = F.element_at("box", 1)
+    entities = lines(t).select("image", F.col("idx").alias("entity"), "category", quantity.alias("area"))
+    last = entities.groupBy("image").agg(F.max("entity").alias("m"))
+    relations = entities.join(last, "image").where("entity < m").select("image", F.col("entity").alias("subject"), F.lit("to the left of").alias("predicate"), (F.col("entity") + 1).alias("object"))
+    return candidates.safe_relations(entities, relations).select("image", "subject", "predicate", "object", "subject_rule", "object_rule")
+
+
+@query("""
+    WITH o AS (SELECT l_orderkey AS image, p_type AS category, l_quantity / 1000 AS area, l_returnflag = 'R' AS occluded, l_tax > 0.07 AS truncated, l_discount > 0.095 AS group_of FROM lineitem JOIN part ON l_partkey = p_partkey),
+    r AS (SELECT o_orderkey AS image, count(*) AS n_relations FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), h AS (SELECT o.* FROM o JOIN r USING (image)),
+    c AS (SELECT category, count(DISTINCT image) AS images FROM h GROUP BY 1), t AS (SELECT quantile_disc(images, 0.2) AS threshold FROM c),
+    k AS (SELECT image, category, count(*) AS n FROM h GROUP BY 1, 2),
+    e AS (SELECT image, min(area) AS a, bool_or(occluded) AS oc, bool_or(truncated) AS tr, bool_or(group_of) AS gr, count(*) AS n_objects FROM h GROUP BY 1),
+    g AS (SELECT image, list_sort(list(category)) AS categories, max(n) AS most, count(*) AS kinds, bool_or(images <= threshold) AS rare FROM k JOIN c USING (category), t GROUP BY 1),
+    w AS (SELECT image, categories, n_objects, n_relations, list_filter([CASE WHEN a <= 0.005 THEN {'n': 'tiny_object', 'w': 2.0} END, CASE WHEN a > 0.005 AND a <= 0.02 THEN {'n': 'small_object', 'w': 1.0} END, CASE WHEN oc THEN {'n': 'occluded', 'w': 1.5} END,
+          CASE WHEN tr THEN {'n': 'truncated', 'w': 1.0} END, CASE WHEN gr THEN {'n': 'group_of', 'w': 1.0} END, CASE WHEN n_objects >= 8 THEN {'n': 'dense_instances', 'w': 1.5} END, CASE WHEN most >= 3 THEN {'n': 'repeated_category', 'w': 1.0} END,
+          CASE WHEN kinds >= 5 THEN {'n': 'category_diversity', 'w': 1.0} END, CASE WHEN rare THEN {'n': 'long_tail_category', 'w': 2.0} END, CASE WHEN n_relations >= 1 THEN {'n': 'spatial_relation', 'w': 1.5} END, CASE WHEN n_relations >= 5 THEN {'n': 'dense_relations', 'w': 1.0} END], lambda v: v IS NOT NULL) AS g
+          FROM e JOIN g USING (image) JOIN r USING (image))
+    SELECT image, array_to_string(categories, ';') AS categories, n_objects, n_relations, array_to_string(list_transform(g, lambda v: v.n), ';') AS tags, list_sum(list_transform(g, lambda v: v.w))::DOUBLE AS score FROM w""")
+def image_candidates(t: Tables) -> DataFrame:
+    """An order is an image with a relation if it is finished; the types of its parts are the categories."""
+    named = t.lineitem.join(t.part.select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    objects = named.select(F.col("l_orderkey").alias("image"), F.col("p_type").alias("category"), (F.col("l_quantity") / 1000).alias("area"), (F.col("l_returnflag") == "R").alias("occluded"), (F.col("l_tax") > 0.07).alias("truncated"), (F.col("l_discount") > 0.095).alias("group_of"))
+    found = candidates.image_candidates(objects, t.orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("image")))
+    return found.withColumns({"categories": F.array_join("categories", ";"), "tags": F.array_join("tags", ";")})
