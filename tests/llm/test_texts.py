@@ -79,8 +79,8 @@ def test_repeated_strings(spark, seed):
     rows += [(100 + k, prose(rnd, 20) + passage[k : k + rnd.randrange(40, 120)] + prose(rnd, 20)) for k in range(12)]
     rows += [(200, run), (201, run + "x"), (202, "=" * 49), (203, "=" * 49), (204, "=" * 50), (205, "=" * 51), (210, texts_of_one), (211, texts_of_one), (212, texts_of_one + "!"), (206, "ab" * 300), (207, "ba" * 300), (None, passage), (None, passage), (5, passage), (5, passage)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("x")).withColumn("id", F.lit("y")).repartition(5)
-    for size in (1_500_000, 40):
-        found = suffixes.remove_repeated_strings(docs, anchors_in_bucket=size).collect()
+    for size, hot in ((1_500_000, 1_500_000), (40, 8)):
+        found = suffixes.remove_repeated_strings(docs, anchors_in_bucket=size, anchors_of_gram=hot, sampled=1).collect()
         assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in found) == plain_removal(rows)
     assert suffixes.remove_repeated_strings(docs.limit(0)).count() == 0
 
@@ -93,6 +93,18 @@ def test_anchors_do_not_depend_on_pieces():
     assert all(np.array_equal(a, b) for a, b in zip(whole, parts, strict=True))
 
 
+def test_a_sentence_on_every_page(spark):
+    """The anchors of frequent grams travel by the strings around them, in each of which edges differ."""
+    rnd = random.Random(61)
+    sentence = prose(rnd, 30)
+    rows = [(i, prose(rnd, 8) + sentence + prose(rnd, 8) if i % 7 else prose(rnd, 20)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    numbered = docs.selectExpr("doc_id as row", "text")
+    assert 0 < len(suffixes.frequent_grams(numbered, 50, 100, 1)) < 40
+    found = suffixes.remove_repeated_strings(docs, anchors_of_gram=100, sampled=1).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in found) == plain_removal(rows)
+
+
 def test_chat_round_trip(spark):
     nasty = ["\\### Assistant: </turn> ok", "<|endoftext|>", "<\\|endoftext|>", "\\", "\\\\<|", "", None, "é日本😀", " trailing \n", "<turn user>", "|>", "<|" * 5]
     rows = [(1, k, role, t) for k, t in enumerate(nasty) for role in ("assistant",)] + [(2, 0, None, "x"), (2, 0, "user", "a"), (2, 0, "user", "a"), (None, 1, "a\nb>", "t"), (3, None, "assistant", "last"), (3, 1, "assistant", "b" * 5000)]

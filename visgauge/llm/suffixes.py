@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -51,14 +52,29 @@ def _windowed(f: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
     return f(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def anchors(data: np.ndarray, ends: np.ndarray, length: int, piece: int = 1 << 19) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Places, gram hashes and two context hashes of the anchors of texts that stand one behind the other in data.
+@dataclass(frozen=True)
+class _Part:
+    """The anchors of a part of the texts: where they are in it, their grams, the ends of their texts, prefix sums."""
 
-    Of each string of `length` bytes, the least gram by hash is an anchor, so equal strings have an anchor at the same
-    place in them. The context is what all strings of that length around the gram cover, as far as the text goes.
-    """
+    low: int
+    chosen: np.ndarray
+    grams: np.ndarray
+    begin: np.ndarray
+    stop: np.ndarray
+    bytes_: np.ndarray
+    up: np.ndarray
+    down: np.ndarray
+
+    def hashes(self, symbols: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Hashes of the strings from first to last, by polynomials over the symbols."""
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(symbols[self.bytes_] * self.up[: len(self.bytes_)], dtype=np.uint64)])
+        return _mix((sums[last] - sums[first]) * self.down[first])
+
+
+def _parts(data: np.ndarray, ends: np.ndarray, length: int, piece: int) -> Iterator[_Part]:
+    """Of each string of `length` bytes, the least gram by hash is an anchor, so equal strings have an anchor at the same
+    place in them."""
     width = length - GRAM + 1
-    places, grams, contexts, others = [], [], [], []
     begins = np.concatenate([[0], ends[:-1]])
     for at in range(0, len(data), piece):
         low, high = max(0, at - 2 * length), min(len(data), at + piece + 2 * length)
@@ -77,17 +93,36 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int, piece: int = 1 << 1
         padded = np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)])
         chosen = np.flatnonzero(_windowed(np.maximum, padded, width)[:n] == h)
         chosen = chosen[(chosen + low >= at) & (chosen + low < at + piece)]
-        first = np.maximum(np.maximum(chosen - (width - 1), begins[owner[chosen]] - low), 0)
-        last = np.minimum(chosen + length, stop[chosen])
+        yield _Part(low, chosen, h[chosen], np.maximum(begins[owner[chosen]] - low, 0), stop[chosen], part, up, down)
+
+
+def anchors(data: np.ndarray, ends: np.ndarray, length: int, piece: int = 1 << 19, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places, gram hashes and two context hashes of the anchors of texts that stand one behind the other in data, but
+    those of the grams in without. The context is what all strings of that length around the gram cover, as far as the
+    text goes."""
+    found = [np.zeros((4, 0), np.uint64)]
+    for p in _parts(data, ends, length, piece):
+        stays = slice(None) if without is None else ~np.isin(p.grams, without)
+        chosen = p.chosen[stays]
+        first, last = np.maximum(p.begin[stays], chosen - (length - GRAM)), np.minimum(chosen + length, p.stop[stays])
         shape = ((chosen - first) * 1024 + (last - first)).astype(np.uint64)
-        places.append(chosen + low)
-        grams.append(h[chosen])
-        contexts.append(_mix(_mix((sums[last] - sums[first]) * down[first]) + shape))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_OTHER_SYMBOLS[part] * up[: len(part)], dtype=np.uint64)])
-        others.append(_mix(_mix((sums[last] - sums[first]) * down[first]) + shape) >> np.uint64(32))
-    if not places:
-        return np.zeros(0, np.int64), *(np.zeros(0, np.uint64) for _ in range(3))
-    return np.concatenate(places), np.concatenate(grams), np.concatenate(contexts), np.concatenate(others)
+        one, two = (_mix(p.hashes(symbols, first, last) + shape) for symbols in (_SYMBOLS, _OTHER_SYMBOLS))
+        found.append(np.stack([(chosen + p.low).astype(np.uint64), p.grams[stays], one, two >> np.uint64(32)]))
+    places, grams, contexts, others = np.concatenate(found, axis=1)
+    return places.astype(np.int64), grams, contexts, others
+
+
+def strings_around(data: np.ndarray, ends: np.ndarray, length: int, grams: np.ndarray, piece: int = 1 << 19) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and two hashes of all strings of `length` bytes that cover an anchor of some grams."""
+    found = [np.zeros((3, 0), np.uint64)]
+    for p in _parts(data, ends, length, piece):
+        of = np.isin(p.grams, grams)
+        first = (p.chosen[of][:, None] - np.arange(length - GRAM + 1)).ravel()
+        good = (first >= np.repeat(p.begin[of], length - GRAM + 1)) & (first + length <= np.repeat(p.stop[of], length - GRAM + 1))
+        first = np.unique(first[good])
+        found.append(np.stack([(first + p.low).astype(np.uint64), *(p.hashes(symbols, first, first + length) for symbols in (_SYMBOLS, _OTHER_SYMBOLS))]))
+    places, one, two = np.concatenate(found, axis=1)
+    return places.astype(np.int64), one, two
 
 
 def collection_matches(pieces: np.ndarray, first: np.ndarray, last: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
@@ -178,26 +213,72 @@ def _texts(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(values), np.uint8), np.cumsum(np.fromiter(map(len, values), np.int64, len(values)))
 
 
-def _find_anchors(length: int, buckets: int, chunk: int = 1 << 24):
+def _text_runs(b: pa.RecordBatch, text: int, chunk: int = 1 << 24) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Texts of some millions of bytes at a time, one text at least: first and end row, the bytes, where each text ends."""
+    data, ends = _texts(b, text)
+    low = 0
+    while low < len(ends):
+        base = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, base + chunk, "right")))
+        yield low, high, data[base : ends[high - 1]], ends[low:high] - base
+        low = high
+
+
+def _owners(place: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The text of each place, and the place in it."""
+    owner = np.searchsorted(ends, place, "right")
+    return owner, place - np.concatenate([[0], ends[:-1]])[owner]
+
+
+def _find_anchors(length: int, buckets: int, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, ends = _texts(b, 2)
             rows, ids = (b.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
-            low = 0
-            while low < len(ends):  # texts of some millions of bytes at a time, one text at least
-                base = ends[low - 1] if low else 0
-                high = max(low + 1, int(np.searchsorted(ends, base + chunk, "right")))
-                place, gram, context, other = anchors(data[base : ends[high - 1]], ends[low:high] - base, length)
+            for low, high, data, ends in _text_runs(b, 2):
+                place, gram, context, other = anchors(data, ends, length, without=hot if len(hot) else None)
                 if len(place):
-                    owner = np.searchsorted(ends[low:high] - base, place, "right")
-                    start = np.concatenate([[0], ends[low : high - 1] - base])[owner] if high - low > 1 else np.zeros(len(place), np.int64)
-                    columns = [gram >> np.uint64(32), context, other, ids[low:high][owner], rows[low:high][owner], place - start]
+                    owner, place = _owners(place, ends)
+                    columns = [gram >> np.uint64(32), context, other, ids[low:high][owner], rows[low:high][owner], place]
                     yield _emit((gram % np.uint64(buckets)).astype(np.int64), [c.astype(k) for c, k in zip(columns, _ANCHOR, strict=True)])
-                low = high
 
     return run
 
 
+def _count_grams(length: int):
+    """Grams of the anchors of each batch, with their numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, _, data, ends in _text_runs(b, 0):
+                grams, n = np.unique(anchors(data, ends, length)[1], return_counts=True)
+                several = n > 1  # what is once in each of its batches is no frequent gram
+                yield pa.RecordBatch.from_arrays([pa.array(grams[several].view(np.int64)), pa.array(n[several])], ["gram", "n"])
+
+    return run
+
+
+def _hot_strings(length: int, hot: np.ndarray):
+    """The strings around the anchors of frequent grams: two hashes, the text's order and row, the place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, ids = (b.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            for low, high, data, ends in _text_runs(b, 2, 1 << 20):
+                place, one, two = strings_around(data, ends, length, hot)
+                owner, place = _owners(place, ends)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (one.view(np.int64), two.view(np.int64), ids[low:high][owner], rows[low:high][owner], place)], ["h1", "h2", "order", "row", "place"])
+
+    return run
+
+
+def frequent_grams(rows: DataFrame, length: int, most: int, one_of: int = 16) -> np.ndarray:
+    """Grams of more than `most` anchors, sorted, as estimated on one of so many texts: whichever they are, the result is
+    the same. At most one of `most` anchors can have such a gram, which bounds what the driver gets."""
+    part = rows.where(F.pmod(F.xxhash64(F.lit("grams"), "row"), F.lit(one_of)) == 0).select("text")
+    counts = part.transform(in_arrow, _count_grams(length), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    return np.sort(np.array([r["gram"] for r in counts.where(F.col("n") * one_of > most).collect()], np.int64).view(np.uint64))
+
+
 def _bucket_anchors(group: pa.Table) -> list[np.ndarray]:
     parts = [_unpack(n, p, *_ANCHOR) for n, p in zip(group.column("n").to_pylist(), group.column("packed").to_pylist(), strict=True)]
     return [np.concatenate(c) for c in zip(*parts, strict=True)]
@@ -290,6 +371,22 @@ def _judge(length: int):
     return run
 
 
+def _as_spans(length: int):
+    """Rows of one place each as rows of packed spans, one for each text of a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, place = (b.column(b.schema.names.index(c)).to_numpy() for c in ("row", "place"))
+            order = np.argsort(row, kind="stable")
+            row, place = row[order], place[order].astype(np.uint32)
+            runs = _runs(row)
+            parts = _slices(runs, len(row))
+            sizes = [np.full(len(place[p]), length, np.uint8).tobytes() for p in parts]
+            yield pa.RecordBatch.from_arrays([pa.array(row[runs], pa.int64()), pa.array([place[p].tobytes() for p in parts], pa.binary()), pa.array(sizes, pa.binary())], ["row", "begins", "sizes"])
+
+    return run
+
+
 def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         raw = [x or b"" for x in b.column(2).cast(pa.binary()).to_pylist()]
@@ -318,7 +415,9 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(counts, kinds, strict=True))], ["id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, anchors_in_bucket: int = 750_000) -> DataFrame:
+def remove_repeated_strings(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, anchors_in_bucket: int = 750_000, anchors_of_gram: int = 250_000, sampled: int = 16
+) -> DataFrame:
     """id_col, n_bytes, n_removed, n_spans, kept (binary) for every row of docs.
 
     A byte of a text's UTF-8 goes if a string of `length` bytes that covers it also starts in a text with a smaller id.
@@ -331,6 +430,9 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
     around them, by hashes of 32 and 96 bits beside the bucket, have one piece of text fetched for all of them; the pieces
     of a bucket form a collection whose suffix order and common prefixes are built column by column, from their bytes;
     strings with the whole length in common stand side by side. The spans found go back to their texts.
+
+    A gram of more than anchors_of_gram anchors, such as one of a sentence on every page, would fill one task. All strings
+    around its anchors travel by two hashes of 64 bits instead; the least order of each is aggregated on the map side.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("order"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     copied = rows.where(F.octet_length("text") >= length).groupBy(F.md5(F.col("text").cast("binary")).alias("digest")).agg(F.min("order").alias("first"), F.max("order").alias("last"))
@@ -341,12 +443,18 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 1 + 2 * total // (length - GRAM + 2) // anchors_in_bucket
     # both of these are read twice: the plan of each reader has the same exchange, so that it is made once
-    by_bucket = rows.select("row", "order", "text").transform(in_arrow, _find_anchors(length, buckets), "bucket int, n int, packed binary")
+    hot = frequent_grams(rows, length, anchors_of_gram, sampled)
+    by_bucket = rows.select("row", "order", "text").transform(in_arrow, _find_anchors(length, buckets, hot), "bucket int, n int, packed binary")
     texts = rows.select("row", "id", "text").transform(in_arrow, _compress, "row bigint, id bigint, size bigint, packed binary").where("row is not null").repartition("row")
     wanted = by_bucket.groupBy("bucket").applyInArrow(_wanted, "row bigint, bucket int, n int, slots binary, places binary")
     wanted = wanted.groupBy("row").agg(F.collect_list(F.struct("bucket", "n", "slots", "places")).alias("wanted"))
     cut = texts.join(wanted, "row").select("id", "size", "packed", "wanted").transform(in_arrow, _cut_pieces(length), "bucket int, n int, pieces binary")
     judged = by_bucket.groupBy("bucket").cogroup(cut.groupBy("bucket")).applyInArrow(_judge(length), "row bigint, begins binary, sizes binary")
+    if len(hot):
+        around = rows.select("row", "order", "text").transform(in_arrow, _hot_strings(length, hot), "h1 bigint, h2 bigint, `order` bigint, row bigint, place bigint")
+        least = around.groupBy("h1", "h2").agg(F.min("order").alias("first"), F.max("order").alias("last")).where("first < last").drop("last")
+        again = around.join(least, ["h1", "h2"]).where("`order` > first")
+        judged = judged.unionByName(again.transform(in_arrow, _as_spans(length), "row bigint, begins binary, sizes binary"))
     spans = judged.groupBy("row").agg(F.collect_list(F.struct("begins", "sizes")).alias("spans"))
     out = texts.join(spans, "row", "left").select("id", "size", "packed", "spans")
     out = out.transform(in_arrow, _remove, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
