@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from visgauge.operators import candidates, datasets, dedup, detection, failures, live, metrics, paired, policy, ranking, review, selection
+from visgauge.operators import candidates, datasets, dedup, detection, failures, live, metrics, paired, policy, questions, ranking, review, selection
 
 
 def box_iou(a, b):
@@ -346,3 +346,31 @@ def test_box_candidates(spark):
     found = candidates.box_candidates(objects).collect()
     assert [(r.image, r.categories, r.subject, r.predicate, r.object, r.n_objects, r.n_relations) for r in found] == [(1, ["cat", "crowd", "dog"], "dog", "to the right of", "cat", 3, 1)]
     assert set(found[0].tags) >= {"occluded", "group_of", "spatial_relation"} and "truncated" not in found[0].tags
+
+
+def test_questions_refuse_what_is_incomplete(spark):
+    asked = spark.createDataFrame([("a", "spatial_relation", "q", ["x"], ("largest", "y"))], "source string, task_type string, question string, categories array<string>, rules struct<subject:string,object:string>")
+    policies = spark.createDataFrame([("a", "v2", True), ("b", "v3", False)], "source string, variant string, passed boolean")
+    with pytest.raises(Exception, match="two categories"):
+        questions.source_prompts(asked, policies).collect()
+    with pytest.raises(Exception, match="no accepted"):
+        questions.source_prompts(asked.withColumn("source", F.lit("b")), policies).collect()
+    rows = spark.createDataFrame([(1, "a", 1), (2, "a", 2), (2, "b", 3)], "id long, s string, o long")
+    assert questions.select_records(rows, "id", "s", "o", ["a"], 1).collect() == [(1, "a", 1)]
+    with pytest.raises(Exception, match="repeated"):
+        questions.select_records(rows, "id", "s", "o", ["a", "b"]).collect()
+    with pytest.raises(Exception, match="no rows"):
+        questions.select_records(rows, "id", "s", "o", ["a", "c"]).collect()
+    answers = spark.createDataFrame([("q", "Yes", "cat"), ("q", "no", "cat")], "query_key string, prediction string, object string")
+    with pytest.raises(Exception, match="differ"):
+        questions.review_jobs(answers, spark.createDataFrame([("q", 0, 0.5)], "query_key string, idx long, score double"), F.col("object")).collect()
+
+
+def test_scores_of_masks_and_limits(spark):
+    df = spark.createDataFrame([(0.5, 0.4, [(1, "rle")]), (0.5, None, [])], "score double, mask double, found array<struct<idx:int,segmentation:string>>")
+    modes = [questions.segmentation_score(F.col("score"), F.col("mask"), m).alias(m) for m in ("detector", "mask", "product")]
+    assert [tuple(r) for r in df.select(*modes).collect()] == [(0.5, 0.4, 0.2), (0.5, 0.5, 0.25)]
+    assert df.select(questions.without_masks(F.col("found")).alias("f")).first().f == [(1,)]
+    assert df.select(questions.target_limit(F.lit("task_aware_coco")).alias("n")).first().n == 80
+    with pytest.raises(Exception, match="unknown prompt policy"):
+        df.select(questions.target_limit(F.lit("x"))).collect()

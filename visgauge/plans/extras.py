@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visgauge.operators import candidates, datasets, live, review, selection
+from visgauge.operators import candidates, datasets, live, questions, review, selection
 from visgauge.plans.boxes import _GREEDY, lines
 from visgauge.plans.choices import _difficulty
 from visgauge.plans.registry import Tables, query
+from visgauge.streaming import runs
 
 
 @query("SELECT source, count(*) AS n, sha256(string_agg(doc_id::VARCHAR, chr(10) ORDER BY doc_id) || chr(10)) AS digest FROM documents GROUP BY 1")
@@ -180,3 +181,63 @@ def image_candidates(t: Tables) -> DataFrame:
     objects = named.select(F.col("l_orderkey").alias("image"), F.col("p_type").alias("category"), (F.col("l_quantity") / 1000).alias("area"), (F.col("l_returnflag") == "R").alias("occluded"), (F.col("l_tax") > 0.07).alias("truncated"), (F.col("l_discount") > 0.095).alias("group_of"))
     found = candidates.image_candidates(objects, t.orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("image")))
     return found.withColumns({"categories": F.array_join("categories", ";"), "tags": F.array_join("tags", ";")})
+
+
+@query("""
+    WITH q AS (SELECT p_partkey, p_name, p_brand, p_partkey % 3 AS k, p_size > 25 AS big FROM part)
+    SELECT p_partkey, CASE k WHEN 0 THEN 'kept' WHEN 1 THEN 'Treat both named instances as present in this image, even if a category label is broad. Compare their visual center positions. Where is the center of the ' || CASE WHEN big THEN 'largest ' ELSE '' END
+        || 'visible ' || p_name || ' relative to the center of the visible ' || p_brand || '? Reply with exactly one label: above; below; to the left of; to the right of.'
+      ELSE 'Treat both named object instances as present in this image, even if a category label is broad or unusual. Judge their depicted spatial relationship, not category definitions or real-world size. Where is the '
+        || CASE WHEN big THEN 'largest ' ELSE '' END || 'visible ' || p_name || ' relative to the visible ' || p_brand || '? Reply with exactly one label: above; below; to the left of; to the right of.' END AS question FROM q""")
+def relation_prompts(t: Tables) -> DataFrame:
+    """Relation questions between a part and its brand, by the prompt of their source."""
+    k = F.col("p_partkey") % 3
+    rule = F.struct(F.when(F.col("p_size") > 25, "largest_instance").otherwise("unique_category").alias("subject"), F.lit("unique_category").alias("object"))
+    asked = t.part.select(
+        "p_partkey", F.when(k == 1, "boxes").otherwise("graph").alias("source"), F.when(k == 0, "object_listing").otherwise("spatial_relation").alias("task_type"), F.lit("kept").alias("question"),
+        F.array("p_name", "p_brand").alias("categories"), rule.alias("rules"),
+    )
+    policies = t.spark.createDataFrame([("boxes", "v2", True), ("graph", "v3", True)], "source string, variant string, passed boolean")
+    return questions.source_prompts(asked, policies).select("p_partkey", "question")
+
+
+@query("""
+    SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'structured_vlm_coco80' ELSE 'question_parser' END AS source,
+           CASE p_partkey % 3 WHEN 0 THEN array_to_string(list_sort([lower(p_name), 'zebra']), '. ') || '.' WHEN 1 THEN lower(p_name) || '.' ELSE array_to_string(list_sort([lower(p_name), lower(p_type)]), '. ') || '.' END AS prompt FROM part""")
+def query_plans(t: Tables) -> DataFrame:
+    k = F.col("p_partkey") % 3
+    task = F.when(k == 0, "object_listing").when(k == 1, "object_existence").otherwise("spatial_relation")
+    question = F.when(k == 1, F.concat(F.lit("Is there a "), "p_name", F.lit(" in the image?"))).otherwise(F.concat(F.lit("Where is the "), "p_name", F.lit(" relative to the "), "p_type", F.lit("?")))
+    plan = questions.query_plan(question, task, F.when(k == 0, F.array("p_name", F.lit("Zebra"), F.lit("zebra"))))
+    return t.part.select("p_partkey", plan.alias("p")).select("p_partkey", "p.source", "p.prompt")
+
+
+@query(f"""
+    WITH q AS (SELECT o_orderkey, o_orderstatus = 'F' AS no FROM orders), l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS idx FROM lineitem),
+    r AS (SELECT l_orderkey, idx, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, idx) AS rank FROM l JOIN q ON l_orderkey = o_orderkey WHERE no)
+    SELECT printf('q%d__annotation-%03d', l_orderkey, idx) AS candidate_key, rank::INTEGER AS rank FROM r WHERE rank <= 2""")
+def review_jobs(t: Tables) -> DataFrame:
+    """The two dearest lines of each finished order are reviewed."""
+    key = lambda c: F.concat(F.lit("q"), F.col(c).cast("string")).alias("query_key")
+    answers = t.orders.select(key("o_orderkey"), F.when(F.col("o_orderstatus") == "F", "No.").otherwise("Yes").alias("prediction"), F.lit("line").alias("object"))
+    found = lines(t).select(key("image"), "idx", "score")
+    return questions.review_jobs(answers, found, F.concat(F.lit("Is this a "), "object", F.lit("?")), 2).select("candidate_key", "rank")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '' ELSE 'k: ' || (props::JSON ->> 'k') || ' -> null' END AS differences FROM events""")
+def config_differences(t: Tables) -> DataFrame:
+    current = F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(F.lit('{"other": 1}'))
+    return t.events.select("event_id", F.array_join(runs.config_differences(F.col("props"), current, ["k", "missing"]), "; ").alias("differences"))
+
+
+@query("SELECT event_type, event_id FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r FROM events WHERE event_type IN ('click', 'error')) WHERE r <= 25")
+def select_records(t: Tables) -> DataFrame:
+    return questions.select_records(t.events.select("event_type", "event_id"), "event_id", "event_type", "event_id", ["click", "error"], 25)
+
+
+@query("""
+    WITH k AS (SELECT l_orderkey, l_returnflag, bool_or(l_tax > 0.07 OR l_discount > 0.09) AS hard, min(l_quantity) AS a FROM lineitem GROUP BY 1, 2)
+    SELECT l_orderkey AS image, l_returnflag AS category, row_number() OVER (PARTITION BY l_orderkey ORDER BY hard DESC, a, l_returnflag)::INTEGER AS rank FROM k""")
+def present_ranking(t: Tables) -> DataFrame:
+    objects = t.lineitem.select(F.col("l_orderkey").alias("image"), F.col("l_returnflag").alias("category"), F.col("l_quantity").alias("area"), (F.col("l_tax") > 0.07).alias("occluded"), (F.col("l_discount") > 0.09).alias("truncated"))
+    return questions.present_ranking(objects)

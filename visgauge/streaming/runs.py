@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -28,6 +28,19 @@ def run_status(samples: DataFrame, answers: DataFrame, key: str) -> DataFrame:
     return counts.withColumn("status", F.when(F.col("expected") == F.col("answered"), "completed").otherwise("incomplete"))
 
 
+def config_differences(existing: Column, current: Column, keys: list[str]) -> Column:
+    """The keys, as `key: old -> new`, in which two run configurations (JSON objects) differ; a run that is taken up again
+    with other settings belongs to another folder. A key that one of them lacks is null there."""
+    kind = "map<string,string>"
+    old, new = (F.from_json(c, kind) for c in (existing, current))
+    parts = []
+    for k in keys:
+        a, b = (F.try_element_at(m, F.lit(k)) for m in (old, new))
+        said = F.concat(F.lit(f"{k}: "), F.coalesce(a, F.lit("null")), F.lit(" -> "), F.coalesce(b, F.lit("null")))
+        parts.append(F.when(~a.eqNullSafe(b), said))
+    return F.array_compact(F.array(*parts))
+
+
 def follow(
     spark: SparkSession, source: str, schema: str, out: str, checkpoint: str, key: str, metrics: Callable[[DataFrame], DataFrame], metrics_out: str, valid: str = "true", metrics_every: int = 1
 ) -> StreamingQuery:
