@@ -24,7 +24,8 @@ def rounded_mean(x: Column, digits: int = DIGITS) -> Column:
 
 
 def exact_percentile(x: Column, share: float, digits: int = DIGITS) -> Column:
-    """Percentile by linear interpolation between neighbours of the sorted values; 0.0 if there are none."""
+    """Percentile by linear interpolation between neighbours of the sorted values; 0.0 if there are none. Exact, so that
+    each group's distinct values are counted in one buffer: round values that are as many as the rows before."""
     return F.round(F.coalesce(F.percentile(x.cast("double"), F.lit(share)), F.lit(0.0)), digits)
 
 
