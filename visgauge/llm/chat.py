@@ -71,7 +71,8 @@ def format_conversations(
     """One row per conversation: id_col, formatted string, ids array<int>, loss array<boolean> (a flag for each id).
 
     Rows are put in the order of turn, then role, then text, nulls first; all rows count, repeated ones too. Null roles
-    and texts are empty. Rows with a null id form a conversation of their own. The mask covers the texts of loss_role
+    and texts are empty. Rows with a null id form a conversation of their own. A conversation is one row, as it is rendered
+    and encoded whole: it must fit one task. The mask covers the texts of loss_role
     and nothing else.
     """
     one = F.struct(F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
