@@ -153,6 +153,7 @@ def test_connected_components(spark, seed):
     expected = components({n for p in links for n in p}, links)
     rows = spark.createDataFrame([*links, (None, 3), (4, None), (7, 7)], "a long, b long").repartition(5)
     assert {r.node: r.root for r in connected_components(rows).collect()} == expected
+    assert {r.node: r.root for r in connected_components(rows, hot_links=3).collect()} == expected
 
 
 def test_embedding_near_duplicates(spark):

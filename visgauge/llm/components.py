@@ -45,25 +45,38 @@ def _local_forest(batches: Iterator[pa.RecordBatch], links: int = 50_000) -> Ite
         yield stars()
 
 
-def connected_components(links: DataFrame) -> DataFrame:
+def _with_least(rows: DataFrame, least: DataFrame, links: int, hot_links: int) -> DataFrame:
+    """rows joined with the minimum m of their node u. Nodes of more than hot_links links are looked up by a broadcast: of
+    `links` links, each with two ends, at most 2 * links / hot_links nodes are such, some 32 bytes each."""
+    hot_links = max(hot_links, links // (1 << 19))  # so that the broadcast holds a million nodes at most
+    if links <= hot_links:  # no node can have so many
+        return rows.join(least.drop("c"), "u")
+    hot = F.broadcast(least.where(F.col("c") > hot_links).drop("c"))
+    cold = least.where(F.col("c") <= hot_links).drop("c")
+    return rows.join(hot, "u").unionByName(rows.join(hot.select("u"), "u", "left_anti").join(cold, "u"))
+
+
+def connected_components(links: DataFrame, hot_links: int = 200_000) -> DataFrame:
     """links: two bigint columns. Return node, root for every node that has a link; root is the smallest node reachable.
 
     Links with a null end and links from a node to itself count for nothing; repeated links change nothing. No node
-    gathers its neighbours in one task: minima are aggregated on the map side and joined back. Each round is
-    checkpointed, so a lost executor costs a round at most.
+    gathers its neighbours in one task: minima are aggregated on the map side and joined back, those of nodes with more
+    than hot_links links by a broadcast. Each round is checkpointed, so a lost executor costs a round at most.
     """
     u, v = links.columns[:2]
     e = links.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u is not null and v is not null and u <> v")
     e = checkpoint(e.transform(in_arrow, _local_forest, "u bigint, v bigint").distinct())
+    n = e.count()
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        e = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = e.groupBy("u").agg(F.min("v").alias("m"))
-        small = e.join(least, "u")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")).select("u", F.least("u", "m").alias("m"), "c")
+        e = _with_least(both.where("v > u"), least, n, hot_links).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = e.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c"))
+        small = _with_least(e, least, 2 * n, hot_links)
         e = small.select("u", F.col("m").alias("v")).unionByName(small.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
         e = checkpoint(e)
+        n = e.count()
         # stars: no node has two parents, and no parent has a parent
-        if e.count() == e.select("u").distinct().count() and e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty():
+        if n == e.select("u").distinct().count() and e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty():
             break
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
