@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visgauge.llm.common import broadcast_up_to, checkpoint, in_arrow
+from visgauge.llm.common import in_arrow
 
 #: Bytes of the gram that is an anchor.
 GRAM = 20
@@ -416,7 +416,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def remove_repeated_strings(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, anchors_in_bucket: int = 750_000, anchors_of_gram: int = 250_000, sampled: int = 16
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, anchors_in_bucket: int = 750_000, anchors_of_gram: int = 1_000_000, sampled: int = 16
 ) -> DataFrame:
     """id_col, n_bytes, n_removed, n_spans, kept (binary) for every row of docs.
 
@@ -424,9 +424,8 @@ def remove_repeated_strings(
     Strings are judged on the input. A null text is empty; a null id counts as greater than all others; texts with the
     same id don't count against each other. Shorter texts stay whole.
 
-    A text of which a copy has a smaller id goes whole and takes no part in what follows, as each of its strings starts
-    in that copy. All other texts that share such a string share an anchor in it, a gram at the same place. Anchors are
-    packed by bucket of their gram, and those in one text only go. Anchors with the same 20 bytes and the same 80 bytes
+    Texts that share such a string share an anchor in it, a gram at the same place. Anchors are packed by bucket of
+    their gram, and those in one text only go. Anchors with the same 20 bytes and the same 80 bytes
     around them, by hashes of 32 and 96 bits beside the bucket, have one piece of text fetched for all of them; the pieces
     of a bucket form a collection whose suffix order and common prefixes are built column by column, from their bytes;
     strings with the whole length in common stand side by side. The spans found go back to their texts.
@@ -435,11 +434,6 @@ def remove_repeated_strings(
     around its anchors travel by two hashes of 64 bits instead; the least order of each is aggregated on the map side.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("order"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    copied = rows.where(F.octet_length("text") >= length).groupBy(F.md5(F.col("text").cast("binary")).alias("digest")).agg(F.min("order").alias("first"), F.max("order").alias("last"))
-    copied = broadcast_up_to(checkpoint(copied.where("first < last").select("digest", "first")), F.lit(64))
-    rows = rows.join(copied, F.md5(F.col("text").cast("binary")) == F.col("digest"), "left").withColumn("copy", F.coalesce((F.col("order") > F.col("first")) & (F.octet_length("text") >= length), F.lit(False)))
-    whole, rows = rows.where("copy"), rows.where("not copy")
-    gone = whole.select("id", F.octet_length("text").cast("long").alias("n_bytes"), F.octet_length("text").cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit("").cast("binary").alias("kept"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 1 + 2 * total // (length - GRAM + 2) // anchors_in_bucket
     # both of these are read twice: the plan of each reader has the same exchange, so that it is made once
@@ -458,4 +452,4 @@ def remove_repeated_strings(
     spans = judged.groupBy("row").agg(F.collect_list(F.struct("begins", "sizes")).alias("spans"))
     out = texts.join(spans, "row", "left").select("id", "size", "packed", "spans")
     out = out.transform(in_arrow, _remove, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
-    return out.unionByName(gone).withColumnRenamed("id", id_col)
+    return out.withColumnRenamed("id", id_col)
