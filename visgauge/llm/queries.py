@@ -12,9 +12,11 @@ from visgauge.llm import bpe, chat
 from visgauge.llm.common import table
 from visgauge.llm.decontaminate import contaminated
 from visgauge.llm.embeddings import embedding_near_duplicates
+from visgauge.llm.fim import fill_in_middle, restore_texts
 from visgauge.llm.html import extract_main_text
 from visgauge.llm.langid import fit_languages, identify_languages
 from visgauge.llm.lines import drop_boilerplate
+from visgauge.llm.packing import pack, pieces_of
 from visgauge.llm.quality import fit_quality, score_quality
 from visgauge.llm.simhash import simhash_components
 from visgauge.llm.suffixes import remove_repeated_strings
@@ -86,7 +88,21 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.length("text").alias("n_chars_kept"), F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_dedup, op2_bpe, op3_simhash_dedup, op4_language_id, op5_suffix_dedup, op6_chat_format, op7_quality, op8_html_extract, op9_decontaminate, op10_line_dedup)}
+#: The id that ends a document in a packed sequence.
+END_ID = 1
+
+
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces_of(pack(encoded, END_ID))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = restore_texts(fill_in_middle(table(spark, sf_dir, "documents")))
+    return back.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_dedup, op2_bpe, op3_simhash_dedup, op4_language_id, op5_suffix_dedup, op6_chat_format, op7_quality, op8_html_extract, op9_decontaminate, op10_line_dedup, op11_packing, op13_fill_in_middle)}
 
 SQL: dict[str, str] = {
     "op10_line_dedup": """
@@ -103,4 +119,18 @@ SQL: dict[str, str] = {
         SELECT doc_id, len(lines)::INTEGER AS n_lines, (len(lines) - len(stays))::INTEGER AS n_dropped,
                length(array_to_string(stays, chr(10)))::INTEGER AS n_chars_kept, sha256(array_to_string(stays, chr(10))) AS kept_sha256
         FROM kept""",
+    "op13_fill_in_middle": r"""
+        WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS digits FROM documents),
+        numbers AS (SELECT *, len(text) - len(replace(text, chr(10), '')) + CASE WHEN text <> '' AND right(text, 1) <> chr(10) THEN 1 ELSE 0 END AS n,
+                           ('0x' || substr(digits, 1, 8))::BIGINT AS h1, ('0x' || substr(digits, 9, 8))::BIGINT AS h2, ('0x' || substr(digits, 25, 8))::BIGINT AS h4 FROM docs),
+        cuts AS (SELECT *, string_split(text, chr(10)) AS ls, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+                        text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') AS plain FROM numbers),
+        heads AS (SELECT *, left(array_to_string(ls[1:a], chr(10)) || CASE WHEN a > 0 THEN chr(10) ELSE '' END, len(text)) AS p,
+                         left(array_to_string(ls[1:b], chr(10)) || CASE WHEN b > 0 THEN chr(10) ELSE '' END, len(text)) AS pm FROM cuts),
+        parts AS (SELECT *, substr(pm, len(p) + 1) AS m, substr(text, len(pm) + 1) AS s FROM heads)
+        SELECT doc_id, n::BIGINT AS n, CASE WHEN plain THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+               CASE WHEN NOT plain THEN len(p) END::BIGINT AS prefix_chars, CASE WHEN NOT plain THEN len(m) END::BIGINT AS middle_chars,
+               sha256(CASE WHEN plain THEN text WHEN h4 % 100 < 50 THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM parts""",
 }
