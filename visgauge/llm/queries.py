@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from visgauge.llm import bpe, chat
+from visgauge.llm.alignment import align_tokenizers
 from visgauge.llm.common import table
 from visgauge.llm.decontaminate import contaminated
 from visgauge.llm.embeddings import embedding_near_duplicates
@@ -97,12 +98,18 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces_of(pack(encoded, END_ID))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, _ = align_tokenizers(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return docs.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = restore_texts(fill_in_middle(table(spark, sf_dir, "documents")))
     return back.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_dedup, op2_bpe, op3_simhash_dedup, op4_language_id, op5_suffix_dedup, op6_chat_format, op7_quality, op8_html_extract, op9_decontaminate, op10_line_dedup, op11_packing, op13_fill_in_middle)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_dedup, op2_bpe, op3_simhash_dedup, op4_language_id, op5_suffix_dedup, op6_chat_format, op7_quality, op8_html_extract, op9_decontaminate, op10_line_dedup, op11_packing, op12_token_alignment, op13_fill_in_middle)}
 
 SQL: dict[str, str] = {
     "op10_line_dedup": """
