@@ -163,7 +163,7 @@ def _align(segments: list[str], a: Plain, b: Pieces) -> list[pa.Array]:
     first_link, first_group = np.searchsorted(stretch, borders, "right"), np.searchsorted(common, borders, "right")
     cut_a, cut_b = np.searchsorted(ends_a, common, "right").tolist(), np.searchsorted(ends_b, common, "right").tolist()
     text_a, text_b = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
-    group_texts = [f"{','.join(text_a[i:j])}|{','.join(text_b[k:m])}" for i, j, k, m in zip([0, *cut_a[:-1]], cut_a, [0, *cut_b[:-1]], cut_b, strict=True)]
+    group_texts = [f"{','.join(text_a[i:j])}|{','.join(text_b[k:m])}" for i, j, k, m in zip([0, *cut_a][:-1], cut_a, [0, *cut_b][:-1], cut_b, strict=True)]
     n = len(segments)
     groups, link_rows, n_groups = [""] * n, [np.zeros(0, np.int64)] * n, np.zeros(n, np.int32)
     for at, k in enumerate(kept.tolist()):
