@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from visgauge.llm.bpe import Vocabulary, concatenate_tree, leaves
-from visgauge.llm.common import broadcast_up_to, in_arrow, shared_folder
+from visgauge.llm.common import in_arrow, shared_folder
 
 #: White space by Unicode, and the sign that pieces have for a blank.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　▁"
@@ -96,7 +96,19 @@ class Numbers(dict):
         return n
 
 
-_CHUNKS = "chunk bigint, doc int, doc_id bigint, ids array<int>, first int, segments array<string>"
+def squeezed(values: np.ndarray) -> bytes:
+    """Whole numbers of 32 bits, compressed byte plane by byte plane."""
+    planes = np.ascontiguousarray(values.astype("<i4").view(np.uint8).reshape(-1, 4).T)
+    return len(values).to_bytes(4, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unsqueezed(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:4], "little")
+    planes = np.frombuffer(pa.decompress(data[4:], decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<i4").reshape(n)
+
+
+_CHUNKS = "chunk bigint, doc int, doc_id bigint, ids binary, first int, segments array<string>"
 
 
 def chunked(docs: DataFrame, path_a: str, path_b: str, chunk_chars: int, id_col: str, text_col: str) -> DataFrame:
@@ -104,7 +116,7 @@ def chunked(docs: DataFrame, path_a: str, path_b: str, chunk_chars: int, id_col:
     segments (chunk, first, segments: those numbered from first on). A chunk is some documents of one task."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     names = [x.split()[0] for x in _CHUNKS.split(", ")]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.list_(pa.string())]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segments_of = segment_pattern(split_before(*tokenizers(path_a, path_b))).findall
@@ -119,10 +131,11 @@ def chunked(docs: DataFrame, path_a: str, path_b: str, chunk_chars: int, id_col:
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 s = b.slice(i, 256)
-                made: list[tuple[int, int, np.ndarray]] = []
+                made: list[tuple[int, int, bytes]] = []
                 for text in s.column(1):
                     text = text.as_py()
-                    made.append((chunk, n, np.fromiter(map(numbers.__getitem__, segments_of(" " + text) if text else ()), np.int32)))
+                    ids = np.fromiter(map(numbers.__getitem__, segments_of(" " + text) if text else ()), np.int32)
+                    made.append((chunk, n, squeezed(ids)))
                     n += 1
                     size += len(text)
                     if size >= chunk_chars:
@@ -137,118 +150,167 @@ def chunked(docs: DataFrame, path_a: str, path_b: str, chunk_chars: int, id_col:
     return rows.transform(in_arrow, run, _CHUNKS)
 
 
-_ALIGNED = "segment string, segment_id bigint, bad boolean, n_a int, n_b int, n_groups int, groups string, links array<bigint>"
+class Alignments:
+    """The alignments of many segments in one buffer, and the way to it and back.
 
+    A segment is its number of links (4 bytes), then for each link, in order, which tokens end with it (1: that of A, 2:
+    that of B, 3: both, which ends a group too), then the ids of A and those of B. A segment that either tokenizer
+    doesn't give back unchanged is empty.
+    """
 
-def _align(segments: list[str], a: Plain, b: Pieces) -> list[pa.Array]:
-    """The columns of _ALIGNED, less the ids, for a batch of segments.
+    def __init__(self, data: bytes, lengths: np.ndarray, kind: str) -> None:
+        width, raw = np.dtype(kind).itemsize, np.frombuffer(data, np.uint8)
+        starts = np.cumsum(lengths, dtype=np.int64) - lengths
+        self.bad = lengths == 0
+        n = np.zeros(len(lengths), np.int64)
+        for k in range(4):
+            n[~self.bad] |= raw[starts[~self.bad] + k].astype(np.int64) << (8 * k)
+        self.at_links = np.concatenate([[0], np.cumsum(n)])
+        self.ends = raw[self._spread(starts + 4, n)]
+        ids = np.ascontiguousarray(raw[self._spread(starts + 4 + n, np.where(self.bad, 0, lengths - 4 - n))]).view(kind)
+        self.n_a, self.n_b = (self._per_segment(self.ends & bit != 0) for bit in (1, 2))
+        self.n_groups, self.n_links = self._per_segment(self.ends == 3), n
+        first = np.cumsum(self.n_a + self.n_b) - self.n_a - self.n_b
+        self.a, self.b = ids[self._spread(first, self.n_a)], ids[self._spread(first + self.n_a, self.n_b)]
+        assert width * len(ids) == np.where(self.bad, 0, lengths - 4 - n).sum()
+
+    @staticmethod
+    def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Places of runs that begin at starts, one after the other."""
+        before = np.cumsum(lengths) - lengths
+        return np.repeat(starts - before, lengths) + np.arange(lengths.sum())
+
+    def _per_segment(self, flags: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[0], np.cumsum(flags)])
+        return total[self.at_links[1:]] - total[self.at_links[:-1]]
+
+    def codes(self) -> np.ndarray:
+        """The ids of each link, as one number."""
+        ends_a, ends_b = self.ends & 1, self.ends >> 1
+        at_a, at_b = (np.cumsum(e, dtype=np.int64) - e for e in (ends_a, ends_b))
+        return (self.a.astype(np.int64)[at_a] << 32) | self.b.astype(np.int64)[at_b]
+
+    def group_texts(self) -> np.ndarray:
+        """The groups of each segment, as text."""
+        both = self.ends == 3
+        cut_a, cut_b = (np.cumsum(self.ends & bit != 0)[both].tolist() for bit in (1, 2))
+        a, b = list(map(str, self.a.tolist())), list(map(str, self.b.tolist()))
+        groups = [f"{','.join(a[i:j])}|{','.join(b[k:m])}" for i, j, k, m in zip([0, *cut_a][:-1], cut_a, [0, *cut_b][:-1], cut_b, strict=True)]
+        at = np.concatenate([[0], np.cumsum(self.n_groups)]).tolist()
+        out = np.empty(len(self.bad), object)
+        out[:] = [groups[i] if j == i + 1 else ";".join(groups[i:j]) for i, j in zip(at, at[1:], strict=False)]
+        return out
+
+
+def id_kind(a: Plain, b: Pieces) -> str:
+    return "<u2" if max(len(a.bytes_of), len(b.bytes_of)) <= 1 << 16 else "<u4"
+
+
+def aligned(segments: list[str], a: Plain, b: Pieces) -> list[bytes]:
+    """The alignment of each segment, in the form that Alignments reads.
 
     The segments that both tokenizers give back unchanged are laid end to end; their tokens' ends are merged once. The
     bytes between two ends lie in one token of each side, and are one link: two tokens meet in one such stretch.
     """
-    ids_a, ids_b = [a.encode_long(s) for s in segments], b.encode_segments(segments)
+    kind, ids_a, ids_b = id_kind(a, b), [a.encode_long(s) for s in segments], b.encode_segments(segments)
     bytes_a, bytes_b = a.bytes_of, b.bytes_of
     whole = [s.encode() for s in segments]
-    good = np.array([b"".join([bytes_a[i] for i in x.tolist()]) == w == b"".join([bytes_b[i] for i in y]) for x, y, w in zip(ids_a, ids_b, whole, strict=True)], bool)
-    kept = np.flatnonzero(good)
-    flat_a = np.concatenate([ids_a[k] for k in kept]) if len(kept) else np.zeros(0, np.int32)
-    flat_b = np.array([i for k in kept for i in ids_b[k]], np.int64)
-    ends_a = np.cumsum([len(bytes_a[i]) for i in flat_a.tolist()], dtype=np.int64)
-    ends_b = np.cumsum([len(bytes_b[i]) for i in flat_b.tolist()], dtype=np.int64)
+    good = [b"".join([bytes_a[i] for i in x.tolist()]) == w == b"".join([bytes_b[i] for i in y]) for x, y, w in zip(ids_a, ids_b, whole, strict=True)]
+    kept = [k for k, g in enumerate(good) if g]
+    ends_a = np.cumsum([len(bytes_a[i]) for k in kept for i in ids_a[k].tolist()], dtype=np.int64)
+    ends_b = np.cumsum([len(bytes_b[i]) for k in kept for i in ids_b[k]], dtype=np.int64)
     stretch = np.union1d(ends_a, ends_b)
-    at_a, at_b = np.searchsorted(ends_a, stretch), np.searchsorted(ends_b, stretch)
-    codes = (flat_a.astype(np.int64)[at_a] << 32) | flat_b[at_b]
-    common = np.intersect1d(ends_a, ends_b)
-    borders = np.cumsum([0, *(len(whole[k]) for k in kept)])
-    first_link, first_group = np.searchsorted(stretch, borders, "right"), np.searchsorted(common, borders, "right")
-    cut_a, cut_b = np.searchsorted(ends_a, common, "right").tolist(), np.searchsorted(ends_b, common, "right").tolist()
-    text_a, text_b = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
-    group_texts = [f"{','.join(text_a[i:j])}|{','.join(text_b[k:m])}" for i, j, k, m in zip([0, *cut_a][:-1], cut_a, [0, *cut_b][:-1], cut_b, strict=True)]
-    n = len(segments)
-    groups, link_rows, n_groups = [""] * n, [np.zeros(0, np.int64)] * n, np.zeros(n, np.int32)
-    for at, k in enumerate(kept.tolist()):
-        i, j = first_group[at], first_group[at + 1]
-        groups[k], n_groups[k] = ";".join(group_texts[i:j]), j - i
-        link_rows[k] = codes[first_link[at] : first_link[at + 1]]
-    counts = [np.where(good, [len(x) for x in ids], 0).astype(np.int32) for ids in (ids_a, ids_b)]
-    return [pa.array(~good), *map(pa.array, counts), pa.array(n_groups), pa.array(groups, pa.string()), pa.array(link_rows, pa.list_(pa.int64()))]
-
-
-def aligned_segments(segments: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """The tokens and links of each segment (a column of distinct texts), with a number of its own."""
-    names = [x.split()[0] for x in _ALIGNED.split(", ")]
+    ends = (np.isin(stretch, ends_a) + 2 * np.isin(stretch, ends_b)).astype(np.uint8).tobytes()
+    at = np.searchsorted(stretch, np.cumsum([0, *(len(whole[k]) for k in kept)]), "right").tolist()
+    out = [b""] * len(segments)
+    for n, k in enumerate(kept):
+        i, j = at[n], at[n + 1]
+        out[k] = (j - i).to_bytes(4, "little") + ends[i:j] + ids_a[k].astype(kind).tobytes() + np.array(ids_b[k], kind).tobytes()
+    return out
+
+
+def align_segments(known: DataFrame, path_a: str, path_b: str) -> DataFrame:
+    """chunk, number and alignment of the chunks' segments. Equal segments of all chunks come to one task, one after the
+    other, and are tokenised and aligned once; that task keeps a batch of them in memory and the last one before."""
+    names = ["chunk", "number", "alignment"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = tokenizers(path_a, path_b)
-        next_id = TaskContext.get().partitionId() << 33
+        last, of_last = None, b""
         for batch in batches:
-            for i in range(0, batch.num_rows, 2048):
-                s = batch.slice(i, 2048)
-                yield pa.RecordBatch.from_arrays([s.column(0), pa.array(np.arange(next_id, next_id + s.num_rows)), *_align(s.column(0).to_pylist(), a, b)], names)
-                next_id += s.num_rows
-
-    return segments.transform(in_arrow, run, _ALIGNED)
-
-
-def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Values and offsets of lists (null: empty)."""
-    lists = column.combine_chunks()
-    lengths = lists.value_lengths().fill_null(0).to_numpy().astype(np.int64)
-    return lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lengths)])
-
-
-def _usable(ids: np.ndarray, offsets: np.ndarray, bad: np.ndarray) -> np.ndarray:
-    """Documents that have segments, none of which is bad."""
-    failed = np.concatenate([[0], np.cumsum(bad[ids])])
-    return (offsets[1:] > offsets[:-1]) & (failed[offsets[1:]] == failed[offsets[:-1]])
-
-
-def _count_pairs(docs: pa.Table, segments: pa.Table) -> pa.Table:
-    """How many documents of a chunk hold each linked pair of ids."""
-    out = pa.schema([("code", pa.int64()), ("n", pa.int64())])
-    if not segments.num_rows or not docs.num_rows:
-        return out.empty_table()
-    segments = segments.take(pa.array(np.argsort(segments.column("number").to_numpy())))
-    links, at = _lists(segments.column("links"))
-    ids, offsets = _lists(docs.column("ids"))
-    usable = _usable(ids, offsets, segments.column("bad").to_numpy(zero_copy_only=False).astype(np.int64))
-    pairs, pair_of = np.unique(links, return_inverse=True)  # pairs of the chunk by number, to count in short keys
-    counts = np.zeros(len(pairs), np.int64)
-    for k in np.flatnonzero(usable):
-        own = np.unique(ids[offsets[k] : offsets[k + 1]])
-        lengths = at[own + 1] - at[own]
-        where = np.repeat(at[own] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
-        counts[np.unique(pair_of[where])] += 1
-    seen = counts > 0
-    return pa.table([pairs[seen], counts[seen]], out)
-
-
-_SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+            for i in range(0, batch.num_rows, 4096):
+                s = batch.slice(i, 4096)
+                coded = s.column(2).dictionary_encode()
+                distinct = coded.dictionary.to_pylist()
+                new = [x for x in distinct if x != last]
+                found = dict(zip(new, aligned(new, a, b), strict=True)) | ({last: of_last} if last is not None else {})
+                last = s.column(2)[s.num_rows - 1].as_py()
+                of_last = found[last]
+                yield pa.RecordBatch.from_arrays([s.column(0), s.column(1), pa.array([found[x] for x in distinct], pa.binary()).take(coded.indices)], names)
+
+    rows = known.select("chunk", "number", "segment").repartition("segment").sortWithinPartitions("segment")
+    return rows.transform(in_arrow, run, "chunk bigint, number int, alignment binary")
+
+
+_PACKED = "chunk bigint, doc_ids array<bigint>, doc_lengths binary, ids binary, lengths binary, alignments binary"
+
+
+def _pack(key: tuple, docs: pa.Table, segments: pa.Table) -> pa.Table:
+    """One row for a chunk: its documents as numbers of segments, and the alignments of these in order."""
+    docs, segments = docs.sort_by("doc"), segments.sort_by("number")
+    ids = [unsqueezed(x) for x in docs.column("ids").to_pylist()]
+    alignments = segments.column("alignment").to_pylist()
+    columns = [key[0].as_py(), docs.column("doc_id").to_pylist(), squeezed(np.array(list(map(len, ids)), np.int64)), squeezed(np.concatenate(ids) if ids else np.zeros(0, np.int32)), squeezed(np.array(list(map(len, alignments)), np.int64)), b"".join(alignments)]
+    kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4]
+    return pa.table([pa.array([c], t) for c, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in _PACKED.split(", ")])
+
+
+class Chunk:
+    """A packed chunk, read again."""
+
+    def __init__(self, row: dict, kind: str) -> None:
+        self.doc_ids, self.ids = row["doc_ids"], unsqueezed(row["ids"])
+        self.segments = Alignments(row["alignments"], unsqueezed(row["lengths"]), kind)
+        self.at = np.concatenate([[0], np.cumsum(unsqueezed(row["doc_lengths"]), dtype=np.int64)])
+        failed = np.concatenate([[0], np.cumsum(self.segments.bad[self.ids])])
+        #: Documents that have segments, none of which is bad.
+        self.usable = (self.at[1:] > self.at[:-1]) & (failed[self.at[1:]] == failed[self.at[:-1]])
+
+    def pair_counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """The linked pairs of ids in usable documents, in order, and how many of these hold each."""
+        pairs, pair_of = np.unique(self.segments.codes(), return_inverse=True)
+        first, n = self.segments.at_links[:-1], self.segments.n_links
+        counts = np.zeros(len(pairs), np.int64)
+        for k in np.flatnonzero(self.usable):
+            own = np.unique(self.ids[self.at[k] : self.at[k + 1]])
+            counts[np.unique(pair_of[Alignments._spread(first[own], n[own])])] += 1
+        return pairs[counts > 0], counts[counts > 0]
+
+    def rows(self, codes: np.ndarray, counts: np.ndarray, best: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The documents' rows, with the counts of at least all pairs in usable documents, in order of their codes."""
+        s, own = self.segments, self.segments.codes()
+        place = np.minimum(np.searchsorted(codes, own), max(len(codes) - 1, 0))
+        known = codes[place] == own if len(codes) else np.zeros(len(own), bool)  # others stand in no usable document
+
+        def over_links(values: np.ndarray) -> np.ndarray:
+            total = np.concatenate([[0], np.cumsum(np.where(known, values[place], 0) if len(codes) else np.zeros(len(own), np.int64))])
+            return total[s.at_links[1:]] - total[s.at_links[:-1]]
+
+        sums = []
+        for v in (s.n_a, s.n_b, s.n_groups, s.n_links, over_links(best.astype(np.int64)), over_links(counts)):
+            total = np.concatenate([[0], np.cumsum(v.astype(np.int64)[self.ids])])
+            sums.append(np.where(self.usable, total[self.at[1:]] - total[self.at[:-1]], 0))
+        groups, n = s.group_texts(), len(self.doc_ids)
+        for i in range(0, n, 64):
+            j = min(i + 64, n)
+            texts = [";".join(groups[self.ids[self.at[k] : self.at[k + 1]]].tolist()) if self.usable[k] else "" for k in range(i, j)]
+            yield pa.RecordBatch.from_arrays([pa.array(self.doc_ids[i:j], pa.int64()), *(pa.array(x[i:j]) for x in sums), pa.array(texts, pa.string())], [x.split()[0] for x in _ROWS.split(", ")])
+
+
 _ROWS = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups string"
 
 
-def _compose(docs: pa.Table, segments: pa.Table) -> pa.Table:
-    """The documents of a chunk from what its segments hold."""
-    names = [x.split()[0] for x in _ROWS.split(", ")]
-    if not docs.num_rows:
-        return pa.schema([(c, pa.string() if c == "groups" else pa.int64()) for c in names]).empty_table()
-    ids, offsets = _lists(docs.column("ids"))
-    order = np.argsort(segments.column("number").to_numpy())
-    bad, groups, *values = (segments.column(c).to_numpy(zero_copy_only=False)[order] for c in ("bad", "groups", *_SUMS))
-    usable = _usable(ids, offsets, bad.astype(np.int64))
-    sums = []
-    for v in values:
-        total = np.concatenate([[0], np.cumsum(v.astype(np.int64)[ids])])
-        sums.append(np.where(usable, total[offsets[1:]] - total[offsets[:-1]], 0))
-    doc_ids, parts = docs.column("doc_id").combine_chunks(), []
-    for i in range(0, docs.num_rows, 64):
-        j = min(i + 64, docs.num_rows)
-        texts = [";".join(groups[ids[offsets[k] : offsets[k + 1]]].tolist()) if usable[k] else "" for k in range(i, j)]
-        parts.append(pa.table([doc_ids.slice(i, j - i), *(pa.array(s[i:j]) for s in sums), pa.array(texts, pa.string())], names))
-    return pa.concat_tables(parts)
-
-
-def align_tokenizers(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 4 << 20) -> tuple[DataFrame, DataFrame]:
+def align_tokenizers(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 1 << 25, most_sent: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
     """The documents, and the pairs of ids with their counts.
 
     Documents: id_col, n_a, n_b, n_groups, n_links, n_best, count_sum and groups, for every row of docs. The text with a
@@ -264,31 +326,51 @@ def align_tokenizers(docs: DataFrame, path_a: str, path_b: str, id_col: str = "d
 
     Texts are cut before runs of white space, where split_before() shows that no token of either side goes across. The
     documents of a task make chunks of chunk_chars characters (a longer text is one alone), whose distinct segments are
-    numbered; the chunks are written once to the shared folder. Distinct segments of the corpus are tokenised and
-    aligned once and written too. They are joined back to the chunks' segments, not to the words of the texts, and a
-    chunk's documents are composed from its own segments alone. The pairs' counts are summed up in each chunk before
-    they are shuffled. The two tables stay in the shared folder, as the result reads them.
+    numbered and shuffled, so that a segment comes at most once from each chunk, however often it stands there. Those of
+    all chunks are aligned once; the alignments go back to their chunks, which are written to the shared folder, a row
+    each. From these rows the pairs are counted (summed up in each chunk before they are shuffled) and the documents
+    composed. Up to most_sent pairs (16 bytes each) are sent to all tasks; more are joined to the chunks that hold
+    them. The chunks and pairs stay in the shared folder, as the result reads them.
     """
     spark = docs.sparkSession
+    kind = id_kind(*tokenizers(path_a, path_b))
     folder = f"{shared_folder(spark)}/alignment-{uuid.uuid4().hex}"
-    chunked(docs, path_a, path_b, chunk_chars, id_col, text_col).write.parquet(f"{folder}/chunks")
-    texts, dictionaries = (spark.read.parquet(f"{folder}/chunks") for _ in range(2))
+    chunked(docs, path_a, path_b, chunk_chars, id_col, text_col).write.parquet(f"{folder}/texts")
+    texts, dictionaries = (spark.read.parquet(f"{folder}/texts") for _ in range(2))
     texts = texts.where(F.col("doc").isNotNull()).select("chunk", "doc", "doc_id", "ids")
     known = dictionaries.where(F.col("first").isNotNull()).select("chunk", "first", F.posexplode("segments").alias("place", "segment")).select("chunk", (F.col("first") + F.col("place")).alias("number"), "segment")
-    aligned_segments(known.select("segment").distinct(), path_a, path_b).write.parquet(f"{folder}/segments")
-    aligned = spark.read.parquet(f"{folder}/segments")
-
-    linked = known.join(aligned.select("segment", "bad", "links"), "segment").select("chunk", "number", "bad", "links")
-    in_chunks = texts.groupBy("chunk").cogroup(linked.groupBy("chunk")).applyInArrow(_count_pairs, "code bigint, n bigint")
-    counted = in_chunks.groupBy("code").agg(F.sum("n").alias("n")).select("code", F.shiftright("code", 32).alias("a"), F.col("code").bitwiseAND(F.lit((1 << 32) - 1)).alias("b"), "n")
-    counted.write.parquet(f"{folder}/pairs")
-    counted = spark.read.parquet(f"{folder}/pairs")
-    pairs = counted.withColumn("best", F.col("n") == F.max("n").over(W.partitionBy("a")))
-
-    scored = pairs.select("code", "n", F.col("best").cast("long").alias("best")).transform(broadcast_up_to, F.lit(32))
-    links = aligned.where(~F.col("bad")).select("segment_id", F.explode("links").alias("code"))
-    values = links.join(scored, "code").groupBy("segment_id").agg(F.sum("best").alias("n_best"), F.sum("n").alias("count_sum"))
-    whole = aligned.join(values, "segment_id", "left").select("segment", "bad", "n_a", "n_b", "n_groups", F.size("links").alias("n_links"), "groups", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_best", "count_sum")])
-    parts = known.join(whole, "segment").select("chunk", "number", "bad", "groups", *_SUMS)
-    out = texts.groupBy("chunk").cogroup(parts.groupBy("chunk")).applyInArrow(_compose, _ROWS)
-    return out.withColumnRenamed("doc_id", id_col), pairs.select("a", "b", "n", "best")
+    parts = align_segments(known, path_a, path_b)
+    texts.groupBy("chunk").cogroup(parts.groupBy("chunk")).applyInArrow(_pack, _PACKED).write.parquet(f"{folder}/chunks")
+    chunks = spark.read.parquet(f"{folder}/chunks")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                codes, n = Chunk(row, kind).pair_counts()
+                yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]] * len(codes), pa.int64()), pa.array(codes), pa.array(n)], ["chunk", "code", "n"])
+
+    in_chunks = chunks.transform(in_arrow, counted, "chunk bigint, code bigint, n bigint")
+    in_chunks.groupBy("code").agg(F.sum("n").alias("n")).write.parquet(f"{folder}/pairs")
+    pairs = spark.read.parquet(f"{folder}/pairs").withColumn("a", F.shiftright("code", 32))
+    pairs = pairs.withColumn("best", F.col("n") == F.max("n").over(W.partitionBy("a")))
+
+    if spark.read.parquet(f"{folder}/pairs").count() <= most_sent:
+        table = pairs.select("code", "n", "best").toArrow().sort_by("code")
+        sent = spark.sparkContext.broadcast(tuple(table.column(c).to_numpy() for c in ("code", "n", "best")))
+
+        def composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for row in b.to_pylist():
+                    yield from Chunk(row, kind).rows(*sent.value)
+
+        out = chunks.transform(in_arrow, composed, _ROWS)
+    else:
+        of_chunks = in_chunks.select("chunk", "code").join(pairs.select("code", "n", "best"), "code")
+
+        def composed_with(chunk: pa.Table, own: pa.Table) -> pa.Table:
+            own = own.sort_by("code")
+            values = (own.column(c).to_numpy() for c in ("code", "n", "best"))
+            return pa.Table.from_batches(list(Chunk(chunk.to_pylist()[0], kind).rows(*values)))
+
+        out = chunks.groupBy("chunk").cogroup(of_chunks.groupBy("chunk")).applyInArrow(composed_with, _ROWS)
+    return out.withColumnRenamed("doc_id", id_col), pairs.select("a", F.col("code").bitwiseAND(F.lit((1 << 32) - 1)).alias("b"), "n", "best")
