@@ -191,10 +191,11 @@ class Alignments:
         return (self.a.astype(np.int64)[at_a] << 32) | self.b.astype(np.int64)[at_b]
 
     def group_texts(self) -> np.ndarray:
-        """The groups of each segment, as text."""
+        """The groups of each segment, as text. Each id is written once."""
         both = self.ends == 3
         cut_a, cut_b = (np.cumsum(self.ends & bit != 0)[both].tolist() for bit in (1, 2))
-        a, b = list(map(str, self.a.tolist())), list(map(str, self.b.tolist()))
+        written = {i: str(i) for ids in (self.a, self.b) for i in np.unique(ids).tolist()}
+        a, b = ([written[i] for i in ids.tolist()] for ids in (self.a, self.b))
         groups = [f"{','.join(a[i:j])}|{','.join(b[k:m])}" for i, j, k, m in zip([0, *cut_a][:-1], cut_a, [0, *cut_b][:-1], cut_b, strict=True)]
         at = np.concatenate([[0], np.cumsum(self.n_groups)]).tolist()
         out = np.empty(len(self.bad), object)
@@ -272,7 +273,7 @@ class Chunk:
         self.doc_ids, self.ids = row["doc_ids"], unsqueezed(row["ids"])
         self.segments = Alignments(row["alignments"], unsqueezed(row["lengths"]), kind)
         self.at = np.concatenate([[0], np.cumsum(unsqueezed(row["doc_lengths"]), dtype=np.int64)])
-        failed = np.concatenate([[0], np.cumsum(self.segments.bad[self.ids])])
+        failed = np.concatenate([np.zeros(1, np.int32), np.cumsum(self.segments.bad[self.ids], dtype=np.int32)])
         #: Documents that have segments, none of which is bad.
         self.usable = (self.at[1:] > self.at[:-1]) & (failed[self.at[1:]] == failed[self.at[:-1]])
 
@@ -293,24 +294,26 @@ class Chunk:
         known = codes[place] == own if len(codes) else np.zeros(len(own), bool)  # others stand in no usable document
 
         def over_links(values: np.ndarray) -> np.ndarray:
-            total = np.concatenate([[0], np.cumsum(np.where(known, values[place], 0) if len(codes) else np.zeros(len(own), np.int64))])
+            total = np.zeros(len(own) + 1, np.int64)
+            if len(codes):
+                np.cumsum(np.where(known, values[place], 0), out=total[1:])
             return total[s.at_links[1:]] - total[s.at_links[:-1]]
 
-        sums = []
-        for v in (s.n_a, s.n_b, s.n_groups, s.n_links, over_links(best.astype(np.int64)), over_links(counts)):
-            total = np.concatenate([[0], np.cumsum(v.astype(np.int64)[self.ids])])
-            sums.append(np.where(self.usable, total[self.at[1:]] - total[self.at[:-1]], 0))
-        groups, n = s.group_texts(), len(self.doc_ids)
+        values = np.array([s.n_a, s.n_b, s.n_groups, s.n_links, over_links(best), over_links(counts)], np.int64)
+        groups, names, n = s.group_texts(), [x.split()[0] for x in _ROWS.split(", ")], len(self.doc_ids)
         for i in range(0, n, 64):
             j = min(i + 64, n)
-            texts = [";".join(groups[self.ids[self.at[k] : self.at[k + 1]]].tolist()) if self.usable[k] else "" for k in range(i, j)]
-            yield pa.RecordBatch.from_arrays([pa.array(self.doc_ids[i:j], pa.int64()), *(pa.array(x[i:j]) for x in sums), pa.array(texts, pa.string())], [x.split()[0] for x in _ROWS.split(", ")])
+            own, at, usable = self.ids[self.at[i] : self.at[j]], self.at[i : j + 1] - self.at[i], self.usable[i:j]
+            total = np.concatenate([np.zeros((len(values), 1), np.int64), np.cumsum(values[:, own], axis=1)], axis=1)
+            sums = np.where(usable, total[:, at[1:]] - total[:, at[:-1]], 0)
+            texts = [";".join(groups[own[at[k] : at[k + 1]]].tolist()) if usable[k] else "" for k in range(j - i)]
+            yield pa.RecordBatch.from_arrays([pa.array(self.doc_ids[i:j], pa.int64()), *map(pa.array, sums), pa.array(texts, pa.string())], names)
 
 
 _ROWS = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups string"
 
 
-def align_tokenizers(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 1 << 25, most_sent: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
+def align_tokenizers(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 1 << 24, most_sent: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
     """The documents, and the pairs of ids with their counts.
 
     Documents: id_col, n_a, n_b, n_groups, n_links, n_best, count_sum and groups, for every row of docs. The text with a
