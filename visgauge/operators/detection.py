@@ -58,13 +58,13 @@ def suppress(found: DataFrame, image: str, threshold: float = 0.6) -> DataFrame:
     return boxes.select(image, F.explode(F.aggregate(typed, start, keep)).alias("_k")).select(image, F.col("_k.idx").alias("idx"))
 
 
-def average_precision(found: DataFrame, group: str, score: Column, ties: list[Column], matched: Column, truths: DataFrame, ranges: int = 64) -> DataFrame:
-    """group and ap: the area under the envelope of precision over recall, all points.
+def envelopes(found: DataFrame, group: str, score: Column, ties: list[Column], matched: Column, ranges: int = 64) -> DataFrame:
+    """_g (the group), _tp (its number among the group's hits) and _env of each hit: the highest precision at its place or
+    behind it, found being taken by falling score (nulls last), then by ties.
 
-    found is taken by falling score (nulls last), then by ties. truths: group and gt, the boxes there are to find. ap is
-    null where gt is 0, and 0 where nothing was found. Each group is cut into ranges at quantiles of the score, so that
-    a large group is sorted by many tasks: ranks and hits inside a range go on from the sums of the ranges before it, and
-    the envelope is the greater of the range's own running maximum from its end and that of the ranges behind it.
+    Each group is cut into ranges at quantiles of the score, so that a large group is sorted by many tasks: ranks and
+    hits inside a range go on from the sums of the ranges before it, and the envelope is the greater of the range's own
+    running maximum from its end and that of the ranges behind it.
     """
     rows = found.select(F.col(group).alias("_g"), score.cast("double").alias("_s"), F.coalesce(matched.cast("int"), F.lit(0)).alias("_m"), *[c.alias(f"_t{i}") for i, c in enumerate(ties)])
     cuts = rows.groupBy(F.col("_g").alias("_of")).agg(F.percentile_approx("_s", [k / ranges for k in range(1, ranges)], 1000).alias("_cuts"))
@@ -77,11 +77,20 @@ def average_precision(found: DataFrame, group: str, score: Column, ties: list[Co
     ranked = dealt.withColumns({"_n": F.count(F.lit(1)).over(down), "_tp": F.sum("_m").over(down)})
     ranked = ranked.join(starts, F.col("_g").eqNullSafe(F.col("_of")) & (F.col("_r") == F.col("_at")))
     precision = (F.col("_tp") + F.col("_hits_before")) / (F.col("_n") + F.col("_rows_before"))
-    hits = ranked.where("_m = 1").select("_g", "_r", "_n", precision.alias("_p"))  # precision rises at hits only
-    own = hits.select("_g", "_r", F.max("_p").over(inside.orderBy(F.desc("_n")).rowsBetween(W.unboundedPreceding, 0)).alias("_env"))
+    hits = ranked.where("_m = 1").select("_g", "_r", "_n", (F.col("_tp") + F.col("_hits_before")).alias("_tp"), precision.alias("_p"))  # precision rises at hits only
+    own = hits.select("_g", "_r", "_tp", F.max("_p").over(inside.orderBy(F.desc("_n")).rowsBetween(W.unboundedPreceding, 0)).alias("_env"))
     behind = W.partitionBy("_g").orderBy(F.desc("_r")).rowsBetween(W.unboundedPreceding, -1)
     later = hits.groupBy("_g", "_r").agg(F.max("_p").alias("_top")).select(F.col("_g").alias("_of"), F.col("_r").alias("_at"), F.max("_top").over(behind).alias("_later"))
-    env = own.join(later, F.col("_g").eqNullSafe(F.col("_of")) & (F.col("_r") == F.col("_at"))).select("_g", F.greatest("_env", F.coalesce("_later", F.lit(0.0))).alias("_env"))
+    return own.join(later, F.col("_g").eqNullSafe(F.col("_of")) & (F.col("_r") == F.col("_at"))).select("_g", "_tp", F.greatest("_env", F.coalesce("_later", F.lit(0.0))).alias("_env"))
+
+
+def average_precision(found: DataFrame, group: str, score: Column, ties: list[Column], matched: Column, truths: DataFrame, ranges: int = 64) -> DataFrame:
+    """group and ap: the area under the envelope of precision over recall, all points.
+
+    found is taken by falling score (nulls last), then by ties. truths: group and gt, the boxes there are to find. ap is
+    null where gt is 0, and 0 where nothing was found. Large groups are sorted in ranges, by envelopes().
+    """
+    env = envelopes(found, group, score, ties, matched, ranges)
     steps = env.groupBy("_g").agg(F.sum("_env").alias("_sum"))
     ap = F.when(F.col("gt") > 0, F.round(F.coalesce(F.col("_sum"), F.lit(0.0)) / F.col("gt"), 6))
     return truths.select(group, "gt").join(steps, F.col(group).eqNullSafe(F.col("_g")), "left").select(group, ap.alias("ap"))
