@@ -109,3 +109,30 @@ def test_overlapping_names(spark):
     assert one(spark, text.safe_label(F.lit(" !! "))) == "object"
     with pytest.raises(Exception, match="needs a phrase"):
         one(spark, text.normalize_prompt(F.lit(" . ; ")))
+
+
+def test_mcnemar_of_any_count(spark):
+    from visgauge.functions.stats import mcnemar
+
+    def exact(a: int, b: int) -> float:
+        n, k = a + b, min(a, b)
+        term = total = math.comb(n, k)
+        for i in range(k, 0, -1):
+            term = term * i // (n - i + 1)
+            total += term
+        return min(1.0, 2 * total / 2**n)
+
+    pairs = [(0, 0), (3, 5), (4000, 4100), (4000, 4300), (4200, 4300), (5000, 5003), (5000, 5000), (5200, 4900), (20_000, 20_301), (30_000, 30_400), (6000, 5200), (9000, 30)]
+    df = spark.createDataFrame(pairs, "a long, b long")
+    for (a, b), r in zip(pairs, df.select(mcnemar(F.col("a"), F.col("b"), 9).alias("p")).collect(), strict=True):
+        assert r.p == pytest.approx(exact(a, b), abs=1e-7), (a, b)
+    huge = spark.createDataFrame([(5 * 10**9, 5 * 10**9 + 160_000), (3 * 10**9, 3 * 10**9), (10**10, 3)], "a long, b long").select(mcnemar(F.col("a"), F.col("b")).alias("p")).collect()
+    assert huge[0].p == pytest.approx(math.erfc(160_000 / math.sqrt(10**10 + 160_000) / math.sqrt(2)), abs=1e-5) and huge[1].p == 1.0 and huge[2].p == 0.0
+
+
+def test_json_nested_without_end(spark):
+    from visgauge.functions.text import recover_json
+
+    texts = ['{"a":' * 100_000, "[" * 100_000, 'so: {"a": 1}', None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(recover_json(F.col("t")).alias("r")).collect()
+    assert [r.r.source for r in rows] == ["none", "none", "embedded", "none"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,11 +31,23 @@ def exact_percentile(x: Column, share: float, digits: int = DIGITS) -> Column:
     return F.round(F.coalesce(F.percentile(x.cast("double"), F.lit(share)), F.lit(0.0)), digits)
 
 
-def mcnemar(only_first: Column, only_second: Column, digits: int = DIGITS) -> Column:
-    """Two-sided exact p-value of McNemar's test: twice the binomial tail at 1/2 up to the smaller count, at most 1.
+def _normal_tail(z: Column) -> Column:
+    """The normal distribution up to z, for z <= 0: a series near 0, a continued fraction further out, in bounded steps."""
+    x = -z
+    density = F.exp(-x * x / 2) / math.sqrt(2 * math.pi)
+    first = F.struct(x.alias("term"), x.alias("sum"))
+    step = lambda acc, i: F.struct((acc["term"] * x * x / (2 * i + 1)).alias("term"), (acc["sum"] + acc["term"] * x * x / (2 * i + 1)).alias("sum"))
+    near = 0.5 - density * F.aggregate(F.sequence(F.lit(1), F.lit(60)), first, step)["sum"]
+    far = density / F.aggregate(F.sequence(F.lit(60), F.lit(1)), x, lambda acc, i: x + i / acc)
+    return F.when(x < 3, near).otherwise(F.when(x < 38, far).otherwise(0.0))
+
+
+def mcnemar(only_first: Column, only_second: Column, digits: int = DIGITS, exact_up_to: int = 8192) -> Column:
+    """Two-sided p-value of McNemar's test: twice the binomial tail at 1/2 up to the smaller count, at most 1.
 
-    The terms are summed relative to the greatest of them, whose logarithm is carried along, so that no count is too
-    large. 1.0 where both counts are 0.
+    Up to exact_up_to discordant pairs the terms are summed relative to the greatest of them, whose logarithm is carried
+    along. Beyond, the tail is that of the normal distribution with the terms of order 1/n of its expansion, which leaves
+    an error below 1e-7, so that no count needs more memory than another. 1.0 where both counts are 0.
     """
     n = (only_first + only_second).cast("long")
     least = F.least(only_first, only_second).cast("long")
@@ -44,8 +58,12 @@ def mcnemar(only_first: Column, only_second: Column, digits: int = DIGITS) -> Co
         top = F.greatest(acc["log_sum"], term)
         return F.struct(term.alias("log_term"), (top + F.log(F.exp(acc["log_sum"] - top) + F.exp(term - top))).alias("log_sum"))
 
-    tail = F.aggregate(F.sequence(F.lit(0).cast("long"), least), start, step)["log_sum"]
-    p = F.exp(tail + F.log(F.lit(2.0)) - n * F.log(F.lit(2.0)))
+    bounded = F.least(least, F.lit(exact_up_to).cast("long"))
+    tail = F.aggregate(F.sequence(F.lit(0).cast("long"), bounded), start, step)["log_sum"]
+    exact = F.exp(tail + F.log(F.lit(2.0)) - n * F.log(F.lit(2.0)))
+    z = F.least(F.lit(0.0), (2 * least + 1 - n) / F.sqrt(n.cast("double")))
+    shift = F.exp(-z * z / 2) / math.sqrt(2 * math.pi) * (z * z * z - z) / (12 * n)
+    p = F.when(n <= exact_up_to, exact).otherwise(F.when(2 * least + 1 >= n, F.lit(1.0)).otherwise(2 * (_normal_tail(z) + shift)))
     return F.round(F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), p)), digits)
 
 

@@ -182,7 +182,8 @@ def extract_categories(c: Column, vocabulary: Sequence[str] = COCO_CATEGORIES, a
 
 def recover_json(c: Column, opening: str = "{") -> Column:
     """struct(json, source): the first JSON object (or array, for `[`) of a text that is one (direct), holds one in a
-    fenced block (fenced) or anywhere (embedded); null and `none` if there is none."""
+    fenced block (fenced) or anywhere (embedded); null and `none` if there is none, or if the text is nested more deeply
+    than the parser goes (some thousand levels)."""
     kind = dict if opening == "{" else list
 
     def attempt(text: str, source: str) -> tuple[str, str] | None:
@@ -206,8 +207,14 @@ def recover_json(c: Column, opening: str = "{") -> Column:
                 at = text.find(opening, at + 1)
         return found or (None, "none")
 
+    def bounded(text: str | None) -> tuple[str | None, str]:
+        try:
+            return recover(text)
+        except RecursionError:
+            return None, "none"
+
     @F.pandas_udf("json string, source string")
     def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([recover(t) for t in texts], columns=["json", "source"])
+        return pd.DataFrame([bounded(t) for t in texts], columns=["json", "source"])
 
     return run(c)

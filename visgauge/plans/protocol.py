@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from visgauge.functions import masks
-from visgauge.operators import protocol
+from visgauge.operators import protocol, replay
 from visgauge.plans.registry import Tables, query
 
 _SHAPES = """
@@ -124,3 +124,27 @@ def protocol_marks(t: Tables) -> DataFrame:
     truth, found = _sides(shapes(t).withColumn("shape", F.col("box")))
     marks = protocol.protocol_marks(truth, found, "image", "category", protocol.box_overlap)
     return marks.groupBy("category", "area_name", "iou_at").agg(F.count(F.lit(1)).alias("counted"), F.sum("hit").alias("hits"))
+
+
+_AXES: dict[str, list[float | None]] = {"score": [0.0, 0.2, 0.4, 0.55, 0.7], "mask_score": [None, 0.3, 0.6], "area": [0.0, 0.03, 0.06]}
+
+
+@query(f"""
+    WITH e AS (SELECT l_orderkey AS image, 'c' || (l_partkey % 5) AS category, l_extendedprice / 110000 AS score, CASE WHEN l_linenumber < 6 THEN l_discount * 10 END AS mask, l_tax AS area FROM lineitem),
+    w AS (SELECT o_orderkey AS image, CASE WHEN o_custkey % 7 = 0 THEN [] ELSE list_distinct(['c' || (o_custkey % 5), 'c' || (o_custkey // 5 % 5)]) END AS wanted FROM orders),
+    c AS (SELECT * FROM (SELECT unnest({_AXES["score"]}::DOUBLE[]) AS score), (SELECT unnest([NULL, 0.3, 0.6]::DOUBLE[]) AS mask_score), (SELECT unnest({_AXES["area"]}::DOUBLE[]) AS area)),
+    a AS (SELECT c.score, c.mask_score, c.area, image, list(DISTINCT category) AS found FROM c JOIN e ON e.score >= c.score AND (c.mask_score IS NULL OR e.mask >= c.mask_score) AND e.area >= c.area GROUP BY ALL),
+    f AS (SELECT c.score, c.mask_score, c.area, w.image, wanted, coalesce(found, []) AS found FROM c CROSS JOIN w LEFT JOIN a ON a.image = w.image AND a.score = c.score AND a.mask_score IS NOT DISTINCT FROM c.mask_score AND a.area = c.area),
+    s AS (SELECT *, len(list_intersect(wanted, found)) AS h, len(found) AS n, len(wanted) AS m FROM f)
+    SELECT score, mask_score, area, count(*) AS images, count(*) FILTER (n > 0) AS answered, round(count(*) FILTER (n > 0) / count(*), 6) AS coverage, round(avg(coalesce(h / nullif(n, 0), 0)), 6) AS "precision",
+           round(avg(coalesce(h / nullif(m, 0), 0)), 6) AS recall, round(avg(coalesce(2 * h / nullif(n + m, 0), 0)), 6) AS f1, round(avg((h = n AND h = m)::INT), 6) AS exact,
+           round(coalesce(sum(coalesce(2 * h / nullif(n + m, 0), 0)) / nullif(count(*) FILTER (n > 0), 0), 0), 6) AS selective_f1, round(coalesce(count(*) FILTER (n > 0 AND h = n AND h = m) / nullif(count(*) FILTER (n > 0), 0), 0), 6) AS selective_exact
+    FROM s GROUP BY ALL""")
+def listing_sweep(t: Tables) -> DataFrame:
+    evidence = t.lineitem.select(
+        F.col("l_orderkey").alias("image"), F.concat(F.lit("c"), F.col("l_partkey") % 5).alias("category"), (F.col("l_extendedprice") / 110000).alias("score"),
+        F.when(F.col("l_linenumber") < 6, F.col("l_discount") * 10).alias("mask_score"), F.col("l_tax").alias("area"),
+    )
+    named = F.array(F.concat(F.lit("c"), F.col("o_custkey") % 5), F.concat(F.lit("c"), F.floor(F.col("o_custkey") / 5) % 5))
+    targets = t.orders.select(F.col("o_orderkey").alias("image"), F.when(F.col("o_custkey") % 7 == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(named)).alias("wanted"))
+    return replay.sweep_listings(evidence, targets, "image", "category", "wanted", _AXES)
