@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -18,11 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder, which the driver and all executors see: the one that the cluster names in
-    spark.checkpoint.dir. Only on one machine (master local[...]), as in tests, a temporary folder is made instead."""
+    spark.checkpoint.dir. Only on one machine (master local or local[...]), as in tests, a temporary folder is made."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not context.master.startswith("local["):
+        if named is None and not re.match(r"local(\[|$)", context.master):
             raise ValueError("name a folder that the driver and all executors see in spark.checkpoint.dir")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return context.getCheckpointDir()
@@ -36,12 +37,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 def in_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str, batch_bytes: int = 4 << 20) -> DataFrame:
     """df.mapInArrow, with batches of at most about batch_bytes, as rows with long texts or lists would fill the default
-    of 64 MB in the executor and again in its Python workers. The session keeps the smaller limit."""
+    of 64 MB in the executor and again in its Python workers. A limit that the session names stays as it is: larger
+    batches are then cut where they arrive. Only where it names none is spark.sql.execution.arrow.maxBytesPerBatch set."""
     limit = "spark.sql.execution.arrow.maxBytesPerBatch"
     conf = df.sparkSession.conf
-    if int(conf.get(limit, str(64 << 20)).removesuffix("b")) > batch_bytes:
+    if conf.get(limit, None) is None:
         conf.set(limit, str(batch_bytes))
-    return df.mapInArrow(function, schema)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = max(1, b.num_rows * batch_bytes // max(1, b.nbytes))
+            for i in range(0, b.num_rows, rows):
+                yield b.slice(i, rows)
+
+    return df.mapInArrow(lambda batches: function(cut(batches)), schema)
 
 
 def broadcast_up_to(df: DataFrame, row_bytes: Column, limit: int = 32 << 20) -> DataFrame:
