@@ -205,7 +205,7 @@ def test_alignment_in_small_chunks_and_its_pairs(spark):
     texts = [(i, t) for i, t, *_ in corpus(12)] + list(enumerate(odd_texts(5, 100), 100))
     want, counts = plain_alignment(texts)
     for most_sent in (0, 10**6):  # pairs joined to the chunks, pairs sent to all tasks
-        docs, pairs = alignment.align_tokenizers(documents(spark, texts), A, B, chunk_chars=500, most_sent=most_sent)
+        docs, pairs = alignment.align_tokenizers(documents(spark, texts), A, B, chunk_chars=500, buckets=7, most_sent=most_sent)
         assert order((*r[:-1], sha(r.groups) if r.groups else "") for r in docs.collect()) == order(want)
     rows = pairs.collect()
     assert {(r.a, r.b): r.n for r in rows} == dict(counts)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -96,60 +98,87 @@ class Numbers(dict):
         return n
 
 
+def zipped(data: bytes) -> bytes:
+    return len(data).to_bytes(4, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unzipped(data: bytes) -> bytes:
+    return pa.decompress(data[4:], decompressed_size=int.from_bytes(data[:4], "little"), codec="zstd", asbytes=True)
+
+
 def squeezed(values: np.ndarray) -> bytes:
     """Whole numbers of 32 bits, compressed byte plane by byte plane."""
-    planes = np.ascontiguousarray(values.astype("<i4").view(np.uint8).reshape(-1, 4).T)
-    return len(values).to_bytes(4, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+    return zipped(np.ascontiguousarray(values.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes())
 
 
 def unsqueezed(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(unzipped(data), np.uint8).reshape(4, -1).T).view("<i4").reshape(-1)
+
+
+def zipped_texts(texts: list[str]) -> bytes:
+    raw = [x.encode() for x in texts]
+    lengths = squeezed(np.array(list(map(len, raw)), np.int64))
+    return len(lengths).to_bytes(4, "little") + lengths + zipped(b"".join(raw))
+
+
+def unzipped_texts(data: bytes) -> list[str]:
     n = int.from_bytes(data[:4], "little")
-    planes = np.frombuffer(pa.decompress(data[4:], decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, n).T).view("<i4").reshape(n)
+    ends = np.cumsum(unsqueezed(data[4 : 4 + n]), dtype=np.int64).tolist()
+    raw = unzipped(data[4 + n :])
+    return [raw[i:j].decode() for i, j in zip([0, *ends], ends, strict=False)]
 
 
-_CHUNKS = "chunk bigint, doc int, doc_id bigint, ids binary, first int, segments array<string>"
+_CHUNKS = "chunk bigint, bucket int, segments binary, doc_ids array<bigint>, doc_lengths binary, ids binary, places binary"
 
 
-def chunked(docs: DataFrame, path_a: str, path_b: str, chunk_chars: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows of documents (chunk, doc, doc_id, ids: the numbers of its segments in the chunk) and of the chunks' distinct
-    segments (chunk, first, segments: those numbered from first on). A chunk is some documents of one task."""
+def chunked(docs: DataFrame, path_a: str, path_b: str, chunk_chars: int, buckets: int, id_col: str, text_col: str) -> DataFrame:
+    """Chunks of some documents of one task: a row of its documents (doc_ids, doc_lengths in segments, ids: the numbers of
+    their segments in the chunk, places), and rows of its distinct segments, a row for those of each bucket of a hash.
+    places are the segments' numbers in the order of the buckets' rows."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     names = [x.split()[0] for x in _CHUNKS.split(", ")]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.string())]
+    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segments_of = segment_pattern(split_before(*tokenizers(path_a, path_b))).findall
-        chunk, numbers, n, size = TaskContext.get().partitionId() << 33, Numbers(), 0, 0
+        chunk, size = TaskContext.get().partitionId() << 33, 0
+        numbers, doc_ids, ids = Numbers(), [], []
 
-        def dictionary() -> Iterator[pa.RecordBatch]:
+        def finished() -> Iterator[pa.RecordBatch]:
             known = list(numbers)
-            for i in range(0, len(known), 8192):
-                part = known[i : i + 8192]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(([chunk], [None], [None], [None], [i], [part]), kinds, strict=True)], names)
+            of = np.fromiter((zlib.crc32(x.encode()) % buckets for x in known), np.int32, len(known))
+            places = np.argsort(of, kind="stable")
+            starts = np.flatnonzero(np.diff(of[places], prepend=-1)) if len(known) else np.zeros(0, np.int64)
+            held = [zipped_texts([known[k] for k in places[i:j]]) for i, j in zip(starts, [*starts, len(known)][1:], strict=True)]
+            n = len(held)
+            columns = [[chunk] * n, of[places[starts]], held, *[[None] * n] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+            lengths, flat = np.array(list(map(len, ids)), np.int64), np.concatenate(ids)
+            columns = [[chunk], [None], [None], [doc_ids], [squeezed(lengths)], [squeezed(flat)], [squeezed(places)]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                s = b.slice(i, 256)
-                made: list[tuple[int, int, bytes]] = []
-                for text in s.column(1):
-                    text = text.as_py()
-                    ids = np.fromiter(map(numbers.__getitem__, segments_of(" " + text) if text else ()), np.int32)
-                    made.append((chunk, n, squeezed(ids)))
-                    n += 1
-                    size += len(text)
-                    if size >= chunk_chars:
-                        yield from dictionary()
-                        chunk, numbers, n, size = chunk + 1, Numbers(), 0, 0
-                k = len(made)
-                columns = [pa.array([m[0] for m in made], kinds[0]), pa.array([m[1] for m in made], kinds[1]), s.column(0), pa.array([m[2] for m in made], kinds[3]), pa.nulls(k, kinds[4]), pa.nulls(k, kinds[5])]
-                yield pa.RecordBatch.from_arrays(columns, names)
-        if n:
-            yield from dictionary()
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                text = text.as_py()
+                doc_ids.append(doc_id)
+                ids.append(np.fromiter(map(numbers.__getitem__, segments_of(" " + text) if text else ()), np.int32))
+                size += len(text)
+                if size >= chunk_chars or len(doc_ids) >= 1 << 20:
+                    yield from finished()
+                    chunk, size = chunk + 1, 0
+                    numbers, doc_ids, ids = Numbers(), [], []
+        if doc_ids:
+            yield from finished()
 
     return rows.transform(in_arrow, run, _CHUNKS)
 
 
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places of runs that begin at starts, one after the other."""
+    before = np.cumsum(lengths) - lengths
+    return np.repeat(starts - before, lengths) + np.arange(lengths.sum())
+
+
 class Alignments:
     """The alignments of many segments in one buffer, and the way to it and back.
 
@@ -166,20 +195,14 @@ class Alignments:
         for k in range(4):
             n[~self.bad] |= raw[starts[~self.bad] + k].astype(np.int64) << (8 * k)
         self.at_links = np.concatenate([[0], np.cumsum(n)])
-        self.ends = raw[self._spread(starts + 4, n)]
-        ids = np.ascontiguousarray(raw[self._spread(starts + 4 + n, np.where(self.bad, 0, lengths - 4 - n))]).view(kind)
+        self.ends = raw[spread(starts + 4, n)]
+        ids = np.ascontiguousarray(raw[spread(starts + 4 + n, np.where(self.bad, 0, lengths - 4 - n))]).view(kind)
         self.n_a, self.n_b = (self._per_segment(self.ends & bit != 0) for bit in (1, 2))
         self.n_groups, self.n_links = self._per_segment(self.ends == 3), n
         first = np.cumsum(self.n_a + self.n_b) - self.n_a - self.n_b
-        self.a, self.b = ids[self._spread(first, self.n_a)], ids[self._spread(first + self.n_a, self.n_b)]
+        self.a, self.b = ids[spread(first, self.n_a)], ids[spread(first + self.n_a, self.n_b)]
         assert width * len(ids) == np.where(self.bad, 0, lengths - 4 - n).sum()
 
-    @staticmethod
-    def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Places of runs that begin at starts, one after the other."""
-        before = np.cumsum(lengths) - lengths
-        return np.repeat(starts - before, lengths) + np.arange(lengths.sum())
-
     def _per_segment(self, flags: np.ndarray) -> np.ndarray:
         total = np.concatenate([[0], np.cumsum(flags)])
         return total[self.at_links[1:]] - total[self.at_links[:-1]]
@@ -231,39 +254,48 @@ def aligned(segments: list[str], a: Plain, b: Pieces) -> list[bytes]:
 
 
 def align_segments(known: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """chunk, number and alignment of the chunks' segments. Equal segments of all chunks come to one task, one after the
-    other, and are tokenised and aligned once; that task keeps a batch of them in memory and the last one before."""
-    names = ["chunk", "number", "alignment"]
+    """chunk, bucket, lengths and alignments of the chunks' segments (chunk, bucket, segments). The rows of a bucket come
+    to one task one after the other, where each distinct segment is tokenised and aligned once; the task keeps the
+    alignments of one bucket in memory."""
+    names = ["chunk", "bucket", "lengths", "alignments"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = tokenizers(path_a, path_b)
-        last, of_last = None, b""
+        bucket, found = None, {}
         for batch in batches:
-            for i in range(0, batch.num_rows, 4096):
-                s = batch.slice(i, 4096)
-                coded = s.column(2).dictionary_encode()
-                distinct = coded.dictionary.to_pylist()
-                new = [x for x in distinct if x != last]
-                found = dict(zip(new, aligned(new, a, b), strict=True)) | ({last: of_last} if last is not None else {})
-                last = s.column(2)[s.num_rows - 1].as_py()
-                of_last = found[last]
-                yield pa.RecordBatch.from_arrays([s.column(0), s.column(1), pa.array([found[x] for x in distinct], pa.binary()).take(coded.indices)], names)
-
-    rows = known.select("chunk", "number", "segment").repartition("segment").sortWithinPartitions("segment")
-    return rows.transform(in_arrow, run, "chunk bigint, number int, alignment binary")
+            for i in range(0, batch.num_rows, 256):
+                s = batch.slice(i, 256)
+                rows = list(zip(s.column(1).to_pylist(), map(unzipped_texts, s.column(2).to_pylist()), strict=True))
+                lengths, alignments = [], []
+                for k, (own, segments) in enumerate(rows):
+                    if own != bucket:
+                        bucket, found = own, {}
+                    if any(x not in found for x in segments):
+                        ahead = list(itertools.takewhile(lambda r: r[0] == bucket, rows[k : k + 64]))  # align many at once
+                        new = [x for x in dict.fromkeys(x for _, texts in ahead for x in texts) if x not in found]
+                        found.update(zip(new, aligned(new, a, b), strict=True))
+                    parts = [found[x] for x in segments]
+                    lengths.append(squeezed(np.array(list(map(len, parts)), np.int64)))
+                    alignments.append(zipped(b"".join(parts)))
+                yield pa.RecordBatch.from_arrays([s.column(0), s.column(1), pa.array(lengths, pa.binary()), pa.array(alignments, pa.binary())], names)
+
+    rows = known.select("chunk", "bucket", "segments").repartition("bucket").sortWithinPartitions("bucket")
+    return rows.transform(in_arrow, run, "chunk bigint, bucket int, lengths binary, alignments binary")
 
 
 _PACKED = "chunk bigint, doc_ids array<bigint>, doc_lengths binary, ids binary, lengths binary, alignments binary"
 
 
-def _pack(key: tuple, docs: pa.Table, segments: pa.Table) -> pa.Table:
-    """One row for a chunk: its documents as numbers of segments, and the alignments of these in order."""
-    docs, segments = docs.sort_by("doc"), segments.sort_by("number")
-    ids = [unsqueezed(x) for x in docs.column("ids").to_pylist()]
-    alignments = segments.column("alignment").to_pylist()
-    columns = [key[0].as_py(), docs.column("doc_id").to_pylist(), squeezed(np.array(list(map(len, ids)), np.int64)), squeezed(np.concatenate(ids) if ids else np.zeros(0, np.int32)), squeezed(np.array(list(map(len, alignments)), np.int64)), b"".join(alignments)]
-    kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4]
-    return pa.table([pa.array([c], t) for c, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in _PACKED.split(", ")])
+def _pack(docs: pa.Table, segments: pa.Table) -> pa.Table:
+    """One row for a chunk: its documents, and the alignments of its segments in the order of their numbers."""
+    segments = segments.sort_by("bucket")
+    lengths = np.concatenate([np.zeros(0, np.int32), *map(unsqueezed, segments.column("lengths").to_pylist())]).astype(np.int64)
+    data = b"".join(map(unzipped, segments.column("alignments").to_pylist()))
+    at = np.argsort(unsqueezed(docs.column("places")[0].as_py()))  # where each number stands
+    starts = np.cumsum(lengths) - lengths
+    ordered = np.frombuffer(data, np.uint8)[spread(starts[at], lengths[at])].tobytes()
+    names = [x.split()[0] for x in _PACKED.split(", ")]
+    return docs.select(names[:4]).append_column("lengths", pa.array([squeezed(lengths[at])], pa.binary())).append_column("alignments", pa.array([zipped(ordered)], pa.binary()))
 
 
 class Chunk:
@@ -271,7 +303,7 @@ class Chunk:
 
     def __init__(self, row: dict, kind: str) -> None:
         self.doc_ids, self.ids = row["doc_ids"], unsqueezed(row["ids"])
-        self.segments = Alignments(row["alignments"], unsqueezed(row["lengths"]), kind)
+        self.segments = Alignments(unzipped(row["alignments"]), unsqueezed(row["lengths"]), kind)
         self.at = np.concatenate([[0], np.cumsum(unsqueezed(row["doc_lengths"]), dtype=np.int64)])
         failed = np.concatenate([np.zeros(1, np.int32), np.cumsum(self.segments.bad[self.ids], dtype=np.int32)])
         #: Documents that have segments, none of which is bad.
@@ -284,7 +316,7 @@ class Chunk:
         counts = np.zeros(len(pairs), np.int64)
         for k in np.flatnonzero(self.usable):
             own = np.unique(self.ids[self.at[k] : self.at[k + 1]])
-            counts[np.unique(pair_of[Alignments._spread(first[own], n[own])])] += 1
+            counts[np.unique(pair_of[spread(first[own], n[own])])] += 1
         return pairs[counts > 0], counts[counts > 0]
 
     def rows(self, codes: np.ndarray, counts: np.ndarray, best: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -313,7 +345,7 @@ class Chunk:
 _ROWS = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups string"
 
 
-def align_tokenizers(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 1 << 24, most_sent: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
+def align_tokenizers(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 1 << 24, buckets: int = 4096, most_sent: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
     """The documents, and the pairs of ids with their counts.
 
     Documents: id_col, n_a, n_b, n_groups, n_links, n_best, count_sum and groups, for every row of docs. The text with a
@@ -329,20 +361,19 @@ def align_tokenizers(docs: DataFrame, path_a: str, path_b: str, id_col: str = "d
 
     Texts are cut before runs of white space, where split_before() shows that no token of either side goes across. The
     documents of a task make chunks of chunk_chars characters (a longer text is one alone), whose distinct segments are
-    numbered and shuffled, so that a segment comes at most once from each chunk, however often it stands there. Those of
-    all chunks are aligned once; the alignments go back to their chunks, which are written to the shared folder, a row
-    each. From these rows the pairs are counted (summed up in each chunk before they are shuffled) and the documents
+    numbered and shuffled by buckets of a hash, so that a segment comes at most once from each chunk, however often it
+    stands there. Those of all chunks are aligned once, bucket by bucket; the alignments go back to their chunks, which
+    are written to the shared folder, a row each. From these rows the pairs are counted (summed up in each chunk before they are shuffled) and the documents
     composed. Up to most_sent pairs (16 bytes each) are sent to all tasks; more are joined to the chunks that hold
     them. The chunks and pairs stay in the shared folder, as the result reads them.
     """
     spark = docs.sparkSession
     kind = id_kind(*tokenizers(path_a, path_b))
     folder = f"{shared_folder(spark)}/alignment-{uuid.uuid4().hex}"
-    chunked(docs, path_a, path_b, chunk_chars, id_col, text_col).write.parquet(f"{folder}/texts")
-    texts, dictionaries = (spark.read.parquet(f"{folder}/texts") for _ in range(2))
-    texts = texts.where(F.col("doc").isNotNull()).select("chunk", "doc", "doc_id", "ids")
-    known = dictionaries.where(F.col("first").isNotNull()).select("chunk", "first", F.posexplode("segments").alias("place", "segment")).select("chunk", (F.col("first") + F.col("place")).alias("number"), "segment")
-    parts = align_segments(known, path_a, path_b)
+    chunked(docs, path_a, path_b, chunk_chars, buckets, id_col, text_col).write.parquet(f"{folder}/texts")
+    texts, known = (spark.read.parquet(f"{folder}/texts") for _ in range(2))
+    texts = texts.where(F.col("bucket").isNull()).select("chunk", "doc_ids", "doc_lengths", "ids", "places")
+    parts = align_segments(known.where(F.col("bucket").isNotNull()), path_a, path_b)
     texts.groupBy("chunk").cogroup(parts.groupBy("chunk")).applyInArrow(_pack, _PACKED).write.parquet(f"{folder}/chunks")
     chunks = spark.read.parquet(f"{folder}/chunks")
 
