@@ -106,13 +106,13 @@ def unzipped(data: bytes) -> bytes:
     return pa.decompress(data[4:], decompressed_size=int.from_bytes(data[:4], "little"), codec="zstd", asbytes=True)
 
 
-def squeezed(values: np.ndarray) -> bytes:
-    """Whole numbers of 32 bits, compressed byte plane by byte plane."""
-    return zipped(np.ascontiguousarray(values.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes())
+def squeezed(values: np.ndarray, kind: str = "<i4") -> bytes:
+    """Whole numbers of one kind, compressed byte plane by byte plane."""
+    return zipped(np.ascontiguousarray(values.astype(kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T).tobytes())
 
 
-def unsqueezed(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(unzipped(data), np.uint8).reshape(4, -1).T).view("<i4").reshape(-1)
+def unsqueezed(data: bytes, kind: str = "<i4") -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(unzipped(data), np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
 
 
 def zipped_texts(texts: list[str]) -> bytes:
@@ -176,35 +176,28 @@ def chunked(docs: DataFrame, path_a: str, path_b: str, chunk_chars: int, buckets
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Places of runs that begin at starts, one after the other."""
     before = np.cumsum(lengths) - lengths
-    return np.repeat(starts - before, lengths) + np.arange(lengths.sum())
+    kind = np.int32 if (starts[-1] + lengths[-1] if len(starts) else 0) < 1 << 31 and lengths.sum() < 1 << 31 else np.int64
+    out = np.repeat((starts - before).astype(kind), lengths)
+    out += np.arange(len(out), dtype=kind)
+    return out
 
 
 class Alignments:
-    """The alignments of many segments in one buffer, and the way to it and back.
-
-    A segment is its number of links (4 bytes), then for each link, in order, which tokens end with it (1: that of A, 2:
-    that of B, 3: both, which ends a group too), then the ids of A and those of B. A segment that either tokenizer
-    doesn't give back unchanged is empty.
-    """
+    """The alignments of many segments: the number of links of each; for each link, in order, which tokens end with it (1:
+    that of A, 2: that of B, 3: both, which ends a group too); and the ids of each segment, those of A before those of
+    B. A segment that either tokenizer doesn't give back unchanged has no links."""
 
-    def __init__(self, data: bytes, lengths: np.ndarray, kind: str) -> None:
-        width, raw = np.dtype(kind).itemsize, np.frombuffer(data, np.uint8)
-        starts = np.cumsum(lengths, dtype=np.int64) - lengths
-        self.bad = lengths == 0
-        n = np.zeros(len(lengths), np.int64)
-        for k in range(4):
-            n[~self.bad] |= raw[starts[~self.bad] + k].astype(np.int64) << (8 * k)
-        self.at_links = np.concatenate([[0], np.cumsum(n)])
-        self.ends = raw[spread(starts + 4, n)]
-        ids = np.ascontiguousarray(raw[spread(starts + 4 + n, np.where(self.bad, 0, lengths - 4 - n))]).view(kind)
+    def __init__(self, n_links: np.ndarray, ends: np.ndarray, ids: np.ndarray) -> None:
+        self.n_links, self.ends, self.bad = n_links.astype(np.int64), ends, n_links == 0
+        self.at_links = np.concatenate([[0], np.cumsum(self.n_links)])
         self.n_a, self.n_b = (self._per_segment(self.ends & bit != 0) for bit in (1, 2))
-        self.n_groups, self.n_links = self._per_segment(self.ends == 3), n
+        self.n_groups = self._per_segment(self.ends == 3)
         first = np.cumsum(self.n_a + self.n_b) - self.n_a - self.n_b
         self.a, self.b = ids[spread(first, self.n_a)], ids[spread(first + self.n_a, self.n_b)]
-        assert width * len(ids) == np.where(self.bad, 0, lengths - 4 - n).sum()
 
     def _per_segment(self, flags: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0], np.cumsum(flags)])
+        total = np.zeros(len(flags) + 1, np.int64)
+        np.cumsum(flags, out=total[1:])
         return total[self.at_links[1:]] - total[self.at_links[:-1]]
 
     def codes(self) -> np.ndarray:
@@ -213,25 +206,32 @@ class Alignments:
         at_a, at_b = (np.cumsum(e, dtype=np.int64) - e for e in (ends_a, ends_b))
         return (self.a.astype(np.int64)[at_a] << 32) | self.b.astype(np.int64)[at_b]
 
-    def group_texts(self) -> np.ndarray:
-        """The groups of each segment, as text. Each id is written once."""
-        both = self.ends == 3
-        cut_a, cut_b = (np.cumsum(self.ends & bit != 0)[both].tolist() for bit in (1, 2))
-        written = {i: str(i) for ids in (self.a, self.b) for i in np.unique(ids).tolist()}
-        a, b = ([written[i] for i in ids.tolist()] for ids in (self.a, self.b))
-        groups = [f"{','.join(a[i:j])}|{','.join(b[k:m])}" for i, j, k, m in zip([0, *cut_a][:-1], cut_a, [0, *cut_b][:-1], cut_b, strict=True)]
-        at = np.concatenate([[0], np.cumsum(self.n_groups)]).tolist()
+    def group_texts(self, slab: int = 1 << 14) -> np.ndarray:
+        """The groups of each segment, as text; some segments at a time, each id written once."""
         out = np.empty(len(self.bad), object)
-        out[:] = [groups[i] if j == i + 1 else ";".join(groups[i:j]) for i, j in zip(at, at[1:], strict=False)]
+        written = {i: str(i) for ids in (self.a, self.b) for i in np.unique(ids).tolist()}
+        at_a, at_b = (np.concatenate([[0], np.cumsum(n)]) for n in (self.n_a, self.n_b))
+        for first in range(0, len(out), slab):
+            last = min(first + slab, len(out))
+            ends = self.ends[self.at_links[first] : self.at_links[last]]
+            cut_a, cut_b = (np.cumsum(ends & bit != 0)[ends == 3].tolist() for bit in (1, 2))
+            a, b = ([written[i] for i in ids[at[first] : at[last]].tolist()] for ids, at in ((self.a, at_a), (self.b, at_b)))
+            groups = [f"{','.join(a[i:j])}|{','.join(b[k:m])}" for i, j, k, m in zip([0, *cut_a][:-1], cut_a, [0, *cut_b][:-1], cut_b, strict=True)]
+            at = np.concatenate([[0], np.cumsum(self.n_groups[first:last])]).tolist()
+            out[first:last] = [groups[i] if j == i + 1 else ";".join(groups[i:j]) for i, j in zip(at, at[1:], strict=False)]
         return out
 
 
+#: Links, ends and ids of a segment, as Alignments has them.
+Aligned = tuple[int, bytes, bytes]
+
+
 def id_kind(a: Plain, b: Pieces) -> str:
     return "<u2" if max(len(a.bytes_of), len(b.bytes_of)) <= 1 << 16 else "<u4"
 
 
-def aligned(segments: list[str], a: Plain, b: Pieces) -> list[bytes]:
-    """The alignment of each segment, in the form that Alignments reads.
+def aligned(segments: list[str], a: Plain, b: Pieces) -> list[Aligned]:
+    """The alignment of each segment.
 
     The segments that both tokenizers give back unchanged are laid end to end; their tokens' ends are merged once. The
     bytes between two ends lie in one token of each side, and are one link: two tokens meet in one such stretch.
@@ -246,27 +246,27 @@ def aligned(segments: list[str], a: Plain, b: Pieces) -> list[bytes]:
     stretch = np.union1d(ends_a, ends_b)
     ends = (np.isin(stretch, ends_a) + 2 * np.isin(stretch, ends_b)).astype(np.uint8).tobytes()
     at = np.searchsorted(stretch, np.cumsum([0, *(len(whole[k]) for k in kept)]), "right").tolist()
-    out = [b""] * len(segments)
+    out = [(0, b"", b"")] * len(segments)
     for n, k in enumerate(kept):
         i, j = at[n], at[n + 1]
-        out[k] = (j - i).to_bytes(4, "little") + ends[i:j] + ids_a[k].astype(kind).tobytes() + np.array(ids_b[k], kind).tobytes()
+        out[k] = j - i, ends[i:j], ids_a[k].astype(kind).tobytes() + np.array(ids_b[k], kind).tobytes()
     return out
 
 
 def align_segments(known: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """chunk, bucket, lengths and alignments of the chunks' segments (chunk, bucket, segments). The rows of a bucket come
+    """chunk, bucket, and n_links, ends and ids of the chunks' segments (chunk, bucket, segments). The rows of a bucket come
     to one task one after the other, where each distinct segment is tokenised and aligned once; the task keeps the
     alignments of one bucket in memory."""
-    names = ["chunk", "bucket", "lengths", "alignments"]
+    names = ["chunk", "bucket", "n_links", "ends", "link_ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = tokenizers(path_a, path_b)
-        bucket, found = None, {}
+        kind, bucket, found = id_kind(a, b), None, {}
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 s = batch.slice(i, 256)
                 rows = list(zip(s.column(1).to_pylist(), map(unzipped_texts, s.column(2).to_pylist()), strict=True))
-                lengths, alignments = [], []
+                made: list[tuple[bytes, bytes, bytes]] = []
                 for k, (own, segments) in enumerate(rows):
                     if own != bucket:
                         bucket, found = own, {}
@@ -275,27 +275,36 @@ def align_segments(known: DataFrame, path_a: str, path_b: str) -> DataFrame:
                         new = [x for x in dict.fromkeys(x for _, texts in ahead for x in texts) if x not in found]
                         found.update(zip(new, aligned(new, a, b), strict=True))
                     parts = [found[x] for x in segments]
-                    lengths.append(squeezed(np.array(list(map(len, parts)), np.int64)))
-                    alignments.append(zipped(b"".join(parts)))
-                yield pa.RecordBatch.from_arrays([s.column(0), s.column(1), pa.array(lengths, pa.binary()), pa.array(alignments, pa.binary())], names)
+                    n, ends, ids = zip(*parts, strict=True)
+                    made.append((squeezed(np.array(n)), zipped(b"".join(ends)), squeezed(np.frombuffer(b"".join(ids), kind), kind)))
+                yield pa.RecordBatch.from_arrays([s.column(0), s.column(1), *(pa.array(c, pa.binary()) for c in zip(*made, strict=True))], names)
 
     rows = known.select("chunk", "bucket", "segments").repartition("bucket").sortWithinPartitions("bucket")
-    return rows.transform(in_arrow, run, "chunk bigint, bucket int, lengths binary, alignments binary")
+    return rows.transform(in_arrow, run, "chunk bigint, bucket int, n_links binary, ends binary, link_ids binary")
 
 
-_PACKED = "chunk bigint, doc_ids array<bigint>, doc_lengths binary, ids binary, lengths binary, alignments binary"
+_PACKED = "chunk bigint, doc_ids array<bigint>, doc_lengths binary, ids binary, n_links binary, ends binary, link_ids binary"
 
 
-def _pack(docs: pa.Table, segments: pa.Table) -> pa.Table:
+def _pack(docs: pa.Table, segments: pa.Table, kind: str) -> pa.Table:
     """One row for a chunk: its documents, and the alignments of its segments in the order of their numbers."""
     segments = segments.sort_by("bucket")
-    lengths = np.concatenate([np.zeros(0, np.int32), *map(unsqueezed, segments.column("lengths").to_pylist())]).astype(np.int64)
-    data = b"".join(map(unzipped, segments.column("alignments").to_pylist()))
+
+    def column(name: str, kind: str) -> np.ndarray:
+        return np.concatenate([np.zeros(0, kind), *(unsqueezed(x, kind) for x in segments.column(name).to_pylist())])
+
+    found = Alignments(column("n_links", "<i4"), np.frombuffer(b"".join(map(unzipped, segments.column("ends").to_pylist())), np.uint8), column("link_ids", kind))
     at = np.argsort(unsqueezed(docs.column("places")[0].as_py()))  # where each number stands
-    starts = np.cumsum(lengths) - lengths
-    ordered = np.frombuffer(data, np.uint8)[spread(starts[at], lengths[at])].tobytes()
-    names = [x.split()[0] for x in _PACKED.split(", ")]
-    return docs.select(names[:4]).append_column("lengths", pa.array([squeezed(lengths[at])], pa.binary())).append_column("alignments", pa.array([zipped(ordered)], pa.binary()))
+    both = np.empty(len(found.a) + len(found.b), kind)
+    n_a, n_b, starts = found.n_a[at], found.n_b[at], np.cumsum((found.n_a + found.n_b)[at])
+    both[spread(starts - n_a - n_b, n_a)] = found.a[spread((np.cumsum(found.n_a) - found.n_a)[at], n_a)]
+    both[spread(starts - n_b, n_b)] = found.b[spread((np.cumsum(found.n_b) - found.n_b)[at], n_b)]
+    ends = found.ends[spread(found.at_links[:-1][at], found.n_links[at])]
+    columns = {"n_links": squeezed(found.n_links[at]), "ends": zipped(ends.tobytes()), "link_ids": squeezed(both, kind)}
+    out = docs.select([x.split()[0] for x in _PACKED.split(", ")][:4])
+    for name, data in columns.items():
+        out = out.append_column(name, pa.array([data], pa.binary()))
+    return out
 
 
 class Chunk:
@@ -303,7 +312,7 @@ class Chunk:
 
     def __init__(self, row: dict, kind: str) -> None:
         self.doc_ids, self.ids = row["doc_ids"], unsqueezed(row["ids"])
-        self.segments = Alignments(unzipped(row["alignments"]), unsqueezed(row["lengths"]), kind)
+        self.segments = Alignments(unsqueezed(row["n_links"]), np.frombuffer(unzipped(row["ends"]), np.uint8), unsqueezed(row["link_ids"], kind))
         self.at = np.concatenate([[0], np.cumsum(unsqueezed(row["doc_lengths"]), dtype=np.int64)])
         failed = np.concatenate([np.zeros(1, np.int32), np.cumsum(self.segments.bad[self.ids], dtype=np.int32)])
         #: Documents that have segments, none of which is bad.
@@ -374,7 +383,7 @@ def align_tokenizers(docs: DataFrame, path_a: str, path_b: str, id_col: str = "d
     texts, known = (spark.read.parquet(f"{folder}/texts") for _ in range(2))
     texts = texts.where(F.col("bucket").isNull()).select("chunk", "doc_ids", "doc_lengths", "ids", "places")
     parts = align_segments(known.where(F.col("bucket").isNotNull()), path_a, path_b)
-    texts.groupBy("chunk").cogroup(parts.groupBy("chunk")).applyInArrow(_pack, _PACKED).write.parquet(f"{folder}/chunks")
+    texts.groupBy("chunk").cogroup(parts.groupBy("chunk")).applyInArrow(lambda d, x: _pack(d, x, kind), _PACKED).write.parquet(f"{folder}/chunks")
     chunks = spark.read.parquet(f"{folder}/chunks")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
