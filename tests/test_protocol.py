@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from visgauge.functions import masks
-from visgauge.operators import protocol
+from visgauge.operators import protocol, replay
 from visgauge.operators.detection import match_boxes, match_summary
 
 BOXES = "image long, category string, idx long, shape array<double>, area double, crowd boolean"
@@ -197,3 +197,38 @@ def test_masks_as_shapes_and_questions(spark):
     one = protocol.question_summary(rows, "question").first()
     assert (one.questions, one.tp, one.fp, one.fn, one.micro_precision, one.micro_recall, one.mean_iou) == (3, 1, 3, 2, 0.25, 0.333333, 0.75)
     assert (one.macro_precision, one.macro_recall, one.macro_f1) == (round(0.333333 / 3, 6), round(0.5 / 3, 6), round(0.4 / 3, 6))
+
+
+def plain_listings(evidence, wanted, axes):
+    out = {}
+    for s in axes["score"]:
+        for m in axes["mask"]:
+            sums = dict.fromkeys(("precision", "recall", "f1", "exact", "answered", "right"), 0.0)
+            for image, goal in wanted.items():
+                goal = set(goal or ())
+                found = {c for i, c, score, mask in evidence if i == image and score is not None and score >= s and (m is None or (mask is not None and mask >= m))}
+                hits = len(found & goal)
+                sums["precision"] += hits / len(found) if found else 0
+                sums["recall"] += hits / len(goal) if goal else 0
+                sums["f1"] += 2 * hits / (len(found) + len(goal)) if found or goal else 0
+                sums["exact"] += found == goal
+                sums["answered"] += bool(found)
+                sums["right"] += bool(found) and found == goal
+            n, a = len(wanted), sums["answered"]
+            out[s, m] = (n, a, a / n, sums["precision"] / n, sums["recall"] / n, sums["f1"] / n, sums["exact"] / n, sums["f1"] / a if a else 0, sums["right"] / a if a else 0)
+    return out
+
+
+def test_listing_policies_replayed(spark):
+    rnd = random.Random(8)
+    axes = {"score": [0.7, 0.1, 0.4, 0.4], "mask": [None, 0.5]}
+    wanted = {i: rnd.sample("abcd", rnd.randrange(4)) if i else None for i in range(25)}
+    evidence = [(rnd.randrange(27), rnd.choice("abcde"), rnd.choice([None, 0.05, 0.1, 0.4, 0.65, 0.9]), rnd.choice([None, 0.2, 0.5, 0.8])) for _ in range(120)]
+    targets = spark.createDataFrame(list(wanted.items()), "image long, wanted array<string>")
+    for rows in (evidence, []):
+        df = spark.createDataFrame(rows, "image long, category string, score double, mask double")
+        got = {(r.score, r.mask): tuple(r)[2:] for r in replay.sweep_listings(df, targets, "image", "category", "wanted", axes).collect()}
+        want = plain_listings(rows, wanted, axes)
+        assert got.keys() == want.keys() and len(got) == 6
+        for k in want:
+            assert got[k] == pytest.approx(want[k], abs=2e-6)

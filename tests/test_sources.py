@@ -69,7 +69,7 @@ def test_sinks(spark, tmp_path):
     sinks.write_csv(rows, str(tmp_path / "csv"))
     sinks.write_jsonl(rows, str(tmp_path / "jsonl"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 1
-    sinks.write_document({"b": 1, "a": 2}, str(tmp_path / "d" / "report.json"))
+    sinks.write_document(spark, {"b": 1, "a": 2}, str(tmp_path / "d" / "report.json"))
     assert (tmp_path / "d" / "report.json").read_text() == '{\n  "a": 2,\n  "b": 1\n}\n'
 
 

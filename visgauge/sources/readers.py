@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from visgauge.sources.json_arrays import read_json_array
+
 CORRUPT = "_corrupt_record"
 
 
@@ -23,15 +25,18 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Objects of a file that is one array, one object or JSON Lines, told apart by its first lines."""
-    head = [r.value.strip() for r in spark.read.text(path).where("trim(value) <> ''").limit(2).collect()]
-    if not head:
+    """Objects of a file that is one array, one object or JSON Lines, told apart by the ends of its first lines. An array
+    may be of any size and on one line: it is read by read_json_array()."""
+    line = F.trim("value")
+    head = spark.read.text(path).where("trim(value) <> ''").select(F.left(line, F.lit(1)).alias("first"), F.right(line, F.lit(1)).alias("last")).first()
+    if head is None:
         raise BadInput(f"{path} is empty")
-    lines = head[0].startswith("{") and head[0].endswith("}")
-    if lines:
-        return read_jsonl(spark, path, schema)
-    if head[0][0] not in "[{":
+    if head["first"] == "[":
+        return read_json_array(spark, path, schema)
+    if head["first"] != "{":
         raise BadInput(f"{path} holds no objects")
+    if head["last"] == "}":
+        return read_jsonl(spark, path, schema)
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 

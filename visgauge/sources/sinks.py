@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-import os
-import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from visgauge.sources.folders import Folder
+
 
 def canonical_json(df: DataFrame) -> DataFrame:
     """Each row as JSON with its columns in the order of their names."""
@@ -38,11 +38,7 @@ def write_csv(df: DataFrame, path: str) -> None:
     flat(df).write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_document(document: dict, path: str) -> None:
-    """A small report as JSON with sorted keys, in place at once or not at all."""
-    folder = os.path.dirname(os.path.abspath(path))
-    os.makedirs(folder, exist_ok=True)
-    with tempfile.NamedTemporaryFile("w", dir=folder, delete=False, encoding="utf-8") as f:
-        json.dump(document, f, sort_keys=True, indent=2)
-        f.write("\n")
-    os.replace(f.name, path)
+def write_document(spark: SparkSession, document: dict, path: str) -> None:
+    """A small report as JSON with sorted keys, in place at once or not at all, on any file system that Spark knows."""
+    folder, _, name = path.rpartition("/")
+    Folder(spark, folder or ".").replace(name, (json.dumps(document, sort_keys=True, indent=2) + "\n").encode())
