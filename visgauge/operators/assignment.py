@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from visgauge.sources.folders import checkpoint
+from visgauge.sources.folders import Steps
 
 
 def _level(uses: dict[str, int], wanted: int) -> int:
@@ -42,21 +42,30 @@ def _forbidden(state: DataFrame) -> DataFrame:
     return state.join(taken, "image", "left").withColumn("_no", F.concat("present", F.coalesce("_taken", F.array().cast("array<string>")))).drop("_taken")
 
 
-def _swap(state: DataFrame, open_names: DataFrame) -> DataFrame | None:
-    """state with one request more served: by a name that another one gives up for an open name (group, open)."""
+def _swap(state: DataFrame, open_names: DataFrame, left: dict[str, int], most: int = 64) -> DataFrame | None:
+    """state with some more requests served, each by a name that another one gives up for an open name of open_names
+    (group, open). Up to `most` of a group's waiting requests find a giver each; of these swaps the driver takes those
+    that touch different images and for which there is room."""
     rows = _forbidden(state)
-    asking = rows.where("name is null").orderBy("image", "positive").limit(16).select("group", "image", "positive", "_no")
+    asking = rows.where("name is null").withColumn("_r", F.row_number().over(W.partitionBy("group").orderBy("image", "positive"))).where(F.col("_r") <= most).select("group", "image", "positive", "_no")
     givers = rows.where("name is not null and not _late").join(F.broadcast(open_names), "group").select("group", F.explode("open").alias("got"), "name", F.col("image").alias("g_image"), F.col("positive").alias("g_positive"), F.col("_no").alias("g_no"))
     fits = ~F.array_contains("g_no", F.col("got")) & ~F.array_contains("_no", F.col("name")) & (F.col("g_image") != F.col("image"))
-    found = givers.join(F.broadcast(asking), "group").where(fits).select("image", "positive", "g_image", "g_positive", "name", "got").limit(1).collect()
-    if not found:
+    pairs = givers.join(F.broadcast(asking), "group").where(fits).withColumn("h", F.xxhash64("image", "positive", "g_image", "g_positive", "got"))
+    found = pairs.groupBy("image", "positive").agg(F.min(F.struct("h", "g_image", "g_positive", "name", "got")).alias("s")).orderBy("image", "positive").collect()
+    touched: set[str] = set()
+    room, changes = dict(left), []
+    for r in found:
+        if r.image not in touched and r.s.g_image not in touched and room[r.s.got]:
+            touched |= {r.image, r.s.g_image}
+            room[r.s.got] -= 1
+            changes += [(r.image, r.positive, r.s["name"]), (r.s.g_image, r.s.g_positive, r.s.got)]
+    if not changes:
         return None
-    r = found[0]
-    one, other = ((F.col("image") == i) & (F.col("positive") == p) for i, p in ((r.image, r.positive), (r.g_image, r.g_positive)))
-    return checkpoint(state.withColumn("name", F.when(one, F.lit(r["name"])).when(other, F.lit(r.got)).otherwise(F.col("name"))))
+    given = state.sparkSession.createDataFrame(changes, "image string, positive string, _got string")
+    return state.join(F.broadcast(given), ["image", "positive"], "left").withColumn("name", F.coalesce("_got", "name")).drop("_got")
 
 
-def _fill(state: DataFrame, names: dict[str, list[str]], probes: int = 8, few: int = 20_000) -> DataFrame:
+def _fill(state: DataFrame, names: dict[str, list[str]], steps: Steps, probes: int = 8, few: int = 20_000) -> DataFrame:
     """state (image, positive, group, present, name, _late) with the names of those that wait (name is null) and can have
     one of their group. The names that others have already are never taken from those that are _late."""
     spark, none = state.sparkSession, F.array().cast("array<string>")
@@ -67,15 +76,19 @@ def _fill(state: DataFrame, names: dict[str, list[str]], probes: int = 8, few: i
         for r in rows:
             if r["name"] is not None:
                 used[r["name"]] += r["n"]
-        return used, Counter({r["group"]: r["n"] for r in rows if r["name"] is None and names.get(r["group"])})
+        return used, Counter({r["group"]: r["n"] for r in rows if r["name"] is None and names.get(r["group"]) and r["group"] not in done})
 
+    done: set[str] = set()
     used, wanted = counted()
     limit: dict[str, int] = {}
     for g, n in wanted.items():
         level = _level({x: used[x] for x in names[g]}, n)
         limit |= {x: level for x in names[g]}
-    round_, last_phase = 0, False
+    round_ = 0
     while wanted:
+        for g in wanted:  # filled alike as far as can be: now the rest, one more a name
+            if all(used[x] >= limit[x] for x in names[g]):
+                limit |= {x: limit[x] + 1 for x in names[g]}
         left = {x: limit[x] - used[x] for g in wanted for x in names[g] if used[x] < limit[x]}
         free = [(g, sorted(x for x in names[g] if x in left)) for g in wanted if any(x in left for x in names[g])]
         if free:
@@ -90,23 +103,23 @@ def _fill(state: DataFrame, names: dict[str, list[str]], probes: int = 8, few: i
                 choice = F.try_element_at(able, place(F.lit(0), F.size(able)))
             asks = seen.withColumn("name", choice).where("name is not null").groupBy("image", "group", "name").agg(F.min("positive").alias("positive"))
             got = _accepted(asks, left).select("image", "positive", F.col("name").alias("_got"))
-            state = checkpoint(state.join(got, ["image", "positive"], "left").withColumn("name", F.coalesce("name", "_got")).drop("_got"))
+            state = steps.stored(state.join(got, ["image", "positive"], "left").withColumn("name", F.coalesce("name", "_got")).drop("_got"))
             before, (used, wanted) = wanted.total(), counted()
             round_ += 1
             if wanted.total() < before:
                 continue
             if before <= few:
-                swapped = _swap(state, open_names)
+                swapped = _swap(state, open_names, left)
                 if swapped is not None:
-                    state = swapped
+                    state = steps.stored(swapped)
                     used, wanted = counted()
                     continue
-        if last_phase:
-            whole = spark.createDataFrame([(g, names[g]) for g in wanted], "group string, open array<string>")
-            if _forbidden(state).where("name is null").join(F.broadcast(whole), "group").where(F.size(F.array_except("open", "_no")) > 0).isEmpty():
-                return state
-        last_phase = True  # all are filled alike, as far as can be: now the rest, one more a name
-        limit = {x: n + 1 for x, n in limit.items()}
+        whole = spark.createDataFrame([(g, names[g]) for g in wanted], "group string, open array<string>")
+        able = _forbidden(state).where("name is null").join(F.broadcast(whole), "group").where(F.size(F.array_except("open", "_no")) > 0)
+        served = {r["group"] for r in able.select("group").distinct().collect()}
+        done |= wanted.keys() - served
+        wanted = Counter({g: n for g, n in wanted.items() if g in served})
+        limit |= {x: limit[x] + 1 for g in served for x in names[g]}  # nothing else helps
     return state
 
 
@@ -127,8 +140,9 @@ def balanced_negatives(requests: DataFrame, names: list[tuple[str, str]]) -> Dat
         groups.setdefault(g, []).append(n)
     texts = [F.col(c).cast("string").alias(c) for c in ("image", "positive", "group")]
     start = requests.select(*texts, F.coalesce("present", F.array().cast("array<string>")).alias("present"), F.lit(None).cast("string").alias("name"), F.lit(False).alias("_late"))
-    first = _fill(checkpoint(start), groups)
+    steps = Steps(requests.sparkSession)
+    first = _fill(steps.stored(start), groups, steps)
     again = first.withColumns({"_late": F.col("name").isNotNull(), "group": F.when(F.col("name").isNull(), "*").otherwise(F.col("group"))})
-    second = _fill(checkpoint(again), {"*": [n for _, n in names]})
+    second = _fill(steps.stored(again), {"*": [n for _, n in names]}, steps)
     selection = F.when(F.col("_late"), "same_group").otherwise("balanced_fallback")
     return second.where("name is not null").select("image", "positive", "name", selection.alias("selection"))

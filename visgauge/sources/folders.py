@@ -1,4 +1,4 @@
-"""Files and folders of the cluster's file system, by Hadoop's API, and checkpoints in the shared folder."""
+"""Files and folders of the cluster's file system, by Hadoop's API, and tables stored in the shared folder."""
 
 from __future__ import annotations
 
@@ -11,15 +11,31 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with files in the folder that spark.checkpoint.dir names; a temporary one only on one machine."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which the driver and all executors see; a temporary one only on one
+    machine."""
     if spark.sparkContext.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None and not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("name a folder that the driver and all executors see in spark.checkpoint.dir")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+    return spark.sparkContext.getCheckpointDir()
+
+
+class Steps:
+    """The versions of a table that is made step by step, each written to the shared folder and read again, so that
+    neither lineage nor what the optimizer knows of a plan grows with the steps. Only the last two are kept."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.path, self.number = spark, f"{shared_folder(spark)}/steps-{uuid.uuid4().hex}", 0
+
+    def stored(self, df: DataFrame) -> DataFrame:
+        path = f"{self.path}/{self.number}"
+        df.write.parquet(path)
+        if self.number > 1:
+            Folder(self.spark, self.path).delete(str(self.number - 2))
+        self.number += 1
+        return self.spark.read.parquet(path)
 
 
 class Folder:
