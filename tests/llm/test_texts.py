@@ -348,23 +348,41 @@ def test_templates_by_brute_force(spark):
     rnd = random.Random(51)
     rows, plain = [], []
     for host in range(3):
-        pool = [prose(rnd, 6).replace("\n", " ") for _ in range(5)]
+        pool = [prose(rnd, 6).replace("\n", " ") for _ in range(6)]
         for k in range(30):
-            inside = [(prose(rnd, 40).replace("\n", " "), "p") for _ in range(3)] + [(t, "section") for t in rnd.sample(pool, 2)]
+            inside = [(prose(rnd, 40).replace("\n", " "), "p") for _ in range(3)] + [(t, "section") for t in rnd.sample(pool[1:], 2) + pool[:1] * (k % 5 > 0)]
+            inside += [(t, "aside-note") for t in rnd.sample(pool, 1)]
             outside = [(t, "div") for t in rnd.sample(pool, 1)]
             rnd.shuffle(inside)
-            html = "".join(f"<div>{t}</div>" for t, _ in outside) + "<article>" + "".join(f"<{e}>{t}</{e}>" for t, e in inside) + "</article>"
+            tag = {"aside-note": 'div class="notice-board"'}
+            html = "".join(f"<div>{t}</div>" for t, _ in outside) + "<article>" + "".join(f"<{tag.get(e, e)}>{t}</{tag.get(e, e).split()[0]}>" for t, e in inside) + "</article>"
             rows.append((len(rows), f"https://h{host}.example/{k}", html))
-            plain.append((host, [(e, t) for t, e in inside]))
-    pages = Counter((host, block) for host, blocks in plain for block in set(blocks))
-    often = {key for key, n in pages.items() if n >= 5 and n >= 0.2 * 30}
-    assert len(often) > 10
+            plain.append((host, [("div" if e == "aside-note" else e, t) for t, e in inside], [(e, t) for t, e in outside]))
+    # a subtree is its element and text, wherever it stands; in an article it must be on most pages, unless in doubt (div)
+    pages = Counter((host, block) for host, inside, outside in plain for block in {*inside, *outside})
+    often = {key for key, n in pages.items() if n >= 5 and (n >= 0.2 * 30 if key[1][0] == "div" else n > 0.5 * 30)}
+    assert sum(e == "section" for _, (e, _) in often) == 3 and sum(e == "div" for _, (e, _) in often) > 6
+    assert sum(n >= 6 for key, n in pages.items() if key[1][0] == "section") > 10
+    plain = [(host, inside) for host, inside, _ in plain]
     found = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert found == {i: " ".join(t for e, t in blocks if (host, (e, t)) not in often) for i, (host, blocks) in enumerate(plain)}
-    assert sum(found[i] != main_text(r[2]) for i, r in enumerate(rows)) == len(rows)
+    assert sum(found[i] != main_text(r[2]) for i, r in enumerate(rows)) > 0.9 * len(rows)  # almost all have some template
+
+
+def test_prose_on_some_pages_stays(spark):
+    """A paragraph on 5 of 24 pages of a host is prose; one on 20 of them is a template."""
+    page = lambda k: f"<article><p>Own text {k} of this page, and more of it.</p>{'<p>A passage on some pages.</p>' * (k < 5)}{'<p>Read our terms.</p>' * (k < 20)}</article>"
+    rows = [(k, f"http://blog.example/{k}", page(k)) for k in range(24)]
+    found = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {k: f"Own text {k} of this page, and more of it." + " A passage on some pages." * (k < 5) for k in range(24)}
 
 
 BROKEN = {
+    '<article><div class="social-history"><p>Chapter one. Chapter one.</p></div></article>': "Chapter one. Chapter one.",
+    '<main><section class="comment-policy">One. Two. Three.</section></main>': "One. Two. Three.",
+    '<article><p>a</p><p class="related">A sentence of the body.</p></article>': "a A sentence of the body.",
+    '<article><div class="notice-board">One sentence.</div><div id="menu-history">Another one.</div></article>': "One sentence. Another one.",
+    '<article><p>a</p><div class="related-posts">Read on</div><p class="ad"><a href="/x">Buy this</a></p></article>': "a",
     '<p>a</p><a href="foo>link y more</a><p>x</p>': "a link y more x",
     '<p>one</p><a href="foo>two</a> three <b class="x">four</b><p>five</p>': "one two three four five",
     'x <a href="foo>link y more': "x link y more",

@@ -97,7 +97,7 @@ def _judge(name: str, attributes: str, in_main: bool, nested: bool) -> str:
             for token in value.split():
                 words = set(_WORD.findall(token)) - ({"header"} if in_main else set())
                 if not DROPPED_WORDS.isdisjoint(words):
-                    if words <= DROPPED_WORDS | NEUTRAL:
+                    if words <= DROPPED_WORDS | NEUTRAL and name != "p":
                         return "drop"
                     out = "doubt"
         elif key == "role" and value in DROPPED_ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
@@ -110,20 +110,24 @@ def _judge(name: str, attributes: str, in_main: bool, nested: bool) -> str:
 Piece = tuple[str, bool, bool]
 
 
-def segments(page: str, linked: float = 1 / 3, short: int = 200) -> tuple[list[Piece], list[tuple[int, int, int, int, bool]]]:
+Subtree = tuple[int, int, int, int, bool, bool]
+
+
+def segments(page: str, menu: float = 0.9) -> tuple[list[Piece], list[Subtree]]:
     """A page as pieces of text and subtrees.
 
     pieces: (text, whether it is in a dropped element, whether it is in an article or main element); an empty text ends
     a block. subtrees: (hash of names and texts, first piece, end piece, number of characters, whether it is in an article
-    or main element) of each element that can be a template: none that is or holds an article or main element, and inside
+    or main element, whether its class leaves in doubt what it is) of each element that can be a template: none that is or holds an article or main element, and inside
     of these only blocks that are no part of a larger one.
 
-    An element with a class of which only a part names furniture (`related-work`) is dropped if its text is short or for
-    a third in links; a form, unless it holds an article or four fifths of the page's text. Time grows with the page's length
+    An element with a class of which only a part names furniture (`related-work`), and a paragraph with any such class, is
+    in doubt: it is dropped if links make up `menu` of its text, as of a menu; otherwise it stays, whatever its length,
+    unless it recurs on its host. A form is dropped, unless it holds an article or four fifths of the page's text. Time grows with the page's length
     only, however its quotes and elements are nested.
     """
     pieces: list[Piece] = []
-    subtrees: list[tuple[int, int, int, int, bool]] = []
+    subtrees: list[Subtree] = []
     doubtful: list[tuple[int, int, int, bool]] = []
     stack = [_Element("", 0, False, False, "")]
     places: dict[str, list[int]] = defaultdict(list)  # of open elements, by name
@@ -147,8 +151,8 @@ def segments(page: str, linked: float = 1 / 3, short: int = 200) -> tuple[list[P
         top.inside += e.inside
         top.holds = top.holds or e.holds
         if e.size and e.name not in ("html", "body") and not e.holds and (not e.main or e.name in WHOLE):
-            subtrees.append((int.from_bytes(digest, "big", signed=True), e.begin, len(pieces), e.size, e.main))
-        if e.doubt == "form" or e.doubt == "doubt" and (e.main or not e.holds) and (e.size < short or e.linked > linked * e.size):
+            subtrees.append((int.from_bytes(digest, "big", signed=True), e.begin, len(pieces), e.size, e.main, e.doubt == "doubt"))
+        if e.doubt == "form" or e.doubt == "doubt" and (e.main or not e.holds) and e.linked >= menu * e.size:
             doubtful.append((e.begin, len(pieces), e.size if e.doubt == "form" else 0, e.holds and e.doubt == "form"))
         if e.name in BLOCK:
             pieces.append(("", False, False))
@@ -250,18 +254,20 @@ def _blocks(pieces: list[Piece]) -> str:
     return " ".join(b for b in out if b)
 
 
-def main_text(page: str | None, templates: set[int] | frozenset[int] = frozenset()) -> str:
+def main_text(page: str | None, templates: set[int] | frozenset[int] = frozenset(), common: set[int] | frozenset[int] | None = None) -> str:
     """The text of a page less its template subtrees and what is never part of an article.
 
-    A page with article or main elements has its text in them, and a template goes there as it does outside, but never
-    the element itself. A subtree outside is a template only where it holds less than half of the text of the page, and
+    A page with article or main elements has its text in them. There only the subtrees in `common` are templates (all
+    templates if it is None), and those that are in doubt by their class; the article or main element itself never is. A
+    subtree outside is a template only where it holds less than half of the text of the page, and
     those inside go only if all of them hold less than half of the text inside, as the page is a copy otherwise.
     """
     pieces, subtrees = segments(page or "")
     has_main = any(m and f.strip() for f, d, m in pieces if not d)
     if templates:
         total = sum(len(f) for f, d, _ in pieces if not d)
-        found = [(begin, end, inside) for h, begin, end, size, inside in subtrees if h in templates and (inside or 2 * size < total)]
+        surely = templates if common is None else common
+        found = [(begin, end, inside) for h, begin, end, size, inside, doubt in subtrees if (h in templates if doubt or not inside else h in surely) and (inside or 2 * size < total)]
         gone = _covered([(i, j) for i, j, inside in found if not inside], len(pieces))
         inner = _covered([(i, j) for i, j, inside in found if inside], len(pieces))
         if inner is not None:
@@ -281,7 +287,8 @@ def host_of(url: str) -> Column:
 
 
 def template_subtrees(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = 5, min_share: float = 0.2) -> DataFrame:
-    """host, subtree of the element subtrees on min_pages and min_share of their host's pages, or more.
+    """host, subtree and common (on most pages of the host) of the element subtrees on min_pages and min_share of their
+    host's pages, or more.
 
     Each page counts a subtree once, inside of article and main elements as well; hashes are summed on the map side.
     """
@@ -298,22 +305,25 @@ def template_subtrees(pages: DataFrame, url_col: str = "url", html_col: str = "h
     rows = pages.select(host_of(url_col).alias("host"), F.col(html_col).cast("string").alias("html"))
     totals = rows.groupBy(F.col("host").alias("of")).agg(F.count(F.lit(1)).alias("host_pages"))
     counts = rows.transform(in_arrow, hashes, "host string, subtree bigint").groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    return counts.join(totals, F.col("host").eqNullSafe(F.col("of"))).where(F.col("n") >= F.lit(min_share) * F.col("host_pages")).select("host", "subtree")
+    return counts.join(totals, F.col("host").eqNullSafe(F.col("of"))).where(F.col("n") >= F.lit(min_share) * F.col("host_pages")).select("host", "subtree", (2 * F.col("n") > F.col("host_pages")).alias("common"))
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id_col, url_col and text for every row of pages; null and empty pages have the empty text.
 
-    Pages without a host form a group of their own. The templates of a host travel as one array, bounded by the share
+    A subtree is a template outside of article and main elements if it is on a fifth of its host's pages; inside, where a
+    passage may well stand on some pages, only if it is on most of them, or if its class leaves in doubt what it is.
+    Pages without a host form a group of their own; repeated rows are pages of their own. A page is in memory whole, with
+    its pieces; time grows with its length only. The templates of a host travel as one array, bounded by the share
     of pages that each must be on; they are broadcast up to a checked size and joined beyond it.
     """
-    lists = checkpoint(template_subtrees(pages, url_col, html_col).groupBy("host").agg(F.collect_list("subtree").alias("_templates")).withColumnRenamed("host", "_host"))
+    lists = checkpoint(template_subtrees(pages, url_col, html_col).groupBy("host").agg(F.collect_list("subtree").alias("_templates"), F.collect_list(F.when(F.col("common"), F.col("subtree"))).alias("_common")).withColumnRenamed("host", "_host"))
     rows = pages.select(id_col, url_col, F.col(html_col).cast("string").alias("_html"), host_of(url_col).alias("_of"))
-    rows = rows.join(broadcast_up_to(lists, 8 * F.size("_templates") + 64), F.col("_of").eqNullSafe(F.col("_host")), "left").select(id_col, url_col, "_html", "_templates")
+    rows = rows.join(broadcast_up_to(lists, 8 * F.size("_templates") + 8 * F.size("_common") + 64), F.col("_of").eqNullSafe(F.col("_host")), "left").select(id_col, url_col, "_html", "_templates", "_common")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(page.as_py(), frozenset(t.as_py() or ())) for page, t in zip(b.column(2), b.column(3), strict=True)]
+            texts = [main_text(page.as_py(), frozenset(t.as_py() or ()), frozenset(c.as_py() or ())) for page, t, c in zip(b.column(2), b.column(3), b.column(4), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], [*b.schema.names[:2], "text"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:2])
