@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visgauge.llm.common import broadcast_up_to, close_pairs, in_arrow, slices, whole_groups
+from visgauge.llm.common import broadcast_up_to, checkpoint, close_pairs, in_arrow, slices, whole_groups
 
 #: So many common shingles of two prefixes are asked for, where the texts have as many.
 COMMON = 4
@@ -56,7 +56,8 @@ def _frequent(texts: DataFrame, words: int, one_of: int = 16, least: int = 4, mo
 
 
 def _prefixes(words: int, similarity: float, keys: np.ndarray, counts: np.ndarray, block_rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For each text its number of shingles and the lists that it is in, with its side there: 2 meets all, 0 and 1 each other."""
+    """For each text its number of shingles and the lists that it is in, with its side there: 0 and 1 meet each other, 2
+    meets all of its block, 3 all of a list that isn't cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -71,7 +72,7 @@ def _prefixes(words: int, similarity: float, keys: np.ndarray, counts: np.ndarra
                 needed = int(_needed(len(h), similarity))
                 order = order[: len(h) - needed + min(COMMON, needed)]
                 hot = seen[order] > block_rows
-                own, side = [h[order][~hot]], [np.full(int((~hot).sum()), 2, np.int8)]
+                own, side = [h[order][~hot]], [np.full(int((~hot).sum()), 3, np.int8)]
                 for value, n in zip(h[order][hot], seen[order][hot].tolist(), strict=True):
                     k = -(-n // block_rows)
                     blk = int(_mix(np.array([row], np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[0] % np.uint64(k))
@@ -107,9 +108,10 @@ def _share_lists(similarity: float, at_once: int = 1 << 19) -> Callable[[Iterato
             sizes = sizes[sizes > 1]
             if not len(sizes):
                 continue
-            row, n, side, root = (t.column(c).to_numpy() for c in ("row", "n", "side", "root"))
+            row, n, free, side, root = (t.column(c).to_numpy() for c in ("row", "n", "free", "side", "root"))
             for a, b in close_pairs(np.cumsum(sizes) - sizes, len(row)):
-                good = (root[a] != root[b]) & ((side[a] != side[b]) | (side[a] == 2))
+                good = (root[a] != root[b]) & ((side[a] != side[b]) | (side[a] >= 2))
+                good &= (1 + similarity) * np.minimum(free[a], free[b]) >= similarity * (n[a].astype(np.int64) + n[b]) - 1e-6
                 a, b = a[good], b[good]
                 low, high = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
                 good = low >= _needed(high, similarity)
@@ -131,13 +133,20 @@ def sharing_pairs(texts: DataFrame, roots: DataFrame, words: int, similarity: fl
     texts: row bigint and text; roots: node, root of the rows that were linked before, all others being their own root.
     In one order of all shingles, frequent ones last, two sets of the similarity share their first few common shingles
     within the prefixes of both, so rows meet in the lists of these. Pairs with too few common shingles in the prefixes
-    can't reach the similarity, nor can those of too different sizes. Lists of more than block_rows rows, as estimated,
+    can't reach the similarity, nor can those of too different sizes. A shingle that is alone in its list is in no other
+    text, so a text has at most its others in common with any: texts too many of whose shingles are alone go before the
+    lists are shuffled to form pairs, and pairs with too few others left aren't formed. Lists of more than block_rows rows, as estimated,
     are cut into blocks that meet in pairs.
     """
     keys, counts = _frequent(texts, words)
     rows = texts.select("row", "text").transform(in_arrow, _prefixes(words, similarity, keys, counts, block_rows), "row bigint, n int, cells array<bigint>, sides array<tinyint>")
+    whole = rows.select("row", "n", F.explode(F.arrays_zip("cells", "sides")).alias("at")).where("at.sides = 3").select(F.col("at.cells").alias("cell"), "row", "n")
+    single = whole.groupBy("cell").agg(F.count(F.lit(1)).alias("_in"), F.min(F.struct("row", "n")).alias("_of")).where("_in = 1")
+    alone = checkpoint(single.groupBy("_of.row", "_of.n").agg(F.count(F.lit(1)).cast("int").alias("alone")).where((1 + similarity) * F.col("alone") > (1 - similarity) * F.col("n")).select("row", "alone"))
     linked = roots.where("node <> root").select(F.col("node").alias("row"), "root")
-    rows = rows.join(broadcast_up_to(linked, F.lit(32)), "row", "left").select("row", "n", F.coalesce("root", "row").alias("root"), F.explode(F.arrays_zip("cells", "sides")).alias("at"))
-    lists = rows.select(F.col("at.cells").alias("cell"), F.col("at.sides").alias("side"), "row", "n", "root").repartition("cell").sortWithinPartitions("cell")
+    free = F.col("n") - F.coalesce("alone", F.lit(0))
+    rows = rows.join(broadcast_up_to(alone, F.lit(32)), "row", "left").withColumn("free", free).where(F.col("free") >= similarity * F.col("n") - 1e-6)
+    rows = rows.join(broadcast_up_to(linked, F.lit(32)), "row", "left").select("row", "n", "free", F.coalesce("root", "row").alias("root"), F.explode(F.arrays_zip("cells", "sides")).alias("at"))
+    lists = rows.select(F.col("at.cells").alias("cell"), F.col("at.sides").alias("side"), "row", "n", "free", "root").repartition("cell").sortWithinPartitions("cell")
     shared = lists.transform(in_arrow, _share_lists(similarity), "u bigint, v bigint, needed int").groupBy("u", "v").agg(F.count(F.lit(1)).alias("n"), F.max("needed").alias("needed"))
     return shared.where("n >= needed").select("u", "v")
