@@ -8,6 +8,7 @@ import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -418,3 +419,20 @@ def test_repeated_pages_and_many_of_one_host(spark):
     rows = [(1, "http://a.example/1", page)] * 7 + [(2, None, page), (3, "", None), (None, "http://a.example/2", "")]
     found = extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert sorted((r.page_id or 0, r.text) for r in found) == sorted([(1, "the same page")] * 7 + [(2, "the same page"), (3, ""), (0, "")])
+
+
+@pytest.mark.parametrize("limit", ["64m", "64MB", "4096", None])
+def test_any_notation_of_the_byte_limit(spark, limit):
+    """A limit that the session names is left alone, and batches are cut where they arrive."""
+    from visgauge.llm.common import in_arrow
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.unset(key) if limit is None else spark.conf.set(key, limit)
+    try:
+        sizes = in_arrow(spark.range(0, 20_000, 1, 1), lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches), "n bigint", batch_bytes=8000)
+        found = [r.n for r in sizes.collect()]
+        assert sum(found) == 20_000 and max(found) <= 1024
+        assert spark.conf.get(key) == (limit or "8000")
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
