@@ -80,7 +80,7 @@ def coco_results(predictions: DataFrame, categories: DataFrame) -> DataFrame:
     known = categories.select(F.col("id").alias("category_id"), normalize_text(F.col("name")).alias("_name"))
     df = predictions.join(known, normalize_text(F.col("class_name")) == F.col("_name"), "left")
     b = F.col("box")
-    good = F.coalesce((F.size(b) == 4) & F.forall(b, lambda x: x.isNotNull() & ~F.isnan(x)), F.lit(False)) & F.coalesce(F.get(b, F.lit(2)) >= F.get(b, F.lit(0)), F.lit(False)) & F.coalesce(F.get(b, F.lit(3)) >= F.get(b, F.lit(1)), F.lit(False))
+    good = F.coalesce((F.size(b) == 4) & F.forall(b, lambda x: x.isNotNull() & ~F.isnan(x)), F.lit(False)) & F.coalesce(F.get(b, F.lit(2)) > F.get(b, F.lit(0)), F.lit(False)) & F.coalesce(F.get(b, F.lit(3)) > F.get(b, F.lit(1)), F.lit(False))
     skipped = F.when(F.col("category_id").isNull(), "unmapped_label").when(~good, "invalid_bbox")
     xywh = F.when(skipped.isNull(), F.transform(F.array(F.get(b, F.lit(0)), F.get(b, F.lit(1)), F.get(b, F.lit(2)) - F.get(b, F.lit(0)), F.get(b, F.lit(3)) - F.get(b, F.lit(1))), lambda x: F.round(x, 4)))
     return df.select("image_id", "category_id", xywh.alias("bbox"), "score", skipped.alias("skipped"))

@@ -14,6 +14,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from visgauge.functions.boxes import size_name
 from visgauge.functions.hashing import salted_order
 
 
@@ -116,3 +117,43 @@ def diverse_selection(df: DataFrame, key: str, group: str, score: str, tags: str
     classes.unpersist()
     schema = df.select(F.col(key).alias("_picked")).schema.add("rank", "integer")
     return df.join(df.sparkSession.createDataFrame(picks, schema), F.col(key) == F.col("_picked")).drop("_picked")
+
+
+def image_features(images: DataFrame, annotations: DataFrame, categories: DataFrame) -> DataFrame:
+    """image_id and the array features, `category:id` and `size:name`, of every image, as a split needs them.
+
+    images: id; annotations: image_id, category_id, area (null: 0); categories: id. An annotation of an image or a
+    category that isn't there, and an image without annotations, are errors, as is a table without images."""
+    ids, known = images.select(F.col("id").alias("image_id")).distinct(), categories.select(F.col("id").alias("category_id")).distinct()
+    for kind, lost in (("image", annotations.join(ids, "image_id", "left_anti").select("image_id")), ("category", annotations.join(F.broadcast(known), "category_id", "left_anti").select("category_id"))):
+        first = lost.first()
+        if first is not None:
+            raise ValueError(f"an annotation is of the unknown {kind} {first[0]}")
+    named = F.array(F.concat(F.lit("category:"), F.col("category_id")), F.concat(F.lit("size:"), size_name(F.coalesce(F.col("area").cast("double"), F.lit(0.0)))))
+    found = annotations.select("image_id", F.explode(named).alias("f")).groupBy("image_id").agg(F.array_sort(F.collect_set("f")).alias("features"))
+    out = ids.join(found, "image_id", "left")
+    empty = [r[0] for r in out.where("features is null").orderBy("image_id").select("image_id").limit(10).collect()]
+    if empty:
+        raise ValueError(f"images without annotations: {empty}")
+    if out.isEmpty():
+        raise ValueError("there are no images")
+    return out
+
+
+def split_by_source(df: DataFrame, key: str, source: str, tags: str, categories: str, dev_share: float, salt: str) -> DataFrame:
+    """df with split: for each source, a share of its rows (rounded, at least one on either side) in dev, balanced over
+    difficulty tags and categories, singletons not protected. Sources are few; one with fewer than two rows is an error."""
+    if not 0 < dev_share < 1:
+        raise ValueError("dev_share lies between 0 and 1")
+    prefixed = lambda c, p: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.concat(F.lit(p), x))
+    rows = df.withColumn("_features", F.concat(prefixed(F.col(tags), "tag:"), prefixed(F.col(categories), "category:")))
+    out = None
+    for r in rows.groupBy(source).agg(F.count(F.lit(1)).alias("n")).orderBy(source).collect():
+        if r["n"] < 2:
+            raise ValueError(f"source {r[source]} has fewer than two rows")
+        size = min(r["n"] - 1, max(1, round(r["n"] * dev_share)))
+        part = multilabel_split(rows.where(F.col(source).eqNullSafe(r[source])), key, "_features", size, f"{salt}:{r[source]}", protect_singletons=False)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return df.withColumn("split", F.lit(None).cast("string"))
+    return out.drop("_features")
