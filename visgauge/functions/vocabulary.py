@@ -44,10 +44,17 @@ RELATION_PHRASES = {
 
 # Predicates of scene graphs that name one of these relations.
 PREDICATES = {
-    "above": "above", "below": "below",
-    "left": "to the left of", "left of": "to the left of", "on left of": "to the left of", "to the left of": "to the left of",
-    "right": "to the right of", "right of": "to the right of", "on right of": "to the right of", "to the right of": "to the right of",
-}
+    "above": "above",
+    "below": "below",
+    "left": "to the left of",
+    "left of": "to the left of",
+    "on left of": "to the left of",
+    "right": "to the right of",
+    "right of": "to the right of",
+    "on right of": "to the right of",
+    "to the left of": "to the left of",
+    "to the right of": "to the right of",
+}
 
 # Weights of the difficulty tags.
 DIFFICULTY_WEIGHTS = {
