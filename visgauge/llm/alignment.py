@@ -21,8 +21,8 @@ from visgauge.llm.bpe import Vocabulary, concatenate_tree, leaves
 from visgauge.llm.common import in_arrow, shared_folder
 
 #: White space by Unicode, and the sign that pieces have for a blank.
-SPACES = "\t\n\x0b\x0c\r \x85\xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　▁"
-BLANK = "▁"
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\u2581"
+BLANK = "\u2581"
 
 
 class Plain(Vocabulary):
