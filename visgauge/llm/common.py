@@ -49,6 +49,7 @@ def in_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Itera
             rows = max(1, b.num_rows * batch_bytes // max(1, b.nbytes))
             for i in range(0, b.num_rows, rows):
                 yield b.slice(i, rows)
+        pa.default_memory_pool().release_unused()  # workers live on, and the next stage's may not need what is held
 
     return df.mapInArrow(lambda batches: function(cut(batches)), schema)
 
