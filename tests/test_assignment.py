@@ -62,3 +62,20 @@ def test_same_result_again(spark):
     names, rows = made(5, 30, 2, 6)
     once, again = (sorted(map(tuple, balanced_negatives(spark.createDataFrame(rows, SCHEMA).repartition(n), names).collect())) for n in (1, 5))
     assert once == again
+
+
+def test_served_requests_are_not_written_again(spark, monkeypatch):
+    from visgauge.sources.folders import Steps
+
+    written, stored = [], Steps.stored
+
+    def counted(self, df):
+        out = stored(self, df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(Steps, "stored", counted)
+    names = [("g", f"n{k}") for k in range(6)]
+    rows = [(str(i), f"n{i % 6}", "g", [f"n{i % 6}", f"n{(i + 1) % 6}"]) for i in range(200)]
+    found = balanced_negatives(spark.createDataFrame(rows, "image string, positive string, group string, present array<string>"), names).collect()
+    assert len(found) == 200 and sum(written) <= 3 * 200
