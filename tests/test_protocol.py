@@ -232,3 +232,11 @@ def test_listing_policies_replayed(spark):
         assert got.keys() == want.keys() and len(got) == 6
         for k in want:
             assert got[k] == pytest.approx(want[k], abs=2e-6)
+
+
+def test_counts_of_marks_without_a_row_each(spark):
+    truth, found = boxes(9, 20)
+    t, p = spark.createDataFrame(truth, BOXES), spark.createDataFrame(found, FOUND)
+    marks = protocol.protocol_marks(t, p, "image", "category", protocol.box_overlap).groupBy("category", "area_name", "iou_at").agg(F.count(F.lit(1)), F.sum("hit"))
+    counts = protocol.protocol_counts(t, p, "image", "category", protocol.box_overlap)
+    assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, marks.collect())) and marks.count() > 20
