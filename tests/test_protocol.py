@@ -240,3 +240,9 @@ def test_counts_of_marks_without_a_row_each(spark):
     marks = protocol.protocol_marks(t, p, "image", "category", protocol.box_overlap).groupBy("category", "area_name", "iou_at").agg(F.count(F.lit(1)), F.sum("hit"))
     counts = protocol.protocol_counts(t, p, "image", "category", protocol.box_overlap)
     assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, marks.collect())) and marks.count() > 20
+
+
+def test_sweep_takes_its_hits_without_a_join(spark):
+    truth, found = boxes(10, 5)
+    t, p = spark.createDataFrame(truth, BOXES), spark.createDataFrame(found, FOUND)
+    assert "Join" not in protocol.taken(t, p, ["image", "category"], protocol.box_overlap, 0.5)._jdf.queryExecution().optimizedPlan().toString()
