@@ -122,6 +122,24 @@ def test_lists_cut_into_blocks_give_all_pairs(spark, block, monkeypatch):
     assert len(pairs) > 100 and pairs <= found
 
 
+def test_candidates_of_a_large_group_grow_with_its_rows(spark, monkeypatch):
+    """Of 240 copies of one text with a word or two changed, the most compared pairs are those below the similarity."""
+    rnd = random.Random(5)
+    base = prose(rnd, 120)
+    texts = [edited(rnd, base, 1 + i % 3) for i in range(240)]
+    asked, verified = [], simhash._verified
+
+    def counted(pairs, *rest):
+        asked.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "_verified", counted)
+    links = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if jaccard(texts[i], texts[j]) >= 0.8]
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOC)
+    assert {r.doc_id for r in simhash.keep_one_of_each(frame).collect()} == set(components(range(len(texts)), links).values())
+    assert sum(asked) < 20 * len(texts)
+
+
 @pytest.mark.parametrize("how", ["appended", "prepended", "replaced"])
 def test_near_copies_with_a_block_of_new_words(spark, how):
     rnd = random.Random(22)

@@ -37,6 +37,14 @@ def _needed(n: np.ndarray | int, similarity: float) -> np.ndarray:
     return np.maximum(np.ceil(similarity * np.asarray(n) - 1e-9), 1).astype(np.int64)
 
 
+def _common(n: np.ndarray, other: np.ndarray, similarity: float) -> np.ndarray:
+    """The least number of shingles that two sets of the similarity have in common within their prefixes: as many as both
+    must share, less what lies behind the prefix that ends first."""
+    behind = [needed - np.minimum(COMMON, needed) for needed in (_needed(n, similarity), _needed(other, similarity))]
+    both = np.ceil(similarity / (1 + similarity) * (n.astype(np.int64) + other) - 1e-6).astype(np.int64)
+    return np.maximum(both - np.maximum(*behind), 1)
+
+
 def _frequent(texts: DataFrame, words: int, one_of: int = 16, least: int = 4, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles, sorted, and their numbers of texts, estimated on one of so many texts.
 
@@ -98,7 +106,7 @@ def _share_lists(similarity: float, at_once: int = 1 << 19) -> Callable[[Iterato
         def out() -> pa.RecordBatch:
             u, v, n = (np.concatenate(x) for x in zip(*found, strict=True))
             found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(np.minimum(COMMON, _needed(n, similarity)).astype(np.int32))], ["u", "v", "needed"])
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(n.astype(np.int32))], ["u", "v", "needed"])
 
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         held = 0
@@ -116,7 +124,7 @@ def _share_lists(similarity: float, at_once: int = 1 << 19) -> Callable[[Iterato
                 low, high = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
                 good = low >= _needed(high, similarity)
                 if good.any():
-                    found.append((row[a[good]], row[b[good]], low[good]))
+                    found.append((row[a[good]], row[b[good]], _common(low[good], high[good], similarity)))
                     held += int(good.sum())
                     if held >= at_once:
                         yield out()
@@ -133,7 +141,7 @@ def sharing_pairs(texts: DataFrame, roots: DataFrame, words: int, similarity: fl
     texts: row bigint and text; roots: node, root of the rows that were linked before, all others being their own root.
     In one order of all shingles, frequent ones last, two sets of the similarity share their first few common shingles
     within the prefixes of both, so rows meet in the lists of these. Pairs with too few common shingles in the prefixes
-    can't reach the similarity, nor can those of too different sizes. A shingle that is alone in its list is in no other
+    for their two sizes can't reach the similarity, nor can those of too different sizes. A shingle that is alone in its list is in no other
     text, so a text has at most its others in common with any: texts too many of whose shingles are alone go before the
     lists are shuffled to form pairs, and pairs with too few others left aren't formed. Lists of more than block_rows rows, as estimated,
     are cut into blocks that meet in pairs.

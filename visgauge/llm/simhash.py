@@ -208,6 +208,28 @@ def _similar(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     return run
 
 
+def _few_of_each(links: DataFrame, most: int = 8) -> DataFrame:
+    """The distinct pairs u < v of links that one of the two nodes chose: each chooses at most so many partners, of those
+    of a remainder of their hashes the one with most links to it."""
+    pairs = links.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    ends = pairs.select("n", F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("n", "e.*")
+    chosen = ends.groupBy("u", F.pmod(F.xxhash64("v"), F.lit(most)).alias("k")).agg(F.max(F.struct("n", "v"))["v"].alias("v"))
+    return chosen.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def _joined_further(roots: DataFrame, pairs: DataFrame, texts: DataFrame, words: int, similarity: float, large: int = 64) -> DataFrame:
+    """roots, with what else is similar to groups of more than `large` rows: of each of these about so many rows, and all
+    other rows of pairs, go through sharing_pairs. What is joined here forms no pairs with the whole group later."""
+    sizes = checkpoint(roots.groupBy("root").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > large))
+    if sizes.isEmpty():
+        return roots
+    left_out = roots.join(broadcast_up_to(sizes, F.lit(16)), "root").where(F.pmod(F.xxhash64("node"), F.ceil(F.col("_n") / large)) != 0).select(F.col("node").alias("row"))
+    tried = checkpoint(pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct().join(left_out, "row", "left_anti"))
+    some = texts.join(broadcast_up_to(tried, F.lit(16)), "row", "left_semi")
+    more = checkpoint(sharing_pairs(some, roots, words, similarity))
+    return connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(_verified(more, texts, words, similarity)))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs u, v whose texts reach the similarity, stored, so that one Python function at a time runs beside the sets."""
     asked = checkpoint(pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct())
@@ -221,8 +243,8 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Two texts are near-duplicates if the sets of their shingles of `words` words have a Jaccard similarity of at least
     similarity; groups are connected components. First candidates are pairs whose fingerprints of single words are
-    within radius for one of several seeds, which join most of a group at once. Prefix filtering then gives all other
-    pairs that can reach the similarity, less those of one group. Every candidate is compared exactly, so no pair is
+    within radius for one of several seeds, a few of each text, which join most of a group at once; a part of each large
+    group then joins more. Prefix filtering gives all other pairs that can reach the similarity, less those of one group. Every candidate is compared exactly, so no pair is
     missed. Texts with the same words in the same order form one class first and never form pairs. Null texts and texts
     without words are copies of each other. Null ids count as greater than all others; equal ids: any one row stays.
     """
@@ -232,8 +254,9 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     hashed = texts.transform(in_arrow, _word_prints(tables), "row bigint, k1 bigint, k2 bigint, prints array<bigint>").join(ids, "row")
     classes = checkpoint(hashed.groupBy("k1", "k2").agg(F.min(F.struct("id", "row")).alias("least"), F.first("prints").alias("prints")).select("least.*", "prints"))
     prints = classes.select(F.col("row").alias("node"), F.posexplode("prints").alias("tbl", "fp"))
-    pairs = checkpoint(link_fingerprints(prints, radius).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    pairs = checkpoint(_few_of_each(link_fingerprints(prints, radius)))
     roots = checkpoint(connected_components(_verified(pairs, texts, words, similarity)))
+    roots = checkpoint(_joined_further(roots, pairs, texts, words, similarity))
     copies = checkpoint(ids.join(classes.select("row"), "row", "left_anti").select("row"))
     firsts = texts.join(broadcast_up_to(copies, F.lit(16)), "row", "left_anti")
     more = checkpoint(sharing_pairs(firsts, roots, words, similarity))
