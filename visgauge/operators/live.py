@@ -76,9 +76,10 @@ def coco_results(predictions: DataFrame, categories: DataFrame) -> DataFrame:
 
     predictions: image_id, class_name, box (corners), score. skipped is null for a result, `unmapped_label` where no
     category has that name, and `invalid_bbox` where the box isn't four numbers that span an area from its first corner.
+    The categories, a vocabulary, are sent to the tasks: names are few, so that rows would meet by name in a few of them.
     """
     known = categories.select(F.col("id").alias("category_id"), normalize_text(F.col("name")).alias("_name"))
-    df = predictions.join(known, normalize_text(F.col("class_name")) == F.col("_name"), "left")
+    df = predictions.join(F.broadcast(known), normalize_text(F.col("class_name")) == F.col("_name"), "left")
     b = F.col("box")
     good = F.coalesce((F.size(b) == 4) & F.forall(b, lambda x: x.isNotNull() & ~F.isnan(x)), F.lit(False)) & F.coalesce(F.get(b, F.lit(2)) > F.get(b, F.lit(0)), F.lit(False)) & F.coalesce(F.get(b, F.lit(3)) > F.get(b, F.lit(1)), F.lit(False))
     skipped = F.when(F.col("category_id").isNull(), "unmapped_label").when(~good, "invalid_bbox")

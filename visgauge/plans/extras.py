@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from visgauge.operators import candidates, datasets, live, questions, review, selection
+from visgauge.operators.spread import partitions
 from visgauge.plans.boxes import _GREEDY, lines
 from visgauge.plans.choices import _difficulty
 from visgauge.plans.registry import Tables, query
@@ -126,6 +127,7 @@ def coco_results(t: Tables) -> DataFrame:
     categories = t.spark.createDataFrame([(1, "A"), (2, "N")], "id int, name string")
     x2 = F.when(F.col("l_tax") > 0.06, F.col("l_quantity") - 1).otherwise(F.col("l_quantity") + 10)
     found = t.lineitem.select(F.col("l_orderkey").alias("image_id"), F.col("l_returnflag").alias("class_name"), F.array(F.col("l_quantity"), F.lit(0.0), x2, F.lit(5.0)).alias("box"), F.col("l_discount").alias("score"))
+    found = found.repartition(partitions(t.lineitem), "image_id")  # groups are nearly as many as rows
     return live.coco_results(found, categories).groupBy("image_id", "category_id", F.get("bbox", F.lit(2)).alias("width"), "skipped").agg(F.count(F.lit(1)).alias("n"))
 
 
