@@ -7,10 +7,11 @@ import re
 import pytest
 
 from visgauge.operators.spread import partitions
-from visgauge.plans import extras
+from visgauge.plans import extras, protocol
 from visgauge.plans.queries import QUERIES
 
 CASES = [
+    (protocol, "listing_sweep"),
     (extras, "coco_results"),
 ]
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from visgauge.functions.stats import ratio
+from visgauge.operators.spread import partitions
 
 #: What is summed up over images: the parts of a listing's score, and whether it is answered at all.
 PARTS = ("precision", "recall", "f1", "exact", "answered", "answered_exact")
@@ -23,7 +24,7 @@ def _level(value: Column, steps: list[float | None]) -> Column:
     return sum(reached[1:], reached[0]) - 1
 
 
-def sweep_listings(evidence: DataFrame, targets: DataFrame, image: str, category: str, wanted: str, axes: dict[str, list[float | None]]) -> DataFrame:
+def sweep_listings(evidence: DataFrame, targets: DataFrame, image: str, category: str, wanted: str, axes: dict[str, list[float | None]], parts: int | None = None) -> DataFrame:
     """Scores of listing answers for all candidates of the grid of axes: the columns of axes, images, answered, coverage,
     precision, recall, f1, exact (means over all images), selective_f1 and selective_exact (means over the answered).
 
@@ -35,7 +36,8 @@ def sweep_listings(evidence: DataFrame, targets: DataFrame, image: str, category
     The first axis is swept, not tried: with all other thresholds fixed, a category enters an image's answer at its best
     value and stays. So an image's scores change at its entries alone; the changes are summed up by threshold, and the
     running sums from the highest threshold down are the totals of every candidate. What is shuffled grows with the
-    entries (times the cells of the other axes that they reach), not with images times candidates.
+    evidence, not with images times candidates: an image's evidence and target meet once, in one of so many parts (None: by
+    the rows of evidence), and its entries (times the cells of the other axes that they reach) stay there.
     """
     steps = {a: _thresholds(v) for a, v in axes.items()}
     swept, *others = steps
@@ -43,14 +45,15 @@ def sweep_listings(evidence: DataFrame, targets: DataFrame, image: str, category
         if a in (image, category):
             raise ValueError(f"{a} can't name an axis and a key")
     rows = evidence.select(F.col(image).alias("_image"), F.col(category).alias("_category"), *[_level(F.col(a), s).alias(f"_{k}") for k, (a, s) in enumerate(steps.items())])
-    rows = rows.where(" and ".join(f"_{k} >= 0" for k in range(len(steps))))
+    parts = parts or partitions(evidence)
+    rows = rows.where(" and ".join(f"_{k} >= 0" for k in range(len(steps)))).repartition(parts, "_image")
     rows = rows.groupBy("_image", "_category", *[f"_{k}" for k in range(1, len(steps))]).agg(F.max("_0").alias("_0"))
     for k in range(1, len(steps)):  # a piece counts in its own cell and in those of all lower thresholds
         rows = rows.withColumn(f"_{k}", F.explode(F.sequence(F.lit(0), F.col(f"_{k}"))))
     cell = [f"_{k}" for k in range(1, len(steps))]
     entries = rows.groupBy("_image", "_category", *cell).agg(F.max("_0").alias("_0"))
     goal = targets.select(F.col(image).alias("_image"), F.array_distinct(F.coalesce(wanted, F.array().cast("array<string>"))).alias("_wanted"))
-    marked = entries.join(goal, "_image").withColumn("_hit", F.array_contains("_wanted", F.col("_category")).cast("int"))
+    marked = entries.join(goal.repartition(parts, "_image"), "_image").withColumn("_hit", F.array_contains("_wanted", F.col("_category")).cast("int"))
     at = marked.groupBy("_image", *cell, "_0").agg(F.count(F.lit(1)).alias("_n"), F.sum("_hit").alias("_hits"), F.first(F.size("_wanted")).alias("_m"))
     down = W.partitionBy("_image", *cell).orderBy(F.desc("_0"))
     n, hits, m = (F.sum("_n").over(down), F.sum("_hits").over(down), F.col("_m"))
