@@ -7,11 +7,12 @@ import re
 import pytest
 
 from visgauge.operators.spread import partitions
-from visgauge.plans import extras, protocol
+from visgauge.plans import boxes, extras, protocol
 from visgauge.plans.queries import QUERIES
 
 CASES = [
     (protocol, "listing_sweep"),
+    (boxes, "box_iou_pairs"),
     (extras, "coco_results"),
 ]
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from visgauge.functions import boxes as b
 from visgauge.operators import detection, policy
 from visgauge.operators.ranking import top_k
+from visgauge.operators.spread import partitions
 from visgauge.plans.registry import Tables, query
 
 _BOXES = """
@@ -17,10 +18,12 @@ _BOXES = """
     b AS (SELECT *, [x, y, x + w, y + h] AS box FROM l)"""
 
 
-def lines(t: Tables) -> DataFrame:
+def lines(t: Tables, parts: int | None = None) -> DataFrame:
+    """The boxes; with parts, an image's rows are in one of so many partitions."""
     order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     xywh = F.array(F.col("l_quantity"), F.col("l_discount") * 500, 10 + F.col("l_tax") * 200, F.lit(20.0))
-    rows = t.lineitem.select(
+    table = t.lineitem if parts is None else t.lineitem.repartition(parts, "l_orderkey")
+    rows = table.select(
         F.col("l_orderkey").alias("image"), F.row_number().over(order).cast("long").alias("idx"), F.col("l_returnflag").alias("category"), F.col("l_linestatus").alias("side"),
         (F.col("l_extendedprice") / 110000).alias("score"), b.corners(xywh).alias("box"),
     )
@@ -36,9 +39,11 @@ def box_areas(t: Tables) -> DataFrame:
     i AS (SELECT image, one, two, greatest(least(p[3], q[3]) - greatest(p[1], q[1]), 0) * greatest(least(p[4], q[4]) - greatest(p[2], q[2]), 0) AS common, (p[3] - p[1]) * (p[4] - p[2]) + (q[3] - q[1]) * (q[4] - q[2]) AS areas FROM p)
     SELECT image, one, two, round(common / (areas - common), 6) AS iou FROM i WHERE common > 0""")
 def box_iou_pairs(t: Tables) -> DataFrame:
-    rows = lines(t)
-    p, q = rows.select("image", F.col("idx").alias("one"), F.col("box").alias("p")), rows.select("image", F.col("idx").alias("two"), F.col("box").alias("q"))
-    pairs = p.join(q, "image").where("one < two").withColumn("iou", b.iou(F.col("p"), F.col("q"))).where("iou > 0")
+    rows = lines(t, partitions(t.lineitem))
+    side = lambda n, at: rows.select("image", F.col("idx").alias(at), *[F.col("box")[i].alias(f"{n}{i}") for i in range(4)], b.area(F.col("box")).alias(f"{n}_area"))
+    # plain numbers, of which most pairs need comparisons only: boxes that overlap have a common area
+    pairs = side("p", "one").join(side("q", "two"), "image").where("one < two and p0 < q2 and q0 < p2 and p1 < q3 and q1 < p3")
+    pairs = pairs.withColumn("common", F.expr("(least(p2, q2) - greatest(p0, q0)) * (least(p3, q3) - greatest(p1, q1))")).withColumn("iou", F.col("common") / (F.col("p_area") + F.col("q_area") - F.col("common"))).where("iou > 0")
     return pairs.select("image", "one", "two", F.round("iou", 6).alias("iou"))
 
 
