@@ -14,6 +14,8 @@ CASES = [
     (protocol, "listing_sweep"),
     (boxes, "box_iou_pairs"),
     (extras, "coco_results"),
+    (extras, "image_candidates"),
+    (extras, "safe_relations"),
 ]
 
 

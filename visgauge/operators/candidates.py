@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from visgauge.functions.text import canonical_text
 from visgauge.operators.datasets import difficulty, tail_threshold
 from visgauge.operators.detection import largest_relation
+from visgauge.operators.spread import partitions
 
 
 def surface_name(names: Column, name: Column) -> Column:
@@ -42,34 +43,37 @@ def instance_rules(entities: DataFrame, image: str = "image") -> DataFrame:
     return ranked.select(image, "entity", "category", F.when(F.col("_n") == 1, "unique_category").when(largest, "largest_instance").alias("rule"))
 
 
-def safe_relations(entities: DataFrame, relations: DataFrame, image: str = "image") -> DataFrame:
+def safe_relations(entities: DataFrame, relations: DataFrame, image: str = "image", parts: int | None = None) -> DataFrame:
     """image, subject, predicate, object with subject_category, object_category, subject_rule and object_rule, of the
     relations between two categories of which both ends are beyond doubt: a name alone tells which entity is meant.
 
     relations: image, subject, predicate, object (entities); repeated ones count once. Ends that are no entity, and
-    relations within one category, are left out.
+    relations within one category, are left out. Rows are dealt to so many parts (None: by the rows of entities).
     """
-    rules = instance_rules(entities, image)
-    out = relations.select(image, "subject", "predicate", "object").where("predicate is not null").distinct()
+    parts = parts or partitions(entities)
+    rules = instance_rules(entities.repartition(parts, image), image)
+    out = relations.select(image, "subject", "predicate", "object").where("predicate is not null").repartition(parts, image).distinct()
     for role in ("subject", "object"):
         ends = rules.select(image, F.col("entity").alias(role), F.col("category").alias(f"{role}_category"), F.col("rule").alias(f"{role}_rule"))
-        out = out.join(ends, [image, role])
+        out = out.repartition(parts, image, role).join(ends.repartition(parts, image, role), [image, role])
     return out.where("subject_category <> object_category and subject_rule is not null and object_rule is not null")
 
 
-def image_candidates(objects: DataFrame, relations: DataFrame, image: str = "image", share: float = 0.2) -> DataFrame:
+def image_candidates(objects: DataFrame, relations: DataFrame, image: str = "image", share: float = 0.2, parts: int | None = None) -> DataFrame:
     """image, categories, n_objects, n_relations, tags and score of the images that have a relation.
 
     objects: image, category, area (a share of the image), occluded, truncated, group_of; relations: image. A category is
-    of the tail if no more images hold it than the least frequent share of categories reach.
+    of the tail if no more images hold it than the least frequent share of categories reach. An image's rows meet once, in
+    one of so many parts (None: by the rows of objects); the categories, a vocabulary, are sent to the tasks.
     """
-    linked = relations.groupBy(image).agg(F.count(F.lit(1)).alias("n_relations"))
-    here = objects.join(linked.select(image), image, "left_semi")
-    held = here.groupBy("category").agg(F.count_distinct(image).alias("_images"))
+    parts = parts or partitions(objects)
+    linked = relations.repartition(parts, image).groupBy(image).agg(F.count(F.lit(1)).alias("n_relations"))
+    here = objects.repartition(parts, image).join(linked.select(image), image, "left_semi")
+    held = here.select(image, "category").distinct().groupBy("category").agg(F.count(F.lit(1)).alias("_images"))
     rare = held.crossJoin(tail_threshold(held, "_images", share)).select("category", (F.col("_images") <= F.col("threshold")).alias("_rare"))
     kinds = here.groupBy(image, "category").agg(
         F.count(F.lit(1)).alias("n"), F.min("area").alias("a"), *[F.bool_or(F.coalesce(F.col(c), F.lit(False))).alias(c) for c in ("occluded", "truncated", "group_of")]
-    ).join(rare, "category")
+    ).join(F.broadcast(rare), "category")
     each = kinds.groupBy(image).agg(
         F.array_sort(F.collect_set("category")).alias("categories"), F.min("a").alias("min_area"), F.bool_or("occluded").alias("occluded"), F.bool_or("truncated").alias("truncated"), F.bool_or("group_of").alias("group_of"),
         F.sum("n").alias("n_objects"), F.max("n").alias("max_per_category"), F.count(F.lit(1)).alias("n_categories"), F.bool_or("_rare").alias("rare"),

@@ -159,10 +159,11 @@ def diverse_selection(t: Tables) -> DataFrame:
 def safe_relations(t: Tables) -> DataFrame:
     """Each line of an order is left of the next one."""
     quantity = F.element_at("box", 1)
-    entities = lines(t).select("image", F.col("idx").alias("entity"), "category", quantity.alias("area"))
+    parts = partitions(t.lineitem)
+    entities = lines(t, parts).select("image", F.col("idx").alias("entity"), "category", quantity.alias("area"))
     last = entities.groupBy("image").agg(F.max("entity").alias("m"))
     relations = entities.join(last, "image").where("entity < m").select("image", F.col("entity").alias("subject"), F.lit("to the left of").alias("predicate"), (F.col("entity") + 1).alias("object"))
-    return candidates.safe_relations(entities, relations).select("image", "subject", "predicate", "object", "subject_rule", "object_rule")
+    return candidates.safe_relations(entities, relations, parts=parts).select("image", "subject", "predicate", "object", "subject_rule", "object_rule")
 
 
 @query("""
@@ -179,9 +180,11 @@ def safe_relations(t: Tables) -> DataFrame:
     SELECT image, array_to_string(categories, ';') AS categories, n_objects, n_relations, array_to_string(list_transform(g, lambda v: v.n), ';') AS tags, list_sum(list_transform(g, lambda v: v.w))::DOUBLE AS score FROM w""")
 def image_candidates(t: Tables) -> DataFrame:
     """An order is an image with a relation if it is finished; the types of its parts are the categories."""
-    named = t.lineitem.join(t.part.select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    parts = partitions(t.lineitem)
+    lines = t.lineitem.select("l_orderkey", "l_partkey", "l_quantity", "l_returnflag", "l_tax", "l_discount").repartition(parts, "l_partkey")
+    named = lines.join(t.part.select("p_partkey", "p_type").repartition(parts, "p_partkey"), F.col("l_partkey") == F.col("p_partkey"))
     objects = named.select(F.col("l_orderkey").alias("image"), F.col("p_type").alias("category"), (F.col("l_quantity") / 1000).alias("area"), (F.col("l_returnflag") == "R").alias("occluded"), (F.col("l_tax") > 0.07).alias("truncated"), (F.col("l_discount") > 0.095).alias("group_of"))
-    found = candidates.image_candidates(objects, t.orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("image")))
+    found = candidates.image_candidates(objects, t.orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("image")), parts=parts)
     return found.withColumns({"categories": F.array_join("categories", ";"), "tags": F.array_join("tags", ";")})
 
 
