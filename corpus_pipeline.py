@@ -46,7 +46,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each document, their number and digest, and the digest of the text that they decode to."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    texts = bpe.decode(bpe.encode(docs, path), path)
+    texts = bpe.encode(docs, path, decoded=True)
     return texts.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", bpe.ids_digest(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

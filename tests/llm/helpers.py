@@ -50,3 +50,23 @@ def corpus(seed: int, n: int = 60) -> list[tuple]:
     texts += [texts[0], texts[1], edited(rnd, texts[2], 1), edited(rnd, texts[3], 2), texts[4] + " " + texts[5], "", None, "one", prose(rnd, 4000), texts[6].upper()]
     rnd.shuffle(texts)
     return [(i, t, rnd.choice(["en", "fr", None]), rnd.choice(["s0", "s1", None]), len(t or "")) for i, t in enumerate(texts)]
+
+
+def python_at_once(df) -> int:
+    """The most Python functions that one task of the plan of df runs side by side, each in a worker of its own."""
+    most = 0
+
+    def own(plan) -> int:
+        nonlocal most
+        name = plan.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            return own(plan.initialPlan())
+        below = [own(plan.children().apply(i)) for i in range(plan.children().size())]
+        if "Exchange" in name:
+            return 0
+        n = (max(below, default=0) if name == "Union" else sum(below)) + ("InArrow" in name)
+        most = max(most, n)
+        return n
+
+    own(df._jdf.queryExecution().executedPlan())
+    return most

@@ -11,10 +11,10 @@ from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
-from tests.llm.helpers import DOC, components, edited, prose
+from tests.llm.helpers import DOC, components, edited, prose, python_at_once
 from tests.llm.test_pairs import jaccard
 from tests.llm.test_texts import LANGUAGES, plain_similarity
-from visgauge.llm.decontaminate import words_of
+from visgauge.llm.decontaminate import decontaminate, words_of
 
 
 @pytest.fixture(scope="module")
@@ -62,6 +62,16 @@ def test_stages_keep_extra_columns_and_empty_tables(spark, folder):
         assert stage(spark, odd.limit(0), path).count() == 0, name
 
 
+def test_one_python_worker_of_a_task(spark, folder):
+    path, rows, items = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    for df in (corpus_pipeline.bpe_encoding(spark, docs, path), __spark_entry__.queries()["op2_bpe"](spark, path)):
+        assert python_at_once(df) == 1
+    kept = decontaminate(docs, spark.read.parquet(f"{path}/benchmark.parquet"), items_at_once=2)
+    assert python_at_once(kept) == 1
+    assert {r.doc_id for r in kept.collect()} == {i for i, t, *_ in rows if all(plain_similarity(words_of(t), words_of(item)) < 0.8 for item in items)}
+
+
 def test_every_operator_has_a_query():
     names = __spark_entry__.queries()
     assert [n for n in range(1, 11) if sum(k.startswith(f"op{n}_") for k in names) != 1] == []

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tests.llm.helpers import DOC, corpus, edited, prose
+from tests.llm.helpers import DOC, corpus, edited, prose, python_at_once
 from visgauge.llm import bpe, chat, suffixes
 from visgauge.llm import decontaminate as decontaminate_module
 from visgauge.llm.decontaminate import contaminated, decontaminate, words_of
@@ -53,6 +53,17 @@ def test_encode_and_decode(spark):
     assert bpe.encode(docs.limit(0), PATH).count() == 0
 
 
+def test_decoded_where_it_is_encoded(spark):
+    rows = [(0, prose(random.Random(5), 3000)), (1, "é" * 5000), (2, None), (3, "a <|endoftext|> b"), (None, "x y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    apart, together = bpe.decode(bpe.encode(docs, PATH, leaf_chars=2000), PATH), bpe.encode(docs, PATH, leaf_chars=2000, decoded=True)
+    assert (python_at_once(apart), python_at_once(together)) == (2, 1)
+    assert together.schema == apart.schema
+    plain = lambda df: Counter((r.doc_id, tuple(r.ids), r.decoded) for r in df.collect())
+    assert plain(together) == plain(apart)
+    assert {r.doc_id: r.decoded for r in together.collect()} == {i: t or "" for i, t in rows}
+
+
 def plain_removal(rows, length=50):
     first = {}
     order = sorted(rows, key=lambda r: suffixes.LAST if r[0] is None else r[0])

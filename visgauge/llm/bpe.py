@@ -13,7 +13,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from visgauge.llm.common import in_arrow
+from visgauge.llm.common import in_arrow, slices
 
 #: The split pattern of the byte-level pre-tokenizer; a fixed value.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -144,47 +144,52 @@ def _cut_leaves(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return run
 
 
-def _join_leaves(path: str) -> Callable[[pa.Table], pa.Table]:
+def _join_leaves(path: str, decoded: bool) -> Callable[[pa.Table], pa.Table]:
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by("leaf")
         parts = [np.array(x.values.to_numpy(), np.int32) for x in group.column("ids")]
-        whole = concatenate_tree(vocabulary(path), parts)
-        return pa.table({"id": group.column("id").slice(0, 1), "ids": _id_lists([whole])})
+        whole = pa.Table.from_arrays([group.column("id").slice(0, 1), _id_lists([concatenate_tree(vocabulary(path), parts)])], ["id", "ids"])
+        return pa.Table.from_batches(_decode_lists(path, 1)(iter(whole.to_batches()))) if decoded else whole
 
     return run
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", leaf_chars: int = 32768) -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", leaf_chars: int = 32768, decoded: bool = False) -> DataFrame:
     """id_col and ids array<int> for every row of docs; a null text is encoded as the empty text.
 
     The ids are those of the tokenizers library for the file at path, with special tokens of the file recognised in the
     text and none added. Texts of more than leaf_chars characters are cut into halves of halves; leaves are dealt to
-    all tasks, and those of one text meet again as ids. Repeated and null ids are rows of their own.
+    all tasks, and those of one text meet again as ids. Repeated and null ids are rows of their own. With decoded the
+    column that decode() adds is made where the ids are: decode(encode()) would keep two Python workers for each core.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    short = rows.where(F.length("text") <= leaf_chars).transform(in_arrow, _encode_whole(path), "id bigint, ids array<int>")
+    encode_whole, more = _encode_whole(path), ", decoded string" if decoded else ""
+    decode_ids = _decode_lists(path, 1) if decoded else iter
+    short = rows.where(F.length("text") <= leaf_chars).transform(in_arrow, lambda batches: decode_ids(encode_whole(batches)), f"id bigint, ids array<int>{more}")
     long = rows.select(F.monotonically_increasing_id().alias("row"), "id", "text").where(F.length("text") > leaf_chars)
     cut = long.transform(in_arrow, _cut_leaves(leaf_chars), "row bigint, id bigint, leaf int, text string").repartition("row", "leaf")
-    encoded = cut.transform(in_arrow, _encode_whole(path), "row bigint, id bigint, leaf int, ids array<int>")
-    joined = encoded.groupBy("row").applyInArrow(_join_leaves(path), "id bigint, ids array<int>")
+    encoded = cut.transform(in_arrow, encode_whole, "row bigint, id bigint, leaf int, ids array<int>")
+    joined = encoded.groupBy("row").applyInArrow(_join_leaves(path, decoded), f"id bigint, ids array<int>{more}")
     return short.unionByName(joined).withColumnRenamed("id", id_col)
 
 
-def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
-    """encoded with the column decoded: the text of its ids (null ids: null)."""
-    names = encoded.columns
+def _decode_lists(path: str, place: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each batch with the text of the ids in the column at place, in parts of few rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary(path)
-        for b in batches:
-            for i in range(0, b.num_rows, 128):
-                s = b.slice(i, 128)
-                ids = (x.values.to_numpy().tolist() if x.is_valid else None for x in s.column(names.index(ids_col)))
-                texts = pa.array([None if x is None else voc.decode(x).decode(errors="replace") for x in ids], pa.string())
-                yield pa.RecordBatch.from_arrays([*s.columns, texts], [*names, "decoded"])
+        for s in slices(batches, 128):
+            ids = (x.values.to_numpy().tolist() if x.is_valid else None for x in s.column(place))
+            texts = pa.array([None if x is None else voc.decode(x).decode(errors="replace") for x in ids], pa.string())
+            yield pa.RecordBatch.from_arrays([*s.columns, texts], [*s.schema.names, "decoded"])
+
+    return run
+
 
+def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
+    """encoded with the column decoded: the text of its ids (null ids: null)."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
-    return encoded.transform(in_arrow, run, f"{fields}, decoded string")
+    return encoded.transform(in_arrow, _decode_lists(path, encoded.columns.index(ids_col)), f"{fields}, decoded string")
 
 
 def ids_digest(ids: Column) -> Column:

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visgauge.llm.common import in_arrow
+from visgauge.llm.common import checkpoint, in_arrow
 
 #: Where the blocks of a fingerprint of 64 bits begin and end.
 CUTS = (0, 13, 26, 39, 52, 64)
@@ -288,8 +288,10 @@ def decontaminate(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
     shingle: int = 5, similarity: float = 0.8, radius: int = 11, items_at_once: int = 1000,
 ) -> DataFrame:
-    """The rows of docs in which no item was found, by the text of each row alone: ids may be null or repeated."""
-    for own in _item_slices(benchmark, item_col, item_text, items_at_once):
+    """The rows of docs in which no item was found, by the text of each row alone: ids may be null or repeated. What a
+    pass leaves is stored before the next one, so that a task holds the tables of one pass, in one Python worker."""
+    for k, own in enumerate(_item_slices(benchmark, item_col, item_text, items_at_once)):
+        docs = checkpoint(docs) if k else docs
         rows = docs.select(F.col(text_col).cast("string").alias("text"), F.struct(*docs.columns).alias("doc"))
         docs = rows.transform(in_arrow, _clean(own, shingle, radius, similarity), rows.schema).select("doc.*")
     return docs

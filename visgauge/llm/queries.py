@@ -34,7 +34,7 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    texts = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    texts = bpe.encode(table(spark, sf_dir, "documents"), path, decoded=True)
     return texts.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.ids_digest(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
