@@ -246,3 +246,64 @@ def test_sweep_takes_its_hits_without_a_join(spark):
     truth, found = boxes(10, 5)
     t, p = spark.createDataFrame(truth, BOXES), spark.createDataFrame(found, FOUND)
     assert "Join" not in protocol.taken(t, p, ["image", "category"], protocol.box_overlap, 0.5)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def plain_marks(truth, found):
+    """The marks of the published matching: category, image, rank, score, area, threshold and hit."""
+    areas, out = {"all": (0, 1e10), "small": (0, 1024), "medium": (1024, 9216), "large": (9216, 1e10)}, []
+    for key in sorted({r[:2] for r in found}):
+        dets = sorted((r for r in found if r[:2] == key), key=lambda r: (-r[5], r[2]))[:100]
+        for name, (lo, hi) in areas.items():
+            gts = [(r[2], r[3], bool(r[5]), bool(r[5]) or not lo <= r[4] <= hi) for r in truth if r[:2] == key]
+            gts.sort(key=lambda g: (g[3], g[0]))
+            for cut in (0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95):
+                used = set()
+                for rank, d in enumerate(dets, 1):
+                    best, at = cut, None
+                    for g in gts:
+                        if g[0] in used and not g[2]:
+                            continue
+                        if at is not None and not at[3] and g[3]:
+                            break
+                        if iou(d[3], g[1], g[2]) >= best:
+                            best, at = iou(d[3], g[1], g[2]), g
+                    if at is not None:
+                        used.add(at[0])
+                    if at is None and lo <= d[4] <= hi or at is not None and not at[3]:
+                        out.append((key[1], key[0], rank, d[5], name, cut, int(at is not None)))
+    return sorted(out)
+
+
+def crowded(seed: int):
+    """Besides the usual boxes, a group of more detections than count, truths on the borders of areas and equal overlaps."""
+    rnd = random.Random(seed)
+    truth, found = boxes(seed, 8)
+    sides = [32, 96, 32, 20, 60]
+    truth += [(99, "a", k, [0.0, 0.0, float(w), float(w)], float(w * w), (None, False, False, True, None)[k]) for k, w in enumerate(sides)]
+    for k in range(130):
+        w = float(rnd.choice([*sides, 30, 50, 90]))
+        found.append((99, "a", k, [0.0, 0.0, w, w], w * w, rnd.choice([0.1, 0.5, round(rnd.random(), 2)])))
+    return truth, found
+
+
+def test_marks_equal_the_plain_matching(spark):
+    truth, found = crowded(11)
+    t, p = spark.createDataFrame(truth, BOXES), spark.createDataFrame(found, FOUND)
+    rows = protocol.protocol_marks(t, p, "image", "category", protocol.box_overlap).collect()
+    want = plain_marks(truth, found)
+    assert sorted(map(tuple, rows)) == want and 90 < max(r[2] for r in want) <= 100
+
+
+def test_counts_are_of_the_marks(spark, monkeypatch):
+    truth, found = crowded(12)
+    t, p = spark.createDataFrame(truth, BOXES), spark.createDataFrame(found, FOUND)
+    marks = protocol.protocol_marks
+    for ranks in (100, 10, 1):  # counts of fewer marks follow from these marks
+        monkeypatch.setattr(protocol, "protocol_marks", lambda *given, n=ranks: marks(*given).where(F.col("rank") <= n))
+        want = defaultdict(lambda: [0, 0])
+        for category, _, rank, _, area, cut, hit in plain_marks(truth, found):
+            if rank <= ranks:
+                want[category, area, cut][0] += 1
+                want[category, area, cut][1] += hit
+        got = protocol.protocol_counts(t, p, "image", "category", protocol.box_overlap).collect()
+        assert {tuple(r)[:3]: list(r)[3:] for r in got} == want
